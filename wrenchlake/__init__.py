@@ -1,0 +1 @@
+"""Diagnostic-knowledge analytics as lazy Spark plans."""

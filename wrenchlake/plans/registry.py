@@ -1,4 +1,6 @@
-"""All registered queries of the reference's operators."""
+"""All registered queries of the reference's operators, and their DuckDB equivalents."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from wrenchlake.plans import model_queries, retrieval_queries, text_queries
+
+QUERIES = model_queries.QUERIES | text_queries.QUERIES | retrieval_queries.QUERIES
+ORACLE_SQL = model_queries.ORACLE_SQL | text_queries.ORACLE_SQL | retrieval_queries.ORACLE_SQL

@@ -84,7 +84,7 @@ def test_paths(spark):
     e = spark.createDataFrame([("a", "b", 5.0), ("a", "b", 1.0), ("b", "t", None), ("a", "t", 9.0), ("b", "a", 1.0), ("t", "u", 1.0), ("u", "v", 1.0)], "src string, dst string, weight double")
     of = lambda c, *v: spark.createDataFrame([(x,) for x in v], f"{c} string")
     got = {(r.src, r.dst): (r.cost, r.n, r.path) for r in G.cheapest_paths(e, of("src", "a", "z"), of("dst", "t", "v", "a")).collect()}
-    assert got == {("a", "t"): (2.0, 2, "a>b>t")}
+    assert got == {("a", "t"): (2.0, 2, "a>b>t"), ("a", "v"): (11.0, 3, "a>t>u>v")}
 
 
 def test_merge_graph(spark):

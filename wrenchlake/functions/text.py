@@ -369,5 +369,4 @@ def query_text(codes: Column, description: Column) -> Column:
 def tolerant_json(text: Column, schema: str) -> Column:
     """JSON between fences or other text, trailing commas allowed; null if it can't be read."""
     body = F.regexp_extract(F.regexp_replace(text, "```(?:json)?", ""), r"(?s)\{.*\}", 0)
-    options = {"mode": "PERMISSIVE"}
-    return F.coalesce(F.from_json(F.nullif(body, F.lit("")), schema, options), F.from_json(F.regexp_replace(F.nullif(body, F.lit("")), r",\s*([}\]])", "$1"), schema, options))
+    return F.from_json(F.regexp_replace(F.nullif(body, F.lit("")), r",\s*([}\]])", "$1"), schema)

@@ -14,7 +14,7 @@ def blended_score(avg_rating: Column, success: Column, partial: Column, outcomes
     rating = (avg_rating - 1) / 4
     rate = (success + 0.5 * partial) / F.nullif(outcomes, F.lit(0))
     blend = F.when(rating.isNotNull() & rate.isNotNull(), 0.6 * rating + 0.4 * rate).otherwise(F.coalesce(rating, rate))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), blend))
+    return F.when(blend.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), blend)))
 
 
 def statistics(entries: DataFrame) -> DataFrame:

@@ -12,17 +12,28 @@ from wrenchlake.llm.common import stored, text_of
 #: distinct terms of a document, whatever the corpus's size.
 LEAST_SHARE, MOST_SHARE = 0.002, 0.2
 #: Randomised lexicon subsets: that of level v and number k holds a term with probability 2**-v, by a hash of both. A
-#: document of n terms uses LEVELS levels from log2(n) on, SUBSETS subsets each, which hold from 2 to a quarter of
-#: its terms on average: of fewer most would be empty, and of more any edit changes the hash.
-LEVELS, SUBSETS = 3, 6
+#: document of n terms uses LEVELS levels from log2(n) on, SUBSETS subsets each, which hold from 2 down to an
+#: eighth of a term on average: of fewer most would be empty, and of more any edit changes the hash.
+LEVELS, SUBSETS = 4, 4
 SLOTS = 1 << 14
 HEX = 8
 
 
+#: Characters that end terms, besides the space.
+SEPARATORS = "\n\t\r.,;:!?()|"
+
+
 def terms(text: Column) -> Column:
-    """Distinct terms as hashes, sorted: runs of letters and digits of the lower-cased text."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
+    """Distinct terms as hashes, in order of appearance: what stands between separators in the lower-cased text.
+
+    Separators become spaces one after the other and the text is split at a single character: both are plain scans,
+    several times as fast as a regular expression.
+    """
+    words = F.lower(text)
+    for c in SEPARATORS:
+        words = F.replace(words, F.lit(c), F.lit(" "))
+    hashes = F.transform(F.split(words, " "), lambda w: F.xxhash64(w))
+    return F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit("")))
 
 
 def lexicon(documents: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:
@@ -32,7 +43,7 @@ def lexicon(documents: DataFrame, least: float = LEAST_SHARE, most: float = MOST
     n = documents.count()
     df = documents.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     band = df.where((F.col("df") >= max(2, least * n)) & (F.col("df") <= max(2, most * n)))
-    slots = band.groupBy(F.pmod("term", F.lit(SLOTS)).cast("int").alias("slot")).agg(F.collect_list("term").alias("own"))
+    slots = band.groupBy(F.col("term").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")).agg(F.collect_list("term").alias("own"))
     every = documents.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot")).join(slots, "slot", "left")
     row = every.agg(F.array_sort(F.collect_list(F.struct("slot", F.coalesce("own", F.array().cast("array<bigint>")).alias("own")))).alias("all"))
     return stored(row.select(F.lit(1).alias("version"), F.transform("all", lambda s: s["own"]).alias("slots")), "imatch-lexicon")
@@ -40,8 +51,8 @@ def lexicon(documents: DataFrame, least: float = LEAST_SHARE, most: float = MOST
 
 def _band(terms_col: Column, slots: Column) -> Column:
     """The terms in the band, sorted. A text without band terms uses all of its terms instead."""
-    band = F.filter(terms_col, lambda t: F.array_contains(F.element_at(slots, (F.pmod(t, F.lit(SLOTS)) + 1).cast("int")), t))
-    return F.when(F.size(band) > 0, band).otherwise(terms_col)
+    band = F.filter(terms_col, lambda t: F.array_contains(F.get(slots, t.bitwiseAND(F.lit(SLOTS - 1)).cast("int")), t))
+    return F.sort_array(F.when(F.size(band) > 0, band).otherwise(terms_col))
 
 
 def _subsets(used: Column) -> Column:

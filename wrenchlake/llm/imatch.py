@@ -118,9 +118,10 @@ def compare_edited(docs: DataFrame, parts: int | None = None, id_col: str = "doc
 
     firsts = dealt.groupBy("part").agg(F.min_by("text", F.struct("doc_id", "text")).alias("first_text"))
     firsts = stored(firsts, "imatch-firsts")  # a row a part
-    held = sorted(r[0] for r in firsts.select("part").collect())  # a number a part
-    after = spark.createDataFrame([(p, held[(i + 1) % len(held)]) for i, p in enumerate(held)], "part int, next_part int")
-    border = firsts.withColumnRenamed("part", "next_part").join(F.broadcast(after), "next_part").withColumn("version", F.lit(1)).join(found, "version")
+    # a row a part: the part before takes the first row of the next, the last part that of the first
+    order, every = Window.orderBy("part"), Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = firsts.select(F.coalesce(F.lag("part").over(order), F.last("part").over(every)).alias("part"), "first_text")
+    border = before.withColumn("version", F.lit(1)).join(found, "version")
     border = _printed(border, "first_text", "first_hashes").select("part", "first_text", "first_hashes")
 
     in_part = Window.partitionBy("part").orderBy("doc_id", "text")

@@ -39,7 +39,7 @@ def small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
 
     ``df`` should be cheap to count: a stored or checkpointed table of narrow rows.
     """
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+    return F.broadcast(df) if df.count() <= bound else df
 
 
 def text_of(col: str) -> Column:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from wrenchlake.llm.common import cut
 
 
+#: Edges a partition: few edges are not spread over many tasks.
+EDGES = 200_000
+
+
 def _hash_of(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
 
@@ -22,27 +26,23 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Rounds grow with the logarithm of the longest chain. Each round's edges are checkpointed. Null ends and
     self-loops are ignored; an empty input gives an empty result.
     """
-    e = cut(
-        edges.where("src is not null and dst is not null and src <> dst")
-        .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-        .distinct()
-    )
-    before = _hash_of(e)
+    def settle(df: DataFrame) -> tuple[DataFrame, tuple]:
+        """The checkpointed edges in partitions of EDGES each, and what tells whether they changed."""
+        out = cut(df.distinct())
+        now = _hash_of(out)
+        return out.coalesce(now[0] // EDGES + 1), now
+
+    e, before = settle(edges.where("src is not null and dst is not null and src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")))
     for _ in range(max_rounds):
         if not before[0]:
             break
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        ends = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = e.select(F.explode(ends).alias("x")).select("x.u", "x.v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = large.join(low, "u")
-        e = cut(
-            linked.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low.select("u", F.col("m").alias("v")))
-            .where("u <> v")
-            .distinct()
-        )
-        now = _hash_of(e)
+        linked = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
+        e, now = settle(linked.where("u <> v"))
         if now == before:
             break
         before = now

@@ -1,6 +1,7 @@
 """All registered queries of the reference's operators, and their DuckDB equivalents."""
 
-from wrenchlake.plans import model_queries, retrieval_queries, text_queries
+from wrenchlake.plans import model_queries, more_queries, retrieval_queries, text_queries
 
-QUERIES = model_queries.QUERIES | text_queries.QUERIES | retrieval_queries.QUERIES
-ORACLE_SQL = model_queries.ORACLE_SQL | text_queries.ORACLE_SQL | retrieval_queries.ORACLE_SQL
+_PARTS = (model_queries, text_queries, retrieval_queries, more_queries)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}

@@ -13,7 +13,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wrenchlake.llm.common import shared_dir, stored
+from wrenchlake.llm.common import shared_dir, small, stored
 
 #: Fixed values of RFC 1952 and of the WARC 1.1 format.
 MAGIC = b"\x1f\x8b\x08"
@@ -226,7 +226,8 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     """``pages(page_id, url, html)`` with ``refers_to``: for each page whose payload, of at least
     ``MIN_REVISIT_BYTES`` bytes, a page of smaller id has too, the smallest such id, else null.
 
-    Digests, not pages, are grouped and joined; a hot payload is one row after map-side aggregation. Rows without
+    Digests, not pages, are grouped and joined; a hot payload is one row after map-side aggregation. Pages are
+    shuffled only if there are too many revisits or repeated ids to broadcast. Rows without
     a page_id are left out; of rows that repeat a page_id only the first by html is kept.
     """
     pages = pages.where("page_id is not null").select("page_id", "url", "html")
@@ -234,7 +235,8 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     marks = stored(pages.select("page_id", F.sha2(payload.cast("binary"), 256).alias("digest"), F.octet_length(payload).cast("long").alias("n")), "warc-digests")
     first = marks.where(F.col("n") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last")
     refers = marks.join(first, "digest").where("page_id > refers_to").groupBy("page_id").agg(F.min("refers_to").alias("refers_to"))
-    repeated = marks.groupBy("page_id").agg(F.count("*").alias("n")).where("n > 1").select("page_id")
+    refers = small(stored(refers, "warc-refers"))
+    repeated = small(stored(marks.groupBy("page_id").agg(F.count("*").alias("n")).where("n > 1").select("page_id"), "warc-repeated"))
     once = pages.join(repeated, "page_id", "left_anti")
     again = pages.join(repeated, "page_id").groupBy("page_id").agg(F.min(F.struct("html", "url")).alias("p")).select("page_id", "p.url", "p.html")
     return once.unionByName(again).join(refers, "page_id", "left")

@@ -15,7 +15,7 @@ QUERY_PREFIXES = ["expanded query:", "query:", "search query:", "result:"]
 
 def parse_questions(response: Column, most: int = 3) -> Column:
     """Lines that are numbered, bulleted or end in a question mark, cleaned, of over ten characters, at most ``most``."""
-    lines = F.transform(F.split(response, "\n"), F.trim)
+    lines = F.transform(F.split(response, "\n"), lambda x: F.trim(x))
     marked = F.filter(lines, lambda s: s.rlike(r"^(\d+[.)]|[-*•])\s+") | s.endswith("?"))
     clean = F.transform(marked, lambda s: F.trim(F.regexp_replace(s, r"^(\d+[.)]|[-*•])\s+", "")))
     return F.coalesce(F.slice(F.filter(clean, lambda s: F.length(s) > 10), 1, most), F.array().cast("array<string>"))

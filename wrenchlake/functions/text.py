@@ -259,7 +259,7 @@ def problem_solution(raw: Column) -> Column:
     """Labelled problem and solution phrases, first five distinct, of the stripped text; else empty."""
     text = strip_markup(raw)
     found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in (PROBLEM_PATTERN, SOLUTION_PATTERN)])
-    five = F.slice(F.transform(F.array_distinct(F.transform(found, F.trim)), lambda s: F.substring(s, 1, 400)), 1, 5)
+    five = F.slice(F.transform(F.array_distinct(F.transform(found, lambda x: F.trim(x))), lambda s: F.substring(s, 1, 400)), 1, 5)
     return F.when((F.length(text) >= 20) & (F.size(five) > 0), F.concat(F.lit(" Problem/Solution: "), F.array_join(five, "; "))).otherwise("")
 
 
@@ -271,7 +271,7 @@ def chunks(text: Column, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP)
 
 def truncate_title(title: Column, most: int = 200) -> Column:
     """Lists keep whole items and a count of the others; else a cut at a late space."""
-    items = F.transform(F.split(title, ","), F.trim)
+    items = F.transform(F.split(title, ","), lambda x: F.trim(x))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("len"), F.lit(False).alias("full"))
 
     def add(acc: Column, item: Column) -> Column:
@@ -323,8 +323,8 @@ def repair_steps(text: Column) -> Column:
     """I8: numbered steps, else bullets, else up to ten longer lines."""
     numbered = F.regexp_extract_all(text, F.lit(r"(?m)(?:^|\n)\s*\d+[\.\)]\s*(.+?)(?=\n\s*\d+[\.\)]|$)"), F.lit(1))
     bullets = F.regexp_extract_all(text, F.lit(r"(?m)(?:^|\n)\s*[-•*]\s*(.+?)(?=\n\s*[-•*]|$)"), F.lit(1))
-    lines = F.slice(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda s: F.length(s) > 20), 1, 10)
-    steps = F.when(F.size(numbered) > 0, F.transform(numbered, F.trim)).when(F.size(bullets) > 0, F.transform(bullets, F.trim)).otherwise(lines)
+    lines = F.slice(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda s: F.length(s) > 20), 1, 10)
+    steps = F.when(F.size(numbered) > 0, F.transform(numbered, lambda x: F.trim(x))).when(F.size(bullets) > 0, F.transform(bullets, lambda x: F.trim(x))).otherwise(lines)
     return F.coalesce(steps, F.array().cast("array<string>"))
 
 

@@ -93,7 +93,7 @@ def lookup_variants(code: Column, mapped: Column) -> Column:
     c = F.upper(F.trim(code))
     suffix = F.nullif(F.regexp_extract(c, "^P([0-9A-F]{4})$", 1), F.lit(""))
     bare = F.when(suffix.startswith("0"), F.coalesce(F.nullif(F.regexp_replace(suffix, "^0+", ""), F.lit("")), F.lit("0")))
-    listed = F.coalesce(F.transform(F.split(mapped, ","), F.trim), F.array().cast("array<string>"))
+    listed = F.coalesce(F.transform(F.split(mapped, ","), lambda x: F.trim(x)), F.array().cast("array<string>"))
     every = F.concat(F.array(c), listed, F.array(suffix), F.array(bare))
     return F.array_distinct(F.filter(every, lambda v: v.isNotNull() & (v != "")))
 

@@ -54,41 +54,58 @@ class PieceCodec:
         joined = {c for p in self.id if len(p) > 1 for c in p}
         self.alone = re.compile("|".join(map(re.escape, sorted({"\n", "\r", "\t"} - joined))) or r"(?!)")
         self.chunks = re.compile(rf"[\n\r\t]|{SPACE}*[^{SPACE}\n\r\t]+|{SPACE}+" if not {"\n", "\r", "\t"} & joined else rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.halves: dict[str, tuple[str, str]] = {}
         self.automaton = ahocorasick.Automaton()
         for p in self.id:
-            if len(p) > 1 and self._merged(p) == [p]:  # pieces that merging can't make are never last
+            if len(p) > 1 and (halves := self._halves(p)):  # pieces that merging can't make are never last
+                self.halves[p] = halves
                 self.automaton.add_word(p, (len(p), p))
         self.automaton.make_automaton()
+        if any(self.rank[h] > self.rank[p] for p, two in self.halves.items() for h in two if h in self.halves):
+            raise ValueError("a piece ranks before what it is made of")
         self.fits = lru_cache(FITS)(self._fits)
         self.kept: dict[str, tuple[bytes, bytes]] = {}
+        self.meaning = [self._meaning(i) for i in range(len(self.pieces))]
 
-    def _merged(self, text: str) -> list[str]:
-        """The merge rule itself, for strings of at most two pieces: best-ranked neighbours first, leftmost of equals."""
-        parts = list(text)
-        while len(parts) > 1:
+    def _halves(self, piece: str) -> tuple[str, str] | None:
+        """The two tokens whose merge makes the piece, by the merge rule: best-ranked neighbours first, leftmost of
+        equals. None if merging its characters ends elsewhere."""
+        parts = list(piece)
+        while len(parts) > 2:
             best = min(((self.rank[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.rank), default=None)
             if best is None:
-                break
+                return None
             parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
-        return parts
+        return (parts[0], parts[1]) if len(parts) == 2 and parts[0] + parts[1] == piece else None
 
     def _fits(self, left: str, right: str) -> bool:
-        return self._merged(left + right) == [left, right]
+        """Whether the encoding of both tokens as one string is these two tokens.
+
+        Merges are undone from the last one back. At each time the tokens at the border must not have merged before
+        either of them was merged further; of equal ranks the leftmost merge is the first.
+        """
+        rank, halves = self.rank, self.halves
+        none = float("inf")
+        limit, strict = none, False  # the border's tokens must not merge before this rank
+        while True:
+            crossing = rank.get(left + right, none)
+            if crossing < limit or (strict and crossing == limit and crossing != none):
+                return False
+            a = rank[left] if left in halves else -none
+            b = rank[right] if right in halves else -none
+            if a == b == -none:
+                return True
+            if b > a or (a == b and right in halves):  # the right token was made last
+                limit, strict, right = b, True, halves[right][0]
+            else:
+                limit, strict, left = a, False, halves[left][1]
 
     def last_tokens(self, chunk: str) -> list[str]:
-        """For every prefix of the chunk, the last token of its encoding."""
-        found: list[list[str]] = [[c] for c in chunk]
-        for end, (_, piece) in self.automaton.iter(chunk):
-            found[end].append(piece)
-        last: list[str] = []
-        for end, pieces in enumerate(found):
-            for piece in reversed(pieces) if len(pieces) > 2 else pieces[::-1]:
-                start = end - len(piece) + 1
-                if start == 0 or self.fits(last[start - 1], piece):
-                    last.append(piece)
-                    break
-            else:
-                raise AssertionError(f"no token ends at {end}")
+        """For every prefix of the chunk, the last token of its encoding: a longer piece that fits, else the last character."""
+        last, done, fits = list(chunk), -1, self.fits
+        for end, (n, piece) in self.automaton.iter(chunk):
+            if end != done and (n > end or fits(last[end - n], piece)):
+                last[end], done = piece, end
         return last
 
     def split(self, chunk: str) -> list[str]:
@@ -106,12 +123,14 @@ class PieceCodec:
             ids += [known] if known is not None else [self.byte_id[b] for b in token.encode("utf-8", "replace")]
         return ids
 
+    def _meaning(self, i: int) -> bytes:
+        """What a piece stands for: spaces as such, a byte, or nothing for a control piece."""
+        if i in self.byte_of:
+            return bytes([self.byte_of[i]])
+        return b" \xe2\x81\x87 " if i == self.unk else b"" if i in (self.bos, self.eos) else self.pieces[i].replace(SPACE, " ").encode("utf-8")
+
     def bytes_of(self, ids: list[int]) -> bytes:
-        """What the pieces stand for, spaces as such; control pieces stand for nothing."""
-        return b"".join(
-            bytes([self.byte_of[i]]) if i in self.byte_of else b" \xe2\x81\x87 " if i == self.unk else b"" if i in (self.bos, self.eos) else self.pieces[i].replace(SPACE, " ").encode("utf-8")
-            for i in ids
-        )
+        return b"".join([self.meaning[i] for i in ids])
 
     def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
         """The chunk's ids as unsigned 32-bit integers, and what they decode to."""

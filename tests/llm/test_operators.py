@@ -244,6 +244,18 @@ def test_lines_against_brute_force(spark, sample):
         assert r.text == "\n".join(x for n, x in enumerate(text.split("\n")) if n not in drops.get(r.doc_id, ()))
 
 
+def test_lines_of_a_crowd(spark):
+    """Near copies that share one band only are found in a bucket of more lines than REFINE, too."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    lines = [(i, word(60)) for i in range(2 * linededup.REFINE)]
+    lines[1] = (1, lines[0][1][:58] + "zz")
+    signed = [(i, [7] + [100 * i + b for b in range(7)], 0, 0, 0, False) for i, _ in lines]
+    signed = spark.createDataFrame(signed, "line_id long, keys array<long>, s0 long, s1 long, s2 long, collides boolean")
+    found = linededup.near_lines(spark.createDataFrame(lines, "line_id long, line string"), signed).collect()
+    assert {tuple(r) for r in found} == {(0, 0), (1, 0)}
+
+
 def test_lines_odd_rows(spark):
     got = linededup.dedup_lines(odd_docs(spark)).collect()
     assert len(got) == 10 and [r.text for r in got if r.doc_id == 2] == [None] and [r.text for r in got if r.doc_id == 3] == [""]

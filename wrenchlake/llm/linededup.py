@@ -81,21 +81,33 @@ def _shared(banded: DataFrame) -> DataFrame:
     return banded.groupBy("key").agg(F.min("line_id").alias("low"), F.count("*").alias("n")).where("n > 1")
 
 
-def buckets(signed: DataFrame) -> DataFrame:
+def _prefixes(lines: DataFrame, crowd: DataFrame) -> DataFrame:
+    """``(line_id, key)``: of each line of ``crowd`` its rarest shingles, of n shingles those beyond the most that a
+    pair at the least similarity can leave out of what it shares, and one more. In any common order of shingles two lines at that
+    similarity share one of these, so nothing is lost. Counts above ``REFINE`` order the shingles, ties go by hash."""
+    texts = lines.select("line_id", "line").join(small(crowd), "line_id", "left_semi").groupBy("line_id").agg(F.first("line").alias("line"))
+    sets = stored(texts.select("line_id", _shingles(F.col("line")).alias("set")), "lines-crowd-sets")
+    placed = sets.select("line_id", F.explode("set").alias("h"))
+    common = stored(placed.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > REFINE), "lines-common")
+    ranked = placed.join(small(common), "h", "left").select("line_id", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h").alias("x"))
+    ordered = ranked.groupBy("line_id").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    most = F.floor(F.size("xs") * (1 - SIMILARITY) + 1e-6).cast("int") + 1
+    return ordered.select("line_id", F.explode(F.slice("xs", F.lit(1), most)).alias("x")).select("line_id", F.xxhash64(F.lit(-1), "x.h").alias("key"))
+
+
+def buckets(lines: DataFrame, signed: DataFrame) -> DataFrame:
     """``(key, low, line_id)``: the members of each bucket with its smallest line.
 
     A bucket of more than ``REFINE`` lines, such as lines that share a long passage but are not near copies, is
-    replaced by buckets that share a second band too. Nothing is dropped but pairs that share one band only in such a
-    crowd; a pair at exactly the least similarity shares two with probability 0.97, at 0.9 with 0.9998.
+    replaced by buckets of the rarest shingles of its lines, in which every pair at the least similarity meets: in
+    a crowd no pair is lost, whatever its size.
     """
     banded = signed.where("not collides").select("line_id", F.explode("keys").alias("key"))
     shared = stored(_shared(banded), "lines-buckets")
     members = stored(banded.join(small(shared), "key").select("key", "low", "n", "line_id"), "lines-members")
-    crowd = members.where(F.col("n") > REFINE).select("key", "line_id")
-    of = signed.join(small(stored(crowd.select("line_id").distinct(), "lines-crowd")), "line_id", "left_semi")
-    second = crowd.join(of, "line_id").select("line_id", "key", F.explode("keys").alias("other")).where("key < other")
-    second = stored(second.select("line_id", F.xxhash64("key", "other").alias("key")), "lines-second")
-    refined = second.join(small(stored(_shared(second), "lines-refined")), "key").select("key", "low", "line_id")
+    crowd = stored(members.where(F.col("n") > REFINE).select("line_id").distinct(), "lines-crowd")
+    rare = stored(_prefixes(lines, crowd), "lines-rare")
+    refined = rare.join(small(stored(_shared(rare), "lines-refined")), "key").select("key", "low", "line_id")
     return stored(members.where(F.col("n") <= REFINE).select("key", "low", "line_id").unionByName(refined), "lines-candidates")
 
 
@@ -108,7 +120,7 @@ def near_lines(lines: DataFrame, signed: DataFrame) -> DataFrame:
     line needs about as many comparisons as it has lines. Pairs of fewer than ``AGREE`` equal minima are cut before
     texts are fetched; the similarities of the others are exact Jaccard similarities.
     """
-    members = buckets(signed)
+    members = buckets(lines, signed)
     wanted = stored(members.select("line_id").distinct(), "lines-wanted")
     texts = lines.select("line_id", "line").join(small(wanted), "line_id", "left_semi").groupBy("line_id").agg(F.first("line").alias("line"))
     texts = stored(texts, "lines-texts")

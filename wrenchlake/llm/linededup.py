@@ -17,15 +17,16 @@ SHINGLE = 8
 SIMILARITY = 0.8
 #: A pair at exactly that similarity shares a band with probability 1 - (1 - 0.8**3)**8 = 0.997.
 BANDS, ROWS = 8, 3
-#: Of the minima of two lines at least so many must be equal before their sets are compared: at the least similarity
-#: fewer are with probability 0.0002.
-AGREE = BANDS * ROWS // 2
-#: Buckets of more lines are refined by a second band.
+#: Lines of larger buckets meet by their rarest shingles instead.
 REFINE = 32
 
 _rng = random.Random(4)
-#: Masks of the hash functions: the minimum of hash XOR mask is attained by a shingle drawn by the mask.
+#: Hash functions: a shingle's hash XOR a mask, times an odd factor modulo 2**32. By masks alone the minima of short lines
+#: depend on each other.
 MASKS = [_rng.getrandbits(32) - (1 << 31) for _ in range(BANDS * ROWS)]
+FACTORS = [_rng.getrandbits(31) | 1 for _ in range(BANDS * ROWS)]
+#: Longs of a line's parity sketch.
+SKETCH = 4
 
 
 def _normal(line: Column) -> Column:
@@ -60,20 +61,38 @@ def _similar(a: Column, b: Column) -> Column:
     return F.element_at(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), of), 1)
 
 
+def _permuted(h: Column, k: int) -> Column:
+    """The k-th hash function of a shingle's 32-bit hash."""
+    return (h.bitwiseXOR(F.lit(MASKS[k])).cast("long") * F.lit(FACTORS[k]).cast("long")).bitwiseAND(F.lit((1 << 32) - 1).cast("long"))
+
+
+def _sketches(texts: DataFrame) -> DataFrame:
+    """``(line_id, size, s0, ...)``: how many shingles a line has and the parities of their numbers by hash modulo the sketch's
+    width. Where two sketches differ, a shingle is in one set only, so they bound the sets' difference from below."""
+    placed = texts.select("line_id", F.explode(_shingles(F.col("line"))).alias("h")).withColumn("at", F.pmod(F.xxhash64("h"), F.lit(64 * SKETCH)).cast("int"))
+    words = [F.bit_xor(F.when(F.shiftright("at", 6) == i, F.expr("shiftleft(1L, at & 63)")).otherwise(F.lit(0).cast("long"))).alias(f"s{i}") for i in range(SKETCH)]
+    return placed.groupBy("line_id").agg(F.count("*").alias("size"), *words)
+
+
+def _possible() -> Column:
+    """Whether two sketched sets can have the least similarity; never false for those that have it."""
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(SKETCH)])
+    a, b = F.col("a_size"), F.col("b_size")
+    return (F.least(a, b) + 1e-6 >= SIMILARITY * F.greatest(a, b)) & (differ * (1 + SIMILARITY) <= (a + b) * (1 - SIMILARITY) + 1e-6)
+
+
 def signatures(lines: DataFrame) -> DataFrame:
-    """``(line_id, keys, s0, s1, s2, collides)``: per distinct line, one hash a band and the low bytes of all minima. Shingles are exploded and their minima are aggregated within the
+    """``(line_id, keys, collides)``: per distinct line, one hash a band. Shingles are exploded and their minima are aggregated within the
     task that made them; one row a line and task is shuffled. Two lines of one id (a collision of 64-bit hashes) are
     left out: they are handled as lines without near copies, exactly, by ``decide``."""
     units = F.encode(F.col("line"), "UTF-16BE")
     places = lines.select("line_id", F.xxhash64("line", F.lit(1)).alias("check_id"), units.alias("units"))
     last = F.greatest(F.lit(1), F.octet_length("units") - 2 * SHINGLE + 1)
     hashed = places.select("line_id", "check_id", "units", F.explode(F.sequence(F.lit(1), last, F.lit(2))).alias("i")).select("line_id", "check_id", F.hash(F.substring(F.col("units"), F.col("i"), F.lit(SHINGLE * 2))).alias("h"))
-    lows = [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(MASKS)]
+    lows = [F.min(_permuted(F.col("h"), k)).alias(f"m{k}") for k in range(BANDS * ROWS)]
     signed = hashed.groupBy("line_id").agg(*lows, F.min("check_id").alias("c0"), F.max("check_id").alias("c1"))
     keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    bytes_ = lambda i: [F.shiftleft((F.col(f"m{8 * i + j}").bitwiseAND(F.lit(255))).cast("long"), 8 * j) for j in range(8)]
-    sketch = [reduce(Column.bitwiseOR, bytes_(i)).alias(f"s{i}") for i in range(BANDS * ROWS // 8)]
-    return signed.select("line_id", F.array(*keys).alias("keys"), *sketch, (F.col("c0") != F.col("c1")).alias("collides"))
+    return signed.select("line_id", F.array(*keys).alias("keys"), (F.col("c0") != F.col("c1")).alias("collides"))
 
 
 def _shared(banded: DataFrame) -> DataFrame:
@@ -117,22 +136,20 @@ def near_lines(lines: DataFrame, signed: DataFrame) -> DataFrame:
     Lines that share a bucket are candidates. Each is first compared with the smallest line of its bucket. Where
     that leaves a bucket in several components, the lines outside its largest are compared with all of its
     lines of other components. So every candidate pair is verified or already connected, and a bucket of copies of one
-    line needs about as many comparisons as it has lines. Pairs of fewer than ``AGREE`` equal minima are cut before
-    texts are fetched; the similarities of the others are exact Jaccard similarities.
+    line needs about as many comparisons as it has lines. Pairs whose sizes or sketches rule
+    the similarity out are cut before texts are fetched, losslessly; the others' are exact Jaccard similarities.
     """
     members = buckets(lines, signed)
     wanted = stored(members.select("line_id").distinct(), "lines-wanted")
     texts = lines.select("line_id", "line").join(small(wanted), "line_id", "left_semi").groupBy("line_id").agg(F.first("line").alias("line"))
     texts = stored(texts, "lines-texts")
-    sketch = [f"s{i}" for i in range(BANDS * ROWS // 8)]
-    sketches = stored(signed.join(small(wanted), "line_id", "left_semi").select("line_id", *sketch), "lines-sketches")
+    sketches = stored(_sketches(texts), "lines-sketches")
+    sketch = [c for c in sketches.columns if c != "line_id"]
 
     def verified(pairs: DataFrame) -> DataFrame:
         a = sketches.withColumnsRenamed({"line_id": "src"} | {c: f"a_{c}" for c in sketch})
         b = sketches.withColumnsRenamed({"line_id": "dst"} | {c: f"b_{c}" for c in sketch})
-        differ = [F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}")) for c in sketch]
-        equal = reduce(Column.__add__, [(F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(255)) == 0).cast("int") for x in differ for k in range(8)])
-        likely = stored(pairs.distinct().join(a, "src").join(b, "dst").where(equal >= AGREE).select("src", "dst"), "lines-likely")
+        likely = stored(pairs.distinct().join(a, "src").join(b, "dst").where(_possible()).select("src", "dst"), "lines-likely")
         ends = stored(likely.select(F.explode(F.array("src", "dst")).alias("line_id")).distinct(), "lines-ends")
         some = texts.join(small(ends), "line_id", "left_semi")
         both = likely.join(some.withColumnsRenamed({"line_id": "src", "line": "a"}), "src").join(some.withColumnsRenamed({"line_id": "dst", "line": "b"}), "dst")

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import heapq
+import uuid
 from bisect import bisect_right
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wrenchlake.llm.common import stored, text_of
+from wrenchlake.llm.common import shared_dir, small, stored, text_of
 
 #: Blocks per old shard. The driver sees one row of counts per block, never a document.
 BLOCKS = 512
@@ -116,6 +117,18 @@ def assign(rows: DataFrame, capacities: list[int] | int, blocks: int = BLOCKS) -
     return out.withColumn("slot", F.col("before") + F.col("nth") - 1).select(*columns, "old_shard", "shard", "slot"), flows
 
 
+def _size(text_col: str) -> Column:
+    return F.octet_length(text_of(text_col)).cast("long") + 1
+
+
+def _crc(text_col: str) -> Column:
+    return F.crc32(text_of(text_col).cast("binary"))
+
+
+def _old_shard(id_col: str, old_shards: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(id_col)), F.lit(old_shards)).cast("int")
+
+
 def shard_documents(docs: DataFrame, shards: int = 8, old_shards: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All documents in ``shards`` shards of near equal bytes, from the layout of ``old_shards`` by a hash of the
     id, moving the fewest bytes: ``(doc_id, size, text_crc32, old_shard, shard, slot)``.
@@ -123,29 +136,65 @@ def shard_documents(docs: DataFrame, shards: int = 8, old_shards: int = 6, id_co
     The size is the text's UTF-8 bytes plus 1 (null: 1). Only id, size and checksum are shuffled, never texts.
     Null ids and repeated rows are placed like any other row.
     """
-    text = text_of(text_col)
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        (F.octet_length(text).cast("long") + 1).alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(old_shards)).cast("int").alias("old_shard"),
-    )
+    rows = docs.select(F.col(id_col).alias("doc_id"), _size(text_col).alias("size"), _crc(text_col).alias("text_crc32"), _old_shard(id_col, old_shards).alias("old_shard"))
     return assign(stored(rows, "shard-rows"), shards)[0]
 
 
-def rewrite(spark: SparkSession, old_path: str, new_path: str, moves: DataFrame, id_col: str = "doc_id") -> list[int]:
+def _placed(old: DataFrame, moves: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of old shards (in column ``shard``) with ``__to``, ``__slot``, each joined with one row of
+    ``moves`` by old shard, id, size, checksum and a number among rows equal in these. Only repeated rows are numbered by a shuffle."""
+    columns, keys = old.columns, ["__shard", "__id", "__size", "__crc"]
+    goes = moves.select(F.col("old_shard").alias("__shard"), F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("text_crc32").alias("__crc"), F.col("shard").alias("__to"), F.col("slot").alias("__slot"))
+    goes = stored(goes.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy("__to", "__slot"))), "shard-moves")
+    again = small(stored(goes.where("__nth = 2").select([F.col(k).alias(f"{k}_2") for k in keys]), "shard-repeated"))
+    rows = old.select("*", F.col("shard").alias("__shard"), F.col(id_col).alias("__id"), _size(text_col).alias("__size"), _crc(text_col).alias("__crc"))
+    twice = F.lit(True)
+    for k in keys:
+        twice = twice & F.col(k).eqNullSafe(F.col(f"{k}_2"))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*columns)))
+    rows = rows.join(again, twice, "left_anti").withColumn("__nth", F.lit(1)).unionByName(rows.join(again, twice, "left_semi").withColumn("__nth", nth))
+    rows, goes = rows.alias("a"), small(goes).alias("b")
+    same = F.lit(True)
+    for k in [*keys, "__nth"]:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    return rows.join(goes, same).select(*[F.col(f"a.{c}") for c in columns], "__to", "__slot")
+
+
+def rewrite(spark: SparkSession, old_path: str, new_path: str, moves: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
     """Rewrite the files of shards that gain or lose documents; shards that keep all of theirs are not read.
 
-    ``old_path`` and ``new_path`` hold ``shard=N`` folders of Parquet; ``moves`` has ``(id_col, old_shard, shard)``
-    for every document. Returns the shards whose contents stayed and whose files can be linked or kept. The
-    documents of the others are written by Spark's writer, so a lost task is run again. Ids must be unique.
+    ``old_path`` and ``new_path`` hold ``shard=N`` folders of Parquet, the new ones with ``slot``; ``moves`` is what
+    ``shard_documents`` gives, for every row. Returns the shards whose contents stayed and whose files can be linked or kept. The
+    documents of the others are written by Spark's writer, so a lost task is run again. Null and repeated ids are moved like any other.
     """
     changed = moves.where("old_shard <> shard").agg(F.collect_set("old_shard"), F.collect_set("shard")).first()
     touched = sorted({*changed[0], *changed[1]})  # at most one number a shard
     old = spark.read.parquet(old_path)
     columns = [c for c in old.columns if c != "shard"]
-    part = old.where(F.col("shard").isin(touched)) if touched else old.limit(0)
-    goes = moves.where(F.col("old_shard").isin(touched)).select(F.col(id_col), F.col("shard").alias("__to")) if touched else moves.limit(0).select(F.col(id_col), F.col("shard").alias("__to"))
-    part.drop("shard").join(goes, id_col).select(*columns, F.col("__to").alias("shard")).write.partitionBy("shard").parquet(new_path)
+    part, goes = old.where(F.col("shard").isin(touched)), moves.where(F.col("old_shard").isin(touched))
+    if not touched:
+        part, goes = old.limit(0), moves.limit(0)
+    _placed(part, goes, id_col, text_col).select(*columns, F.col("__slot").alias("slot"), F.col("__to").alias("shard")).write.partitionBy("shard").parquet(new_path)
     every = {r[0] for r in moves.select("old_shard").distinct().collect()}  # one row a shard
     return sorted(every - set(touched))
+
+
+def reshard(docs: DataFrame, shards: int = 8, old_shards: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write ``docs`` as old shards, move them as ``shard_documents`` says, rewrite the affected files and read all shards
+    back: ``(doc_id, size, text_crc32, old_shard, shard, slot)`` of the documents found there."""
+    spark = docs.sparkSession
+    base = f"{shared_dir(spark)}/wrenchlake/shards-{uuid.uuid4().hex}"
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    narrow.withColumn("shard", _old_shard("doc_id", old_shards)).write.partitionBy("shard").parquet(f"{base}/old")
+    layout = narrow.withColumn("shard", F.lit(None).cast("int")).schema
+    old = spark.read.schema(layout).parquet(f"{base}/old")
+    moves = stored(shard_documents(old.drop("shard"), shards, old_shards), "shard-placed")
+    if not moves.take(1):
+        return moves
+    stayed = rewrite(spark, f"{base}/old", f"{base}/new", moves)
+    layout = narrow.select("*", F.lit(None).cast("long").alias("slot"), F.lit(None).cast("int").alias("shard")).schema
+    back = spark.read.schema(layout).parquet(f"{base}/new")
+    if stayed:
+        kept = _placed(old.where(F.col("shard").isin(stayed)), moves.where(F.col("old_shard").isin(stayed)), "doc_id", "text")
+        back = back.unionByName(kept.select("doc_id", "text", F.col("__slot").alias("slot"), F.col("__to").alias("shard")))
+    return back.select("doc_id", _size("text").alias("size"), _crc("text").alias("text_crc32"), _old_shard("doc_id", old_shards).alias("old_shard"), "shard", "slot")

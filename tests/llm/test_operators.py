@@ -244,30 +244,82 @@ def test_lines_against_brute_force(spark, sample):
         assert r.text == "\n".join(x for n, x in enumerate(text.split("\n")) if n not in drops.get(r.doc_id, ()))
 
 
-def test_lines_of_a_crowd(spark):
-    """Near copies that share one band only are found in a bucket of more lines than REFINE, too."""
-    rng = random.Random(3)
+def components_of(spark, lines):
+    """The lines' components, by their numbers."""
+    made = spark.createDataFrame(lines, "line_id long, line string")
+    signed, weak = linededup.signatures(made)
+    assert not weak.take(1)
+    return {r[0]: r[1] for r in linededup.near_lines(linededup.buckets(signed), made).collect()}
+
+
+@pytest.mark.parametrize("size", [60, 300])
+def test_lines_recall_in_a_crowd(spark, size):
+    """Edits of one line, most of them less alike than 0.8: of the pairs that brute force links, at least 0.9 are linked; none besides."""
+    rng = random.Random(size)
     word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
-    lines = [(i, word(60)) for i in range(2 * linededup.REFINE)]
-    lines[1] = (1, lines[0][1][:58] + "zz")
-    signed = [(i, [7] + [100 * i + b for b in range(7)], 0, 0, 0, False) for i, _ in lines]
-    signed = spark.createDataFrame(signed, "line_id long, keys array<long>, s0 long, s1 long, s2 long, collides boolean")
-    found = linededup.near_lines(spark.createDataFrame(lines, "line_id long, line string"), signed).collect()
-    assert {tuple(r) for r in found} == {(0, 0), (1, 0)}
+    base, lines = word(size), []
+    for i in range(250):
+        x = base
+        for _ in range(rng.randint(1, max(1, size // 40))):
+            at = rng.randrange(size - 10)
+            x = x[:at] + word(rng.randint(1, 8)) + x[at + rng.randint(1, 8) :]
+        lines.append((i, x))
+    found = components_of(spark, lines)
+    sets = [{x[j : j + 8] for j in range(len(x) - 7)} for _, x in lines]
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    links = [(a, b) for a, b in combinations(range(len(lines)), 2) if alike(a, b) >= 0.8]
+    assert len(links) > 30
+    assert np.mean([found.get(a, a) == found.get(b, b) for a, b in links]) >= 0.9
+    parent = list(range(len(lines)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    assert all(find(i) == find(c) for i, c in found.items())
 
 
-def test_lines_short_and_weakly_signed(spark):
-    """Minima of short lines do not depend on each other, and pairs of few equal minima are compared, too."""
+def test_lines_short_and_long_meet(spark):
+    """Lines of any length share a key with their near copies: short ones, those near the border, long and repetitive ones."""
     rng = random.Random(9)
     word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
-    pairs = [(2 * i, x) for i, x in enumerate(word(11) for _ in range(4000))]  # 4 of 5 shingles shared: 0.8
-    pairs += [(i + 1, x + rng.choice("0123456789")) for i, x in pairs]
-    keys = {r.line_id: r["keys"] for r in linededup.signatures(spark.createDataFrame(pairs, "line_id long, line string")).collect()}
-    missed = sum(not set(keys[i]) & set(keys[i + 1]) for i in range(0, 8000, 2))
-    assert missed <= 0.008 * 4000  # 0.003 are expected
-    signed = spark.createDataFrame([(i, [7, i], i, i, i, False) for i in (0, -1)], "line_id long, keys array<long>, s0 long, s1 long, s2 long, collides boolean")
-    lines = spark.createDataFrame([(0, pairs[0][1]), (-1, pairs[4000][1])], "line_id long, line string")
-    assert {tuple(r) for r in linededup.near_lines(lines, signed).collect()} == {(0, -1), (-1, -1)}
+    missed = {}
+    for size in (11, 30, 95, 110, 400):
+        pairs = [(2 * i, word(size)) for i in range(400)]
+        differ = max(1, round(0.09 * (size - 7)))
+        pairs += [(i + 1, x + "#" if size == 11 else x[:-differ] + "0123456789"[:differ].ljust(differ, "#")) for i, x in pairs]
+        keys = {}
+        for r in linededup.signatures(spark.createDataFrame(pairs, "line_id long, line string"))[0].collect():
+            keys.setdefault(r.line_id, set()).update(r["keys"])
+        missed[size] = np.mean([not keys[i] & keys[i + 1] for i in range(0, 800, 2)])
+    assert max(missed.values()) <= 0.02, missed
+    found = components_of(spark, [(1, "-" * 60), (2, "-" * 500), (3, "=-" * 90), (4, "-=" * 30 + "-")])
+    assert found == {1: 1, 2: 1, 3: 3, 4: 3}
+
+
+def test_lines_weakly_signed(spark):
+    """A long line of few shingles that was not told as such is signed again and meets its short near copy."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    core = word(23)
+    long = core + core * 9
+    signed = spark.createDataFrame([(1, [1], False), (2, [2], False)], "line_id long, keys array<long>, collides boolean")
+    texts = spark.createDataFrame([(1, long), (2, core * 3)], "line_id long, line string")
+    again = linededup._signed(texts.where("line_id = 2"), F.array(F.lit(0))).first()["keys"]
+    signed = signed.where("line_id = 1").unionByName(spark.createDataFrame([(2, again, False)], signed.schema))
+    more = linededup._more_buckets(signed, texts.where("line_id = 1").select("line_id"), texts)
+    assert {r.line_id for r in more.collect()} == {1, 2}
+
+
+def test_lines_clashing_columns(spark):
+    docs = docs_of(spark, [(1, "a line that is there twice\nanother one here"), (2, "a line that is there twice")]).select("doc_id", "text")
+    docs = docs.selectExpr("doc_id", "text", "1 as drops", "2 as n_lines", "3 as n_dropped", "4 as line", "5 as line_id", "6 as key", "7 as __drops", "8 as __id", "9 as `a.b`")
+    got = linededup.dedup_lines(docs)
+    assert got.columns == ["doc_id", "text", "drops", "line", "line_id", "key", "__drops", "__id", "a.b", "n_lines", "n_dropped"]
+    assert {(r.doc_id, r.text, r.n_lines, r.n_dropped, r.drops, r["a.b"]) for r in got.collect()} == {(1, "a line that is there twice\nanother one here", 2, 0, 1, 9), (2, "", 1, 1, 1, 9)}
 
 
 def test_lines_odd_rows(spark):

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wrenchlake.llm.common import cut, small, stored, text_of
+from wrenchlake.llm.common import small, stored, text_of
 from wrenchlake.llm.components import connected_components
 
 #: Characters (UTF-16 units) of a shingle; a shorter line has one shingle, itself.
@@ -17,16 +17,22 @@ SHINGLE = 8
 SIMILARITY = 0.8
 #: A pair at exactly that similarity shares a band with probability 1 - (1 - 0.8**3)**8 = 0.997.
 BANDS, ROWS = 8, 3
-#: Lines of larger buckets meet by their rarest shingles instead.
-REFINE = 32
+MINIMA = BANDS * ROWS
+#: Lines of more places than this are signed by one hash function, whose values are dealt into bins of a minimum each; those of up to
+#: ``LONG / SIMILARITY`` by ``MINIMA`` hash functions. Lines between are signed both ways, so that any two alike share one.
+LONG = 96
+#: Of a long line only so many shingles a bin, those of least hash, are looked at: the others hardly ever are a minimum.
+IN_BIN = 3
+#: A long line with fewer bins filled repeats itself; it is signed as short ones are, too.
+FILLED = MINIMA // 2
 
 _rng = random.Random(4)
-#: Hash functions: a shingle's hash XOR a mask, times an odd factor modulo 2**32. By masks alone the minima of short lines
+#: Hash functions of short lines: a shingle's hash XOR a mask, times an odd factor modulo 2**32. By masks alone the minima
 #: depend on each other.
-MASKS = [_rng.getrandbits(32) - (1 << 31) for _ in range(BANDS * ROWS)]
-FACTORS = [_rng.getrandbits(31) | 1 for _ in range(BANDS * ROWS)]
-#: Longs of a line's parity sketch.
-SKETCH = 4
+MASKS = [_rng.getrandbits(32) - (1 << 31) for _ in range(MINIMA)]
+FACTORS = [_rng.getrandbits(31) | 1 for _ in range(MINIMA)]
+#: Longs of a line's bitmap of shingles.
+SKETCH = 32
 
 
 def _normal(line: Column) -> Column:
@@ -40,132 +46,151 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return split.withColumn("line", _normal(F.col("line"))).where("line <> ''").withColumn("line_id", F.xxhash64("line"))
 
 
+def _hashed(lines: DataFrame, keep: list[str], hashed: str, where: str = "true") -> DataFrame:
+    """One row per shingle of the lines, which have ``units`` (the text in UTF-16) and ``last`` (where the last shingle begins), with ``h``, its
+    hash by the function named. Generated code, not a lambda: the array of places is exploded."""
+    placed = lines.select(*keep, "units", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(2))).alias("i"))
+    return placed.select(*keep, F.expr(f"{hashed}(substring(units, i, {2 * SHINGLE}))").alias("h")).where(where)
+
+
+def _in_units(lines: DataFrame) -> DataFrame:
+    """The lines with ``units``, ``last`` and ``n``, the number of shingles, repeats included."""
+    rows = lines.withColumn("units", F.encode(F.col("line"), "UTF-16BE"))
+    return rows.withColumn("last", F.greatest(F.lit(1), F.octet_length("units") - 2 * SHINGLE + 1)).withColumn("n", F.expr("(last + 1) div 2"))
+
+
 def _shingles(line: Column) -> Column:
-    """The hashed shingles of a line, distinct. The encoded line is bound once, not encoded anew for each place."""
+    """The 64-bit hashes of a line's shingles, distinct. The encoded line is bound once, not encoded anew for each place."""
 
     def of(units: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(units) - 2 * SHINGLE + 1), F.lit(2))
-        return F.array_distinct(F.transform(starts, lambda i: F.hash(F.substring(units, i, F.lit(SHINGLE * 2)))))
+        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(units, i, F.lit(SHINGLE * 2)))))
 
     return F.element_at(F.transform(F.array(F.encode(line, "UTF-16BE")), of), 1)
 
 
 def _similar(a: Column, b: Column) -> Column:
-    """Whether two sets have a Jaccard similarity of at least ``SIMILARITY``; each set is made once."""
+    """Whether two sets have a Jaccard similarity of at least ``SIMILARITY``; each is made once."""
 
     def of(p: Column) -> Column:
-        small_, large = F.least(F.size(p["a"]), F.size(p["b"])), F.greatest(F.size(p["a"]), F.size(p["b"]))
         common = F.size(F.array_intersect(p["a"], p["b"]))
-        return (small_ >= SIMILARITY * large) & (common >= SIMILARITY * (small_ + large - common))
+        return common >= SIMILARITY * (F.size(p["a"]) + F.size(p["b"]) - common)
 
     return F.element_at(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), of), 1)
 
 
-def _permuted(h: Column, k: int) -> Column:
-    """The k-th hash function of a shingle's 32-bit hash."""
-    return (h.bitwiseXOR(F.lit(MASKS[k])).cast("long") * F.lit(FACTORS[k]).cast("long")).bitwiseAND(F.lit((1 << 32) - 1).cast("long"))
+def _permuted(k: int) -> str:
+    """The k-th hash function of a shingle's 32-bit hash ``h``."""
+    return f"bigint(h ^ {MASKS[k]}) * {FACTORS[k]}L & 4294967295L"
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
-    """``(line_id, size, s0, ...)``: how many shingles a line has and the parities of their numbers by hash modulo the sketch's
-    width. Where two sketches differ, a shingle is in one set only, so they bound the sets' difference from below."""
-    placed = texts.select("line_id", F.explode(_shingles(F.col("line"))).alias("h")).withColumn("at", F.pmod(F.xxhash64("h"), F.lit(64 * SKETCH)).cast("int"))
-    words = [F.bit_xor(F.when(F.shiftright("at", 6) == i, F.expr("shiftleft(1L, at & 63)")).otherwise(F.lit(0).cast("long"))).alias(f"s{i}") for i in range(SKETCH)]
+    """``(line_id, size, s0, ...)``: how many shingles a line has, repeats included, and a bitmap of their hashes. Where one bitmap has a bit
+    that the other lacks, a shingle is in one set only, so they bound the sets' difference from below."""
+    at = F.pmod("h", F.lit(64 * SKETCH)).cast("int")
+    placed = _hashed(_in_units(texts), ["line_id"], "xxhash64").select("line_id", at.alias("at"))
+    placed = placed.select("line_id", F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, at & 63)").alias("bit"))
+    words = [F.expr(f"coalesce(bit_or(bit) filter (where word = {i}), 0L)").alias(f"s{i}") for i in range(SKETCH)]
     return placed.groupBy("line_id").agg(F.count("*").alias("size"), *words)
 
 
 def _possible() -> Column:
-    """Whether two sketched sets can have the least similarity; never false for those that have it."""
-    differ = reduce(Column.__add__, [F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(SKETCH)])
-    a, b = F.col("a_size"), F.col("b_size")
-    return (F.least(a, b) + 1e-6 >= SIMILARITY * F.greatest(a, b)) & (differ * (1 + SIMILARITY) <= (a + b) * (1 - SIMILARITY) + 1e-6)
-
-
-def signatures(lines: DataFrame) -> DataFrame:
-    """``(line_id, keys, collides)``: per distinct line, one hash a band. Shingles are exploded and their minima are aggregated within the
-    task that made them; one row a line and task is shuffled. Two lines of one id (a collision of 64-bit hashes) are
-    left out: they are handled as lines without near copies, exactly, by ``decide``."""
-    units = F.encode(F.col("line"), "UTF-16BE")
-    places = lines.select("line_id", F.xxhash64("line", F.lit(1)).alias("check_id"), units.alias("units"))
-    last = F.greatest(F.lit(1), F.octet_length("units") - 2 * SHINGLE + 1)
-    hashed = places.select("line_id", "check_id", "units", F.explode(F.sequence(F.lit(1), last, F.lit(2))).alias("i")).select("line_id", "check_id", F.hash(F.substring(F.col("units"), F.col("i"), F.lit(SHINGLE * 2))).alias("h"))
-    lows = [F.min(_permuted(F.col("h"), k)).alias(f"m{k}") for k in range(BANDS * ROWS)]
-    signed = hashed.groupBy("line_id").agg(*lows, F.min("check_id").alias("c0"), F.max("check_id").alias("c1"))
-    keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    return signed.select("line_id", F.array(*keys).alias("keys"), (F.col("c0") != F.col("c1")).alias("collides"))
-
-
-def _shared(banded: DataFrame) -> DataFrame:
-    """``(key, low, n)`` of the keys that two lines or more have; counts are pre-aggregated by task."""
-    return banded.groupBy("key").agg(F.min("line_id").alias("low"), F.count("*").alias("n")).where("n > 1")
-
-
-def _prefixes(lines: DataFrame, crowd: DataFrame) -> DataFrame:
-    """``(line_id, key)``: of each line of ``crowd`` its rarest shingles, of n shingles those beyond the most that a
-    pair at the least similarity can leave out of what it shares, and one more. In any common order of shingles two lines at that
-    similarity share one of these, so nothing is lost. Counts above ``REFINE`` order the shingles, ties go by hash."""
-    texts = lines.select("line_id", "line").join(small(crowd), "line_id", "left_semi").groupBy("line_id").agg(F.first("line").alias("line"))
-    sets = stored(texts.select("line_id", _shingles(F.col("line")).alias("set")), "lines-crowd-sets")
-    placed = sets.select("line_id", F.explode("set").alias("h"))
-    common = stored(placed.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > REFINE), "lines-common")
-    ranked = placed.join(small(common), "h", "left").select("line_id", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h").alias("x"))
-    ordered = ranked.groupBy("line_id").agg(F.sort_array(F.collect_list("x")).alias("xs"))
-    most = F.floor(F.size("xs") * (1 - SIMILARITY) + 1e-6).cast("int") + 1
-    return ordered.select("line_id", F.explode(F.slice("xs", F.lit(1), most)).alias("x")).select("line_id", F.xxhash64(F.lit(-1), "x.h").alias("key"))
-
-
-def buckets(lines: DataFrame, signed: DataFrame) -> DataFrame:
-    """``(key, low, line_id)``: the members of each bucket with its smallest line.
-
-    A bucket of more than ``REFINE`` lines, such as lines that share a long passage but are not near copies, is
-    replaced by buckets of the rarest shingles of its lines, in which every pair at the least similarity meets: in
-    a crowd no pair is lost, whatever its size.
-    """
+    """Whether two sketched sets can have the least similarity; never false for those that have it. A set has at most ``size``
+    and at least as many shingles as bits set."""
+    over = lambda f: reduce(Column.__add__, [F.bit_count(f(i)) for i in range(SKETCH)])
+    a, b = (lambda i: F.col(f"a_s{i}")), (lambda i: F.col(f"b_s{i}"))
+    most = F.col("a_size") + F.col("b_size")
+    near = (F.col("a_size") + 1e-6 >= SIMILARITY * over(b)) & (F.col("b_size") + 1e-6 >= SIMILARITY * over(a))
+    return (over(lambda i: a(i).bitwiseXOR(b(i))) * (1 + SIMILARITY) <= most * (1 - SIMILARITY) + 1e-6) & near
+
+
+def _signed(lines: DataFrame, kinds: Column) -> DataFrame:
+    """``(line_id, keys, collides, kind, filled)``: per line and kind (0: short, 1: long) one hash a band whose minima are all there."""
+    rows = _in_units(lines.select("line_id", F.xxhash64("line", F.lit(1)).alias("check_id"), "line"))
+    rows = rows.select("line_id", "check_id", "units", "last", "n", F.explode(kinds).alias("kind"))
+    below = F.least(F.lit(2.0**31 - 1), F.lit(2.0**32) * (IN_BIN * MINIMA) / F.col("n") - 2.0**31).cast("int")
+    rows = rows.withColumn("below", F.when(F.col("kind") == 0, F.lit((1 << 31) - 1)).otherwise(below))
+    hashed = _hashed(rows, ["line_id", "check_id", "kind", "below"], "hash", "h <= below")
+    hashed = hashed.withColumn("bin", F.when(F.col("kind") == 0, -1).otherwise(F.shiftright(F.col("h").bitwiseAND(F.lit(0xFFFF)) * MINIMA, 16)))
+    lows = [F.expr(f"min(if(bin = -1, {_permuted(k)}, bigint(h))) filter (where bin = {k} or bin = -1)").alias(f"m{k}") for k in range(MINIMA)]
+    signed = hashed.groupBy("line_id", "kind").agg(*lows, *[F.expr(f"{f}(check_id) filter (where bin <= 2)").alias(f) for f in ("min", "max")])
+    of_band = lambda b: [F.col(f"m{b * ROWS + r}") for r in range(ROWS)]
+    whole = lambda b: reduce(Column.__and__, [c.isNotNull() for c in of_band(b)])
+    keys = [F.when(whole(b), F.xxhash64(F.col("kind") * BANDS + b, *of_band(b))) for b in range(BANDS)]
+    filled = reduce(Column.__add__, [F.col(f"m{k}").isNotNull().cast("int") for k in range(MINIMA)])
+    return signed.select("line_id", F.array_compact(F.array(*keys)).alias("keys"), F.coalesce(F.col("min") != F.col("max"), F.lit(False)).alias("collides"), "kind", filled.alias("filled"))
+
+
+def signatures(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(line_id, keys, collides)``: one hash a band for each way a line is signed, and ``(line_id)`` of the lines that are signed too weakly.
+
+    Shingles are exploded and their minima are aggregated within the task that made them; one row a line and task is
+    shuffled. Long lines are signed by one hash function, short ones, those between and those that repeat few shingles by several (see
+    ``LONG``). Lines that repeat few shingles without having been told are the weak ones: they are to be signed as short ones, too, once
+    their text is at hand. Two lines of one id (a collision of 64-bit hashes) are marked: they are handled as lines without near copies,
+    exactly, by ``decide``."""
+    n = F.col("n")
+    # most lines that repeat themselves are told by how often they hold what stands at three places
+    piece = lambda k: F.substring(F.col("line"), F.expr(f"length(line) * {k} div 8 + 1"), F.lit(SHINGLE))
+    often = lambda k: F.octet_length("line") - F.octet_length(F.replace(F.col("line"), piece(k), F.lit(""))) >= 4 * SHINGLE
+    repeats = often(1) | often(4) | often(6)
+    kinds = F.when(n <= LONG, F.array(F.lit(0))).when((n <= LONG / SIMILARITY) | repeats, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+    signed = stored(_signed(lines, kinds), "lines-signed")
+    both = signed.where("kind = 0").select("line_id")
+    weak = signed.where((F.col("kind") == 1) & (F.col("filled") < FILLED) & ~F.col("collides")).select("line_id").join(both, "line_id", "left_anti")
+    return signed.select("line_id", "keys", "collides"), stored(weak, "lines-weak")
+
+
+def buckets(signed: DataFrame) -> DataFrame:
+    """``(key, low, line_id)``: the members of each bucket of two lines or more, with its smallest line."""
     banded = signed.where("not collides").select("line_id", F.explode("keys").alias("key"))
-    shared = stored(_shared(banded), "lines-buckets")
-    members = stored(banded.join(small(shared), "key").select("key", "low", "n", "line_id"), "lines-members")
-    crowd = stored(members.where(F.col("n") > REFINE).select("line_id").distinct(), "lines-crowd")
-    rare = stored(_prefixes(lines, crowd), "lines-rare")
-    refined = rare.join(small(stored(_shared(rare), "lines-refined")), "key").select("key", "low", "line_id")
-    return stored(members.where(F.col("n") <= REFINE).select("key", "low", "line_id").unionByName(refined), "lines-candidates")
+    shared = stored(banded.groupBy("key").agg(F.min("line_id").alias("low"), F.count("*").alias("n")).where("n > 1").select("key", "low"), "lines-buckets")
+    return stored(banded.join(small(shared), "key").select("key", "low", "line_id"), "lines-members")
+
+
+def _more_buckets(signed: DataFrame, weak: DataFrame, texts: DataFrame) -> DataFrame:
+    """The buckets that weak lines are in when they are signed as short ones."""
+    again = stored(_signed(texts.join(small(weak), "line_id", "left_semi"), F.array(F.lit(0))).select("line_id", "keys", "collides"), "lines-signed-again")
+    asked = small(stored(again.select(F.explode("keys").alias("key")).distinct(), "lines-weak-keys"))
+    banded = signed.where("not collides").select("line_id", F.explode("keys").alias("key")).join(asked, "key", "left_semi")
+    return buckets(banded.select("line_id", F.array("key").alias("keys"), F.lit(False).alias("collides")).unionByName(again))
 
 
-def near_lines(lines: DataFrame, signed: DataFrame) -> DataFrame:
-    """``(node, component)`` of lines that have a verified near copy.
+def near_lines(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(node, component)`` of lines that have a verified near copy; ``texts(line_id, line)`` holds the lines of the buckets, once each.
 
-    Lines that share a bucket are candidates. Each is first compared with the smallest line of its bucket. Where
+    Lines that share a key are candidates. Each is first compared with the smallest line of its bucket. Where
     that leaves a bucket in several components, the lines outside its largest are compared with all of its
     lines of other components. So every candidate pair is verified or already connected, and a bucket of copies of one
     line needs about as many comparisons as it has lines. Pairs whose sizes or sketches rule
-    the similarity out are cut before texts are fetched, losslessly; the others' are exact Jaccard similarities.
+    the similarity out are cut within the join, losslessly, before texts are fetched; the others' are exact Jaccard similarities
+    of sets of 64-bit hashes.
     """
-    members = buckets(lines, signed)
-    wanted = stored(members.select("line_id").distinct(), "lines-wanted")
-    texts = lines.select("line_id", "line").join(small(wanted), "line_id", "left_semi").groupBy("line_id").agg(F.first("line").alias("line"))
-    texts = stored(texts, "lines-texts")
     sketches = stored(_sketches(texts), "lines-sketches")
-    sketch = [c for c in sketches.columns if c != "line_id"]
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        a = sketches.withColumnsRenamed({"line_id": "src"} | {c: f"a_{c}" for c in sketch})
-        b = sketches.withColumnsRenamed({"line_id": "dst"} | {c: f"b_{c}" for c in sketch})
-        likely = stored(pairs.distinct().join(a, "src").join(b, "dst").where(_possible()).select("src", "dst"), "lines-likely")
-        ends = stored(likely.select(F.explode(F.array("src", "dst")).alias("line_id")).distinct(), "lines-ends")
-        some = texts.join(small(ends), "line_id", "left_semi")
-        both = likely.join(some.withColumnsRenamed({"line_id": "src", "line": "a"}), "src").join(some.withColumnsRenamed({"line_id": "dst", "line": "b"}), "dst")
-        return both.where(_similar(_shingles(F.col("a")), _shingles(F.col("b")))).select("src", "dst")
-
-    edges = cut(verified(members.where("line_id > low").select(F.col("low").alias("src"), F.col("line_id").alias("dst"))))
+    of = lambda side, key: sketches.withColumnsRenamed({c: f"{side}_{c}" for c in sketches.columns if c != "line_id"} | {"line_id": key})
+
+    def verified(likely: DataFrame) -> DataFrame:
+        """The pairs of at least the similarity. The sets of ``src`` are made once a line, after its text was dealt out."""
+        pairs = stored(likely, "lines-likely")
+        sources = small(stored(pairs.select(F.col("src").alias("line_id")).distinct(), "lines-sources"))
+        sets = texts.join(sources, "line_id", "left_semi").repartition("line_id").select(F.col("line_id").alias("src"), _shingles(F.col("line")).alias("a"))
+        both = pairs.join(texts.withColumnRenamed("line_id", "dst"), "dst").join(sets.hint("merge"), "src")
+        return stored(both.where(_similar(F.col("a"), _shingles(F.col("line")))).select("src", "dst"), "lines-verified")
+
+    star = members.where("line_id > low").select(F.col("low").alias("src"), F.col("line_id").alias("dst")).distinct()
+    edges = verified(star.join(of("a", "src"), "src").join(of("b", "dst"), "dst").where(_possible()).select("src", "dst"))
     parts = stored(connected_components(edges), "lines-parts")
     placed = members.join(small(parts), F.col("line_id") == F.col("node"), "left").select("key", "line_id", F.coalesce("component", "line_id").alias("part"))
     by_part = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
     # the largest component of a bucket, ties to the smallest: counts and numbers only
-    most = by_part.groupBy("key").agg(F.max("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
-    main = by_part.join(most.select("key", "n"), ["key", "n"]).groupBy("key").agg(F.min("part").alias("main"))
-    split = stored(placed.join(small(stored(main, "lines-main")), "key"), "lines-split")
-    apart = split.where("part <> main").select("key", "line_id", "part")
-    others = split.select("key", F.col("line_id").alias("other"), F.col("part").alias("other_part"))
-    second = apart.join(others, "key").where("part <> other_part").select(F.least("line_id", "other").alias("src"), F.greatest("line_id", "other").alias("dst"))
+    largest = by_part.groupBy("key").agg(F.max(F.struct("n", -F.col("part"))).alias("x"), F.count("*").alias("parts")).where("parts > 1")
+    main = stored(largest.select("key", (-F.col("x.col2")).alias("main")), "lines-main")
+    split = stored(placed.join(small(main), "key"), "lines-split")
+    apart = split.where("part <> main").join(of("a", "line_id"), "line_id").withColumnRenamed("line_id", "one")
+    others = split.join(of("b", "line_id"), "line_id").select("key", F.col("line_id").alias("other"), F.col("part").alias("other_part"), *[f"b_{c}" for c in sketches.columns if c != "line_id"])
+    once = (F.col("other_part") == F.col("main")) | (F.col("one") < F.col("other"))
+    met = apart.join(others, (apart["key"] == others["key"]) & (F.col("part") != F.col("other_part")) & once & _possible())
+    second = met.select(F.least("one", "other").alias("src"), F.greatest("one", "other").alias("dst")).distinct()
     return connected_components(edges.unionByName(verified(second)))
 
 
@@ -176,15 +201,25 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     line. Occurrences, not texts, are shuffled. Two lines of one 64-bit id are told apart by a second hash.
     """
     lines = _lines(docs, id_col, text_col)
-    signed = stored(signatures(lines), "lines-signed")
-    parts = stored(near_lines(lines, signed), "lines-components")
+    signed, weak = signatures(lines)
+    members = buckets(signed)
+    wanted = stored(members.select("line_id").unionByName(weak).distinct().withColumnRenamed("line_id", "wanted_id"), "lines-wanted")
+    at_least = lines.select("*", F.xxhash64("line", F.lit(1)).alias("check_id")).join(small(wanted), F.col("line_id") == F.col("wanted_id"), "left")
+    placed = stored(at_least.select("doc_id", "text_key", "line_no", "line_id", "check_id", F.when(F.col("wanted_id").isNotNull(), F.col("line")).alias("line")), "lines-placed")
+    texts = stored(placed.where("line is not null").select("line_id", "line").distinct(), "lines-texts")
+    if weak.take(1):
+        more = _more_buckets(signed, weak, texts)
+        members = members.unionByName(more)
+        missing = stored(more.select("line_id").distinct().join(wanted, F.col("line_id") == F.col("wanted_id"), "left_anti"), "lines-missing")
+        if missing.take(1):
+            texts = stored(texts.unionByName(lines.select("line_id", "line").join(small(missing), "line_id", "left_semi").distinct()), "lines-texts")
+    parts = stored(near_lines(members, texts), "lines-components")
     # (id, line number) as one number of fixed width, which hash aggregation can take the minimum of
     at = (F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(f"-{10**19}").cast("decimal(20,0)")) * F.lit(10**10).cast("decimal(11,0)") + F.col("line_no").cast("decimal(10,0)")).cast("decimal(38,0)")
-    joined = lines.select("doc_id", "text_key", "line_no", "line_id", F.xxhash64("line", F.lit(1)).alias("check_id")).join(small(parts), F.col("line_id") == F.col("node"), "left")
-    twice = stored(signed.where("collides").select(F.col("line_id").alias("twice_id")), "lines-collisions")  # as good as none
+    joined = placed.drop("line").join(small(parts), F.col("line_id") == F.col("node"), "left")
+    twice = stored(signed.where("collides").select(F.col("line_id").alias("twice_id")).distinct(), "lines-collisions")  # as good as none
     joined = joined.join(small(twice), F.col("line_id") == F.col("twice_id"), "left")
     named = joined.select("doc_id", "text_key", "line_no", F.coalesce("component", "line_id").alias("part"), F.when(F.col("twice_id").isNotNull(), F.col("check_id")).otherwise(0).alias("sub"))
-    named = stored(named, "lines-named")
     first = stored(named.groupBy("part", "sub").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").select("part", "sub", "first"), "lines-first")
     again = named.join(small(first), ["part", "sub"]).where(F.col("first") != at)
     return again.groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("drops"))
@@ -196,16 +231,24 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Blank lines stay. A text that loses lines is what remains joined by newlines; one that loses all is empty. Null
     texts stay null, with no lines. Rows that repeat an id are one
     document as to which occurrence is first; rows that repeat id and text share their decisions. Lines are compared
-    trimmed and lower-cased; those shorter than a shingle match only equal ones. Other columns pass through.
+    trimmed and lower-cased; those shorter than a shingle match only equal ones. Null ids come first. Other columns pass
+    through, whatever their names, but for columns named ``n_lines`` and ``n_dropped``, which are replaced. An empty table gives an empty one.
     """
-    drops = stored(decide(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "drops"), "lines-drops")
-    key = F.xxhash64(text_of(text_col))
-    joined = docs.join(small(drops), F.col(id_col).eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left")
-    lines = F.split(F.col(text_col), "\n")
-    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col("drops"), i)), "\n")
-    text = F.when(F.col("drops").isNull(), F.col(text_col)).otherwise(kept)
+    drops = stored(decide(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("drops").alias("__drops")), "lines-drops")
+    columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    rows, drops = docs.select(columns).alias("__docs"), small(drops).alias("__found")
+    own = lambda c: F.col(f"__docs.`{c}`")
+    joined = rows.join(drops, own(id_col).eqNullSafe(F.col("__found.__id")) & (F.xxhash64(F.coalesce(own(text_col).cast("string"), F.lit(""))) == F.col("__found.__key")), "left")
+
+    def kept(lines: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__found.__drops"))
+        return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+
+    rest = F.element_at(F.transform(F.array(F.split(own(text_col), "\n")), kept), 1)
+    text = F.when(F.col("__found.__drops").isNull(), own(text_col)).otherwise(rest)
+    breaks = F.octet_length(own(text_col)) - F.octet_length(F.replace(own(text_col), F.lit("\n"), F.lit("")))
     return joined.select(
-        *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"),
+        *[text.alias(c) if c == text_col else own(c).alias(c) for c in columns],
+        F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size(F.col("__found.__drops")), F.lit(0)).cast("long").alias("n_dropped"),
     )

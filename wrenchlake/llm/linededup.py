@@ -91,17 +91,17 @@ def _sketches(texts: DataFrame) -> DataFrame:
     placed = _hashed(_in_units(texts), ["line_id"], "xxhash64").select("line_id", at.alias("at"))
     placed = placed.select("line_id", F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, at & 63)").alias("bit"))
     words = [F.expr(f"coalesce(bit_or(bit) filter (where word = {i}), 0L)").alias(f"s{i}") for i in range(SKETCH)]
-    return placed.groupBy("line_id").agg(F.count("*").alias("size"), *words)
+    made = placed.groupBy("line_id").agg(F.count("*").alias("size"), *words)
+    return made.withColumn("bits", reduce(Column.__add__, [F.bit_count(f"s{i}") for i in range(SKETCH)]))
 
 
 def _possible() -> Column:
     """Whether two sketched sets can have the least similarity; never false for those that have it. A set has at most ``size``
-    and at least as many shingles as bits set."""
-    over = lambda f: reduce(Column.__add__, [F.bit_count(f(i)) for i in range(SKETCH)])
-    a, b = (lambda i: F.col(f"a_s{i}")), (lambda i: F.col(f"b_s{i}"))
-    most = F.col("a_size") + F.col("b_size")
-    near = (F.col("a_size") + 1e-6 >= SIMILARITY * over(b)) & (F.col("b_size") + 1e-6 >= SIMILARITY * over(a))
-    return (over(lambda i: a(i).bitwiseXOR(b(i))) * (1 + SIMILARITY) <= most * (1 - SIMILARITY) + 1e-6) & near
+    and at least as many shingles as ``bits`` set. The bounds that cost least come first."""
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(SKETCH)])
+    most = F.expr(f"({1 - SIMILARITY} * (a_size + b_size) + 1e-6) / {1 + SIMILARITY}")
+    near = F.expr(f"a_size + 1e-6 >= {SIMILARITY} * b_bits and b_size + 1e-6 >= {SIMILARITY} * a_bits")
+    return near & (F.abs(F.col("a_bits") - F.col("b_bits")) <= most) & (differ <= most)
 
 
 def _signed(lines: DataFrame, kinds: Column) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,51 +18,60 @@ DIMS = 4096
 BLOCK = 1 << 20
 #: Documents of each language the centroids are fitted on at most, chosen by a hash of the id.
 FIT_PER_LANGUAGE = 600
+#: Characters of a text that the fit takes at most, so that the sample is bounded in bytes, too.
+FIT_BYTES = 20_000
 CENTROIDS, ROUNDS = 4, 12
 #: A text is marked as rejected if it is less similar to its centroid than this quantile of what the centroid was fitted on.
 REJECT_QUANTILE = 0.01
 SEED = 11
 UNKNOWN = "und"
 
+_SPACES = re.compile(rb"  +")
 _LETTERS = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 
 PREDICTED = "struct<lang_pred: string, score: double, rejected: boolean>"
 
 
+def _add_grams(out: np.ndarray, held: list[bytes], owners: list[int], skip: list[int]) -> None:
+    """Add the n-grams of the pieces to their texts' counts. No gram reaches over the border of two pieces; the first ``skip`` bytes of a piece
+    were the last of the one before in the same text, so grams that lie within them are not counted twice."""
+    lengths = np.array([len(h) for h in held])
+    data = np.frombuffer(b"".join(held), np.uint8).astype(np.uint32)
+    rows, place = np.unique(owners, return_inverse=True)
+    owner = np.repeat(place.astype(np.uint32), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(data))  # bytes from here to the piece's end
+    at = np.repeat(lengths, lengths) - left  # and from its begin
+    told = np.repeat(np.array(skip), lengths)
+    total = np.zeros(len(rows) * DIMS)
+    gram = data
+    for n in (2, 3):
+        gram = gram[:-1] << np.uint32(8) | data[n - 1 :]
+        counts = (left >= n) & (at + n > told)
+        slot = (gram[counts[: len(gram)]] * np.uint32(2654435761) + np.uint32(n * 40503)) >> np.uint32(20)
+        total += np.bincount(owner[: len(gram)][counts[: len(gram)]] * np.uint32(DIMS) + slot, minlength=len(total))
+    out[rows] += total.reshape(len(rows), DIMS)
+
+
 def ngram_counts(texts: list[str]) -> np.ndarray:
     """Counts of hashed n-grams of two and three bytes of the lower-cased text, a row a text; BLOCK bytes at a time.
-    ASCII characters other than letters count as one space a run: digits and signs say little of a language."""
-    out = np.zeros((len(texts), DIMS), np.float32)
-    held, owners, size = [], [], 0
-
-    def count() -> None:
-        data = np.frombuffer(b"".join(held).translate(_LETTERS), np.uint8).astype(np.uint32)
-        rows = np.unique(owners)
-        place = np.searchsorted(rows, owners)
-        owner = np.repeat(place.astype(np.uint32), [len(h) for h in held])
-        told = np.ones(len(data), bool)
-        told[1:] = (data[1:] != 32) | (data[:-1] != 32)
-        data, owner = data[told], owner[told]
-        two = data[:-1] << np.uint32(8) | data[1:]
-        grams = [(two, owner[:-1]), ((two[:-1] << np.uint32(8) | data[2:]), owner[:-2])]
-        total = np.zeros(len(rows) * DIMS)
-        for n, (gram, who) in enumerate(grams, 2):
-            slot = (gram * np.uint32(2654435761) + np.uint32(n * 40503)) >> np.uint32(20)
-            total += np.bincount(who * np.uint32(DIMS) + slot, minlength=len(total))
-        out[rows] += total.reshape(len(rows), DIMS).astype(np.float32)
-
+    ASCII characters other than letters count as one space a run: digits and signs say little of a language. A row is a
+    function of its text alone, whatever stands beside it and however it is cut into blocks."""
+    out = np.zeros((len(texts), DIMS))
+    held, owners, skip, size = [], [], [], 0
     for k, text in enumerate(texts):
-        data = (" " + text + "  ").lower().encode("utf-8", "replace")
+        data = _SPACES.sub(b" ", b" " + text.lower().encode("utf-8", "replace").translate(_LETTERS) + b" ")
         for at in range(0, len(data), BLOCK):
-            held.append(data[at : at + BLOCK])
+            back = min(at, 2)
+            held.append(data[at - back : at + BLOCK])
             owners.append(k)
+            skip.append(back)
             size += len(held[-1])
             if size >= BLOCK or len(held) >= 2000:
-                count()
-                held, owners, size = [], [], 0
+                _add_grams(out, held, owners, skip)
+                held, owners, skip, size = [], [], [], 0
     if held:
-        count()
-    return out
+        _add_grams(out, held, owners, skip)
+    return out.astype(np.float32)
 
 
 @dataclass
@@ -86,7 +96,7 @@ class Model:
             if not len(self.centroids):
                 out += [(UNKNOWN, 0.0, True)] * len(part)
                 continue
-            cosine = self.vectors([t or "" for t in part]) @ self.centroids.T
+            cosine = np.round(self.vectors([t or "" for t in part]).astype(float) @ self.centroids.T.astype(float), 9)
             best = cosine.argmax(1)
             for text, k, c in zip(part, best.tolist(), cosine.max(1).tolist()):
                 letters = text is not None and any(map(str.isalpha, text))
@@ -134,16 +144,33 @@ def held_out(id_col: str = "doc_id") -> Column:
 def fit_on(docs: DataFrame, per_language: int = FIT_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on at most ``per_language`` documents of each language that aren't held out: those of least hash of the id.
 
-    Ranking is limited per task before the shuffle and reads no text; the chosen texts alone go to the
-    driver, ``per_language`` for each of a few languages. Null languages, ids and texts are passed over.
+    One row counts of those that repeat an id, that of least hash of its text, so the sample is bounded whatever is repeated; of a text
+    longer than ``FIT_BYTES`` characters the sample takes so many (predictions take all). Rows whose hash is beyond what
+    a few times the sample needs are cut before the ranking, unless a language then has too few. Null languages, ids and
+    texts are passed over. The chosen texts alone go to the driver, ``per_language`` for each of a few languages.
     """
-    rank = Window.partitionBy("__lang").orderBy("__hash", "__id")
-    rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    rows = rows.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.xxhash64(F.col(id_col)).alias("__hash"))
-    chosen = stored(rows.withColumn("__n", F.row_number().over(rank)).where(F.col("__n") <= per_language).select("__id", "__lang").distinct(), "langid-sample")
-    own = docs.join(F.broadcast(chosen), (F.col(id_col) == F.col("__id")) & (F.col(lang_col) == F.col("__lang")))
-    sample = sorted((r[0], r[1], r[2]) for r in own.where(F.col(text_col).isNotNull()).select("__id", "__lang", F.col(text_col).alias("__text")).collect())
-    return fit_model([r[2] for r in sample], [r[1] for r in sample])
+    usable = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = usable.select(F.col(lang_col).cast("string").alias("__lang"), F.xxhash64(F.col(id_col)).alias("__hash"), F.xxhash64(F.col(text_col)).alias("__key"))
+    sizes = {r[0]: r[1] for r in rows.groupBy("__lang").agg(F.count("*")).collect()}  # a row a language
+    if not sizes:
+        return fit_model([], [])
+    share = lambda n: min(1 << 62, 4 * per_language * (1 << 62) // n)
+    wide = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, share(n))])
+    some = F.shiftrightunsigned("__hash", 2) <= F.element_at(wide, F.col("__lang"))
+    rank = Window.partitionBy("__lang").orderBy("__hash")
+
+    def least(of: DataFrame) -> DataFrame:
+        once = of.groupBy("__lang", "__hash").agg(F.min("__key").alias("__key"))
+        return once.withColumn("__n", F.row_number().over(rank)).where(F.col("__n") <= per_language).drop("__n")
+
+    chosen = stored(least(rows.where(some)), "langid-sample")
+    few = [r[0] for r in chosen.groupBy("__lang").agg(F.count("*").alias("n")).collect() if r[1] < min(per_language, sizes[r[0]])]
+    if few:  # a language of many repeated ids
+        chosen = stored(chosen.where(~F.col("__lang").isin(few)).unionByName(least(rows.where(F.col("__lang").isin(few)))), "langid-sample")
+    texts = usable.select(F.col(lang_col).cast("string").alias("__lang"), F.xxhash64(F.col(id_col)).alias("__hash"), F.xxhash64(F.col(text_col)).alias("__key"), F.substring(F.col(text_col), 1, FIT_BYTES).alias("__text"))
+    own = texts.join(F.broadcast(chosen), ["__lang", "__hash", "__key"]).dropDuplicates(["__lang", "__hash", "__key"])
+    sample = sorted((r[0], r[1], r[2]) for r in own.select("__lang", "__hash", "__text").collect())
+    return fit_model([r[2] for r in sample], [r[0] for r in sample])
 
 
 def predict(text: Column, model: Model) -> Column:

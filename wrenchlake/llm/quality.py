@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wrenchlake.llm.common import id_crc, text_of
+from wrenchlake.llm.common import id_crc, stored, text_of
 
 #: Bytes of a passage; the last of a text may be shorter.
 PASSAGE = 512
@@ -19,6 +19,8 @@ PASSAGE = 512
 BLOCK = 1 << 20
 #: Labelled documents the model is fitted on at most, chosen by a hash of the id.
 FIT_DOCUMENTS = 3000
+#: Characters of a text that the fit takes at most, so that the sample is bounded in bytes, too (scores take all).
+FIT_CHARS = 20_000
 HIDDEN, ATTENTION = 16, 8
 EPOCHS, BATCH, RATE, DECAY = 14, 32, 0.01, 1e-4
 SEED = 7
@@ -45,7 +47,8 @@ def _encode_block(data: bytes, pieces: np.ndarray) -> np.ndarray:
     classes = _TABLE[np.frombuffer(data, np.uint8)]
     pairs = classes * N_CLASSES
     pairs[:-1] += classes[1:]
-    pairs[-1] += N_CLASSES - 1
+    last = np.cumsum(pieces) - 1  # a passage's last byte is paired with none, whatever stands beside it
+    pairs[last] = classes[last] * N_CLASSES + N_CLASSES - 1
     owner = np.repeat(np.arange(len(pieces)) * (N_CLASSES * N_CLASSES), pieces)
     counts = np.bincount(owner + pairs, minlength=len(pieces) * N_CLASSES * N_CLASSES).reshape(len(pieces), -1)
     ends = np.cumsum(pieces)
@@ -113,6 +116,24 @@ class Model:
         return _sigmoid((top / np.maximum(bottom, 1e-300)[:, None]) @ self.c + self.b)
 
 
+def gradients(model: Model, bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Slopes of the mean weighted log loss over bags of passages, by the model's parts."""
+    x = np.vstack(bags)
+    n = np.array([len(b) for b in bags])
+    first, owner = np.cumsum(n) - n, np.repeat(np.arange(len(bags)), n)
+    h, t, g, e = model.attend(x)
+    a = np.exp(e - np.maximum.reduceat(e, first)[owner])
+    a /= np.add.reduceat(a, first)[owner]
+    z = np.add.reduceat(a[:, None] * h, first)
+    dlogit = (_sigmoid(z @ model.c + model.b) - y) * weight / len(bags)
+    dz = dlogit[:, None] * model.c
+    da = (dz[owner] * h).sum(1)
+    de = a * (da - np.add.reduceat(a * da, first)[owner])
+    dt, dg = de[:, None] * g * model.w * (1 - t * t), de[:, None] * t * model.w * g * (1 - g)
+    dh = a[:, None] * dz[owner] + dt @ model.V.T + dg @ model.U.T
+    return {"W": x.T @ (dh * (1 - h * h)), "V": h.T @ dt, "U": h.T @ dg, "w": (de[:, None] * t * g).sum(0), "c": z.T @ dlogit, "b": np.array([dlogit.sum()])}
+
+
 def fit_model(texts: list[str], labels: list[int], seed: int = SEED) -> Model:
     """Adam on the log loss of the attention-weighted passage representation. Classes weigh by
     the root of their shares, so that the rarer is not drowned. One class only: a constant score near it."""
@@ -136,20 +157,7 @@ def fit_model(texts: list[str], labels: list[int], seed: int = SEED) -> Model:
         order = rng.permutation(len(y))
         for at in range(0, len(y), BATCH):
             pick = order[at : at + BATCH]
-            x = np.vstack([xs[k] for k in pick])
-            n = np.array([len(xs[k]) for k in pick])
-            first, owner = np.cumsum(n) - n, np.repeat(np.arange(len(pick)), n)
-            h, t, g, e = model.attend(x)
-            a = np.exp(e - np.maximum.reduceat(e, first)[owner])
-            a /= np.add.reduceat(a, first)[owner]
-            z = np.add.reduceat(a[:, None] * h, first)
-            dlogit = (_sigmoid(z @ model.c + model.b) - y[pick]) * weight[pick] / len(pick)
-            dz = dlogit[:, None] * model.c
-            da = (dz[owner] * h).sum(1)
-            de = a * (da - np.add.reduceat(a * da, first)[owner])
-            dt, dg = de[:, None] * g * model.w * (1 - t * t), de[:, None] * t * model.w * g * (1 - g)
-            dh = a[:, None] * dz[owner] + dt @ model.V.T + dg @ model.U.T
-            grads = {"W": x.T @ (dh * (1 - h * h)), "V": h.T @ dt, "U": h.T @ dg, "w": (de[:, None] * t * g).sum(0), "c": z.T @ dlogit, "b": np.array([dlogit.sum()])}
+            grads = gradients(model, [xs[k] for k in pick], y[pick], weight[pick])
             step += 1
             for name in names:
                 p, d = getattr(model, name), grads[name]
@@ -163,14 +171,18 @@ def fit_model(texts: list[str], labels: list[int], seed: int = SEED) -> Model:
 def fit_on(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCUMENTS, id_col: str = "doc_id", text_col: str = "text", learn: Column | None = None) -> Model:
     """Fit on at most ``limit`` labelled documents for which ``learn`` holds: those of least hash of the id.
 
-    Labels other than 0 and 1 and null ids are passed over; of an id labelled twice the larger label counts.
-    Only ids are sorted; the chosen texts alone go to the driver.
+    Labels other than 0 and 1 and null ids are passed over; of an id labelled twice the larger label counts. Of rows that repeat an
+    id one counts, that of least hash of its text; of a text longer than ``FIT_CHARS`` so many characters. Only ids are
+    sorted; the chosen texts alone go to the driver.
     """
     ids = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("__label"))
     ids = ids.where(learn) if learn is not None else ids
     known = ids.join(docs.select(F.col(id_col).alias("__have")).distinct(), F.col("doc_id") == F.col("__have"), "left_semi")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).withColumnRenamed("doc_id", "__id")
-    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select("__id", text_of(text_col).alias("__text"), "__label").collect()  # limit rows
+    chosen = F.broadcast(stored(chosen, "quality-sample"))  # limit narrow rows
+    own = docs.select(F.col(id_col).alias("__own"), text_of(text_col).alias("__text"))
+    own = own.join(chosen, F.col("__own") == F.col("__id")).select("__id", F.substring("__text", 1, FIT_CHARS).alias("__text"), "__label", F.xxhash64("__text").alias("__key"))
+    rows = own.groupBy("__id").agg(F.min_by("__text", "__key"), F.first("__label")).collect()
     rows.sort(key=lambda r: (r[0], r[1]))
     return fit_model([r[1] for r in rows], [r[2] for r in rows])
 

@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 from wrenchlake.llm.common import text_of
 
 SPACE = "▁"
-#: Encodings of chunks (a word and the spaces before it) a worker keeps; all go when there are more.
-CACHED = 400_000
-CACHED_LENGTH = 64
-#: Pairs of tokens whose compatibility a worker remembers.
-FITS = 400_000
+#: Bytes of encodings of chunks (a word and the spaces before it) that a task keeps; all go when there are more, and when it ends. An
+#: entry takes ``ENTRY`` bytes besides what it holds.
+CACHED_BYTES = 48 << 20
+CACHED_LENGTH, ENTRY = 64, 350
+#: Pairs of tokens whose compatibility a task remembers, about 200 bytes each.
+FITS = 100_000
 
 ENCODED = "struct<n_tokens: long, ids_sha256: string, decoded_sha256: string>"
 
@@ -65,6 +66,7 @@ class PieceCodec:
             raise ValueError("a piece ranks before what it is made of")
         self.fits = lru_cache(FITS)(self._fits)
         self.kept: dict[str, tuple[bytes, bytes]] = {}
+        self.kept_bytes = 0
         self.meaning = [self._meaning(i) for i in range(len(self.pieces))]
 
     def _halves(self, piece: str) -> tuple[str, str] | None:
@@ -137,11 +139,21 @@ class PieceCodec:
         ids = self.ids_of(chunk)
         out = array("I", ids).tobytes(), self.bytes_of(ids)
         if len(chunk) <= CACHED_LENGTH:
-            if len(self.kept) >= CACHED:
-                self.kept.clear()
+            if self.kept_bytes >= CACHED_BYTES:
+                self._drop()
             self.kept[chunk] = out
+            self.kept_bytes += ENTRY + 4 * len(chunk) + len(out[0]) + len(out[1])
         return out
 
+    def _drop(self) -> None:
+        self.kept.clear()
+        self.kept_bytes = 0
+
+    def forget(self) -> None:
+        """Empty the caches: a worker that is used again keeps none of a task's."""
+        self._drop()
+        self.fits.cache_clear()
+
     def encode_decode(self, text: str) -> tuple[bytes, bytes]:
         """Ids with begin and end, packed little-endian, and the bytes they decode to (one leading space is dropped)."""
         parts = [(self.kept.get(c) or self._chunk(c)) for c in self.chunks.findall((" " + text).replace(" ", SPACE))] if text else []
@@ -168,13 +180,14 @@ class PieceCodec:
         return "".join(out)
 
 
-_codecs: dict[int, PieceCodec] = {}
+_codecs: dict[bytes, PieceCodec] = {}
 
 
 def _codec(model: bytes) -> PieceCodec:
-    """The worker's codec of this model, made once."""
-    key = hash(model)
+    """The worker's codec of this model, made once; another model's goes."""
+    key = hashlib.sha256(model).digest()
     if key not in _codecs:
+        _codecs.clear()
         _codecs[key] = PieceCodec(model)
     return _codecs[key]
 
@@ -193,12 +206,15 @@ def digests(text: Column, model: bytes) -> Column:
     @F.pandas_udf(ENCODED)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = _codec(model)
-        for batch in batches:
-            rows = []
-            for text in batch:
-                ids, decoded = codec.encode_decode(text)
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for batch in batches:
+                rows = []
+                for text in batch:
+                    ids, decoded = codec.encode_decode(text)
+                    rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+                yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            codec.forget()
 
     return run(text)
 
@@ -209,8 +225,11 @@ def token_ids(text: Column, model: bytes) -> Column:
     @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = _codec(model)
-        for batch in batches:
-            yield pd.Series([codec.encode_decode(t)[0] for t in batch], dtype=object)
+        try:
+            for batch in batches:
+                yield pd.Series([codec.encode_decode(t)[0] for t in batch], dtype=object)
+        finally:
+            codec.forget()
 
     return run(text)
 

@@ -29,41 +29,64 @@ def split_budget(sizes: list[int], weights: list[float], share: float = 1.5, mos
     return out
 
 
+def _reachable(room: dict[int, int], budget: int) -> tuple[int, dict[int, int]]:
+    """The largest sum of at most ``room`` lengths within ``budget``, and the counts that make it: sums as bits of an integer,
+    counts split into powers of two."""
+    sums, steps, whole = 1, [], (1 << (budget + 1)) - 1
+    for n in sorted((n for n in room if n <= budget), reverse=True):
+        free, group = min(room[n], budget // n), 1
+        while free > 0:
+            k = min(group, free)
+            steps.append((n, k, sums))
+            sums = (sums | sums << (n * k)) & whole
+            free, group = free - k, group * 2
+        if sums >> budget & 1:
+            break
+    best = at = sums.bit_length() - 1
+    take: dict[int, int] = {}
+    for n, k, before in reversed(steps):
+        if not before >> at & 1:
+            take[n], at = take.get(n, 0) + k, at - n * k
+    return best, take
+
+
 def fit_counts(counts: dict[int, int], budget: int, dp_words: int = DP_WORDS) -> dict[int, int]:
     """How many documents of each length to take so that their lengths sum to ``budget`` or as near below it as
     can be found.
 
-    Most of the budget is taken in proportion from every length, so the lengths stay mixed as they are. Then lengths are
-    topped up, longest first, until at most ``dp_words`` remain, which a bounded knapsack (reachable sums as bits of an
-    integer, counts split into powers of two) fits from what is left.
+    A budget of at most ``dp_words`` is met by a bounded knapsack over all lengths: the sum is the best reachable. Of a larger
+    one most is taken in proportion from every length, so the lengths stay mixed as they are, and the knapsack fits the rest, of at most
+    ``dp_words``, from what is left. Where that misses the budget, more and more of the proportional part is given back, until it is met or
+    all of the window is tried. The steps' bits take ``dp_words`` / 8 bytes for each power of two of each length.
     """
     counts = {n: c for n, c in counts.items() if n > 0 and c > 0}
     total = sum(n * c for n, c in counts.items())
     if budget >= total:
         return counts
-    take = {n: c * budget // total for n, c in counts.items()}
-    rest = budget - sum(n * c for n, c in take.items())
-    for n in sorted(counts, reverse=True):
-        if rest <= dp_words:
+    if budget <= dp_words:
+        return _reachable(counts, budget)[1]
+    best: tuple[int, dict[int, int]] = (-1, {})
+    for window in (dp_words // 64, dp_words // 8, dp_words):
+        part = max(0, budget - window)
+        take = {n: c * part // total for n, c in counts.items()}
+        rest = budget - sum(n * c for n, c in take.items())
+        # rounding down leaves more than the window: fill up, longest first
+        for n in sorted(counts, reverse=True):
+            if rest <= window:
+                break
+            more = min(counts[n] - take[n], (rest - window + n - 1) // n, rest // n)
+            take[n], rest = take[n] + more, rest - more * n
+        if rest > dp_words:
+            continue
+        got, more = _reachable({n: c - take[n] for n, c in counts.items()}, rest)
+        reached = budget - rest + got
+        if reached > best[0]:
+            best = (reached, {n: take[n] + more.get(n, 0) for n in take})
+        if reached == budget:
             break
-        more = min(counts[n] - take[n], (rest - dp_words + n - 1) // n, rest // n)
-        take[n], rest = take[n] + more, rest - more * n
-    rest_dp = min(rest, dp_words)
-    sums, steps, whole = 1, [], (1 << (rest_dp + 1)) - 1
-    for n in sorted((n for n in counts if n <= rest_dp), reverse=True):
-        free, group = min(counts[n] - take[n], rest_dp // n), 1
-        while free > 0:
-            k = min(group, free)
-            steps.append((n, k, sums))
-            sums = (sums | sums << (n * k)) & whole
-            free, group = free - k, group * 2
-        if sums >> rest_dp & 1:
-            break
-    at = sums.bit_length() - 1
-    for n, k, before in reversed(steps):
-        if not before >> at & 1:
-            take[n], at = take[n] + k, at - n * k
-    return {n: c for n, c in take.items() if c}
+    if best[0] < 0:  # lengths beyond the window only
+        best = (0, take)
+    return {n: c for n, c in best[1].items() if c}
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -102,7 +125,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     solved = histogram.join(plan_df, same).where("budget > 0")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        take = fit_counts(dict(zip(pdf["size"].tolist(), pdf["n"].tolist())), int(pdf["budget"].iloc[0]))
+        take = fit_counts(dict(zip(pdf["size"].tolist(), pdf["n"].tolist())), int(pdf["budget"].iloc[0])) or {0: 0}
         return pd.DataFrame({"t_source": [pdf["source"].iloc[0]] * len(take), "t_size": list(take), "take": list(take.values())}).astype({"t_size": "int64", "take": "int64"})
 
     take = solved.groupBy("source").applyInPandas(solve, "t_source string, t_size long, take long")
@@ -120,12 +143,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it: 0, 1 or 2 times. A document without words is taken as often as
-    its source is taken whole. Rows equal in id and text share their source's counts in sum."""
+    """``docs`` with each row as often as the mix takes it: 0, 1 or 2 times; columns as they are, whatever their names. A document
+    without words is taken as often as its source is taken whole. Rows equal in id, source and text share what the mix takes of them
+    exactly: each as often as all are whole, and the first few once more. Null ids, texts and sources count like others. An
+    empty table gives an empty one."""
     mixed = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
     times = mixed.groupBy("doc_id", "source", "text_key").agg(F.sum("times").alias("__times"), F.count("*").alias("__rows"))
     times = stored(times.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_key").alias("__key"), "__times", "__rows").where("__times > 0"), "mix-times")
-    key = F.xxhash64(text_of(text_col))
-    joined = docs.join(small(times), F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source")) & (key == F.col("__key")))
-    whole = F.ceil(F.col("__times") / F.col("__rows")).cast("int")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), whole))).select(docs.columns)
+    rows, times = docs.alias("__docs"), small(times).alias("__mix")
+    own = lambda c: F.col(f"__docs.`{c}`")
+    key = F.xxhash64(F.coalesce(own(text_col).cast("string"), F.lit("")))
+    same = own(id_col).eqNullSafe(F.col("__mix.__id")) & own(source_col).cast("string").eqNullSafe(F.col("__mix.__source")) & (key == F.col("__mix.__key"))
+    joined = rows.join(times, same).select(*[own(c).alias(c) for c in docs.columns], F.col("__mix.__id").alias("__1"), F.col("__mix.__source").alias("__2"), F.col("__mix.__key").alias("__3"), F.col("__mix.__times").alias("__t"), F.col("__mix.__rows").alias("__r"))
+    even = joined.where("__t % __r = 0").withColumn("__k", F.expr("int(__t div __r)"))
+    nth = F.row_number().over(Window.partitionBy("__1", "__2", "__3").orderBy(F.lit(1)))  # of equal rows, few or none
+    odd = joined.where("__t % __r <> 0").withColumn("__n", nth).withColumn("__k", F.expr("int(__t div __r) + int(__n <= __t % __r)")).drop("__n")
+    return even.unionByName(odd).where("__k > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__k")))).select([F.col(f"`{c}`") for c in docs.columns])

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from wrenchlake.llm.common import cut, stored
 
 WIDTH = 64
+#: Masks that one task applies to a row.
+MASKS = 512
 
 
 def _segments(code: str, segments: int) -> list:
@@ -30,12 +32,18 @@ def _table(codes: DataFrame, by: str, segments: int, **keep: str) -> DataFrame:
 
 
 def _probes(table: DataFrame, bits: int, ring: int) -> DataFrame:
-    """Every row of the table once for each value that differs from its own in exactly ``ring`` bits."""
-    if ring <= 1:
-        masks = F.array(*[F.lit(m).cast("long") for m in _masks(bits, ring)])
-    else:
-        masks = F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << bits) - 1).cast("long")), lambda m: F.bit_count(m) == ring)
-    return table.withColumn("value", F.explode(F.transform(masks, lambda m: F.col("value").bitwiseXOR(m))))
+    """Every row of the table once for each value that differs from its own in exactly ``ring`` bits.
+
+    The masks of a ring are made once and joined as a table of one row for each chunk of ``MASKS`` masks, so that the probes of a row
+    are made by many tasks. A segment has at most 2**bits masks: 65 536 for 16 bits."""
+    masks = _masks(bits, ring)
+    if len(masks) <= MASKS:
+        return table.withColumn("value", F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: F.col("value").bitwiseXOR(m))))
+    chunks = [(k, masks[at : at + MASKS]) for k, at in enumerate(range(0, len(masks), MASKS))]
+    lists = table.sparkSession.createDataFrame(chunks, "chunk int, masks array<long>")
+    dealt = table.withColumn("chunk", F.explode(F.array(*[F.lit(k) for k, _ in chunks]))).repartition(F.col("seg"), F.col("value"), F.col("chunk"))
+    spread = dealt.join(F.broadcast(lists), "chunk").drop("chunk")  # 2**bits longs at most
+    return spread.withColumn("value", F.explode(F.transform("masks", lambda m: F.col("value").bitwiseXOR(m)))).drop("masks")
 
 
 def radius_pairs(codes: DataFrame, code: str = "code", radius: int = 3, segments: int = 2) -> DataFrame:

@@ -67,12 +67,13 @@ _CODE = "list_sum([CASE WHEN embedding[i + 1] > 0 THEN (1::UBIGINT << i)::HUGEIN
 
 ORACLE_SQL = {
     "op1_warc": """
-        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages WHERE page_id IS NOT NULL),
-        d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest FROM p),
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest,
+                     row_number() OVER (PARTITION BY page_id, html) AS nth FROM p),
         f AS (SELECT payload_digest, min(page_id) AS first_id FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
         SELECT d.page_id, payload_bytes, payload_digest,
-               CASE WHEN f.first_id < d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN f.first_id < d.page_id THEN f.first_id END AS refers_to, true AS intact
+               CASE WHEN f.first_id < d.page_id OR f.first_id = d.page_id AND nth > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN f.first_id < d.page_id OR f.first_id = d.page_id AND nth > 1 THEN f.first_id END AS refers_to, true AS intact
         FROM d LEFT JOIN f USING (payload_digest)""",
     "op6_topk": f"""
         WITH c AS (SELECT vec_id, {_CODE} AS code FROM embeddings WHERE embedding IS NOT NULL),

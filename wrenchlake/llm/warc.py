@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wrenchlake.llm.common import shared_dir, small, stored
@@ -33,26 +33,29 @@ RECORDS = (
 
 
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    uri = re.sub(r"^s3[an]:", "s3:", uri)  # Spark's names of that scheme
     return pafs.FileSystem.from_uri(uri) if re.match(r"[a-z0-9+]+:", uri) else (pafs.LocalFileSystem(), uri)
 
 
-def _urn(page_id: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def _urn(page_id: int | None, nth: int = 1) -> str:
+    """The record id of the nth row of a page id; the first has none but the page's in it."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}' + (f'#{nth}' if nth > 1 else ''))}>"
 
 
-def build_record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One record: a response holding the payload, or a revisit that names the record that holds it."""
+def build_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, nth: int = 1) -> bytes:
+    """One record: a response holding the payload, or a revisit that names the record that holds it. ``nth`` numbers
+    rows of one page id. A page without id has no X-Page-Id."""
     uri = re.sub(r"[\x00-\x20\x7f]", "%20", url or "")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {_urn(page_id)}",
+        f"WARC-Record-ID: {_urn(page_id, nth)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {uri}",
         f"WARC-Payload-Digest: sha256:{digest}",
-        f"X-Page-Id: {page_id}",
+        *([] if page_id is None else [f"X-Page-Id: {page_id}"]),
     ]
     if refers_to is not None:
         lines += [f"WARC-Refers-To: {_urn(refers_to)}", f"X-Refers-To-Page-Id: {refers_to}", f"WARC-Profile: {REVISIT_PROFILE}"]
@@ -66,30 +69,30 @@ def gzip_member(data: bytes, level: int = 6) -> bytes:
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
-    """Write ``pages(page_id, url, html, refers_to)`` as archives; the manifest ``(path, bytes, records)``.
+    """Write ``pages(page_id, url, html, refers_to, nth)`` as archives; the manifest ``(path, bytes, records)``.
 
     A task streams its rows into one file of a name of its own attempt and returns it in the manifest, so a
     lost or repeated task leaves at most a file that no manifest lists. The manifest is stored before anything
-    is read, hence each file is written once. Needs ``page_id``, ``html`` (null: empty), ``url`` (may be null).
+    is read, hence each file is written once. ``html`` null is an empty payload; ``page_id`` and ``url`` may be null.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, out, n, size = f"{folder}/part-{uuid.uuid4().hex}.warc.gz", None, 0, 0
         for batch in batches:
-            for page_id, url, html, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to"))):
+            for page_id, url, html, refers_to, nth in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to", "nth"))):
                 if out is None:
                     fs, at = _filesystem(path)
                     fs.create_dir(at.rpartition("/")[0], recursive=True)
                     out = fs.open_output_stream(at, compression=None)
                 payload = (html or "").encode("utf-8")
-                member = gzip_member(build_record(page_id, url, payload, hashlib.sha256(payload).hexdigest(), refers_to))
+                member = gzip_member(build_record(page_id, url, payload, hashlib.sha256(payload).hexdigest(), refers_to, nth))
                 out.write(member)
                 n, size = n + 1, size + len(member)
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "bytes": [size], "records": [n]})
 
-    return stored(pages.select("page_id", "url", "html", "refers_to").mapInArrow(write, MANIFEST), "warc-manifest")
+    return stored(pages.select("page_id", "url", "html", "refers_to", "nth").mapInArrow(write, MANIFEST), "warc-manifest")
 
 
 class _Window:
@@ -139,6 +142,20 @@ def _fields(head: bytes) -> dict[str, str]:
     return out
 
 
+def parse_records(data: bytes) -> list[dict]:
+    """The records of a member: one by the standard's advice, but a member may hold several, one after the other."""
+    out, at = [], 0
+    while VERSION.match(data, at):
+        head = data.find(END, at)
+        if head < 0:
+            break
+        said = _fields(data[at:head]).get("content-length", "")
+        end = head + len(END) + int(said) + len(END) if said.isdigit() else len(data)
+        out.append(parse_record(data[at:] if not VERSION.match(data, end) else data[at:end]))
+        at = end
+    return [r for r in out if r]
+
+
 def parse_record(data: bytes) -> dict | None:
     """A record's fields; None if the header isn't complete. ``intact`` says if lengths and digest hold."""
     head, found, rest = data.partition(END)
@@ -184,11 +201,12 @@ def records_between(uri: str, size: int, start: int, end: int) -> Iterator[dict]
             if at >= end:
                 return
             found = _member(window, at)
-            record = parse_record(found[0]) if found else None
-            if record is None:
+            records = parse_records(found[0]) if found else []
+            if not records:
                 at += 1
                 continue
-            yield {"path": uri, "offset": at} | record
+            for record in records:
+                yield {"path": uri, "offset": at} | record
             at = found[1]
 
 
@@ -196,8 +214,9 @@ def read_archives(spark: SparkSession, manifest: DataFrame, split_bytes: int = 8
     """Records of the files in ``manifest(path, bytes)``, in splits of ``split_bytes``.
 
     A record belongs to the split its member starts in, so splits need not know of each other: a reader that starts
-    inside a member finds no valid candidate until the next record. A member that starts in the interior of a
-    valid member's compressed bytes could be owned twice only if chance bytes inflated to a WARC header.
+    inside a member finds no valid candidate until the next record. One payload could mislead it: an archive that deflate kept
+    as it is, inside a member that reaches over a border of splits. ``write_archives`` compresses, so its members hold none; for
+    foreign archives of such payloads take splits as long as the files.
     Without ``payloads`` they are checked against their digest but not returned.
     """
     splits = manifest.where("bytes > 0").select(
@@ -223,23 +242,31 @@ def read_archives(spark: SparkSession, manifest: DataFrame, split_bytes: int = 8
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
-    """``pages(page_id, url, html)`` with ``refers_to``: for each page whose payload, of at least
-    ``MIN_REVISIT_BYTES`` bytes, a page of smaller id has too, the smallest such id, else null.
+    """``pages(page_id, url, html)``, every row, with ``refers_to`` and ``nth``.
 
-    Digests, not pages, are grouped and joined; a hot payload is one row after map-side aggregation. Pages are
-    shuffled only if there are too many revisits or repeated ids to broadcast. Rows without
-    a page_id are left out; of rows that repeat a page_id only the first by html is kept.
+    ``refers_to``: for each page whose payload, of at least ``MIN_REVISIT_BYTES`` bytes, a page of smaller id has too, the smallest such
+    id, else null. Rows without page_id, and of rows of one page_id that one of least payload digest which refers to none, are
+    responses; rows that repeat a page_id and payload of their response refer to their own id. ``nth`` numbers the rows of
+    one page_id. Digests, not pages, are grouped and joined; a hot payload is one row after map-side aggregation. Pages are
+    shuffled only if there are too many revisits or repeated ids to broadcast.
     """
-    pages = pages.where("page_id is not null").select("page_id", "url", "html")
     payload = F.coalesce(F.col("html"), F.lit(""))
-    marks = stored(pages.select("page_id", F.sha2(payload.cast("binary"), 256).alias("digest"), F.octet_length(payload).cast("long").alias("n")), "warc-digests")
-    first = marks.where(F.col("n") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last")
-    refers = marks.join(first, "digest").where("page_id > refers_to").groupBy("page_id").agg(F.min("refers_to").alias("refers_to"))
+    pages = pages.select("page_id", "url", "html")
+    marks = stored(pages.where("page_id is not null").select("page_id", F.sha2(payload.cast("binary"), 256).alias("digest"), F.octet_length(payload).cast("long").alias("n")), "warc-digests")
+    by_payload = marks.groupBy("digest", "page_id").agg(F.max("n").alias("n"), F.count("*").alias("rows"))
+    first = by_payload.where(F.col("n") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.sum("rows").alias("all")).where("all > 1").drop("all")
+    refers = marks.select("page_id", "digest").distinct().join(first, "digest").where("page_id > refers_to").select(F.col("page_id").alias("__id"), F.col("digest").alias("__digest"), "refers_to")
     refers = small(stored(refers, "warc-refers"))
-    repeated = small(stored(marks.groupBy("page_id").agg(F.count("*").alias("n")).where("n > 1").select("page_id"), "warc-repeated"))
-    once = pages.join(repeated, "page_id", "left_anti")
-    again = pages.join(repeated, "page_id").groupBy("page_id").agg(F.min(F.struct("html", "url")).alias("p")).select("page_id", "p.url", "p.html")
-    return once.unionByName(again).join(refers, "page_id", "left")
+    repeated = small(stored(marks.groupBy("page_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("page_id").alias("__id")), "warc-repeated"))
+    digest = F.sha2(payload.cast("binary"), 256)
+    rows = pages.withColumn("digest", digest)
+    once = rows.join(repeated, F.col("page_id") == F.col("__id"), "left_anti").withColumn("nth", F.lit(1)).withColumn("same", F.lit(1))
+    again = rows.join(repeated, F.col("page_id") == F.col("__id"), "left_semi")
+    again = again.withColumn("nth", F.row_number().over(Window.partitionBy("page_id").orderBy("digest", "url"))).withColumn("same", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("nth")))
+    rows = once.unionByName(again)
+    joined = rows.join(refers, (F.col("page_id") == F.col("__id")) & (F.col("digest") == F.col("__digest")), "left")
+    long = F.octet_length(payload) >= MIN_REVISIT_BYTES
+    return joined.select("page_id", "url", "html", F.coalesce("refers_to", F.when((F.col("same") > 1) & long, F.col("page_id"))).alias("refers_to"), "nth")
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 from array import array
 from itertools import combinations
@@ -97,13 +98,28 @@ def test_warc_false_magic_and_borders(spark, tmp_path):
 
 
 def test_warc_revisits_and_odd_pages(spark):
-    body = "p" * 100
-    pages = spark.createDataFrame([(5, "u", body, 1), (3, None, body, 1), (9, "u", body, 1), (1, "u", "short", 1), (2, "u", "short", 1), (4, "u", None, 1), (6, "u", "", 1), (None, "u", body, 1), (9, "u", body, 1)], "page_id long, url string, html string, payload string".replace("payload string", "payload long"))
-    got = {r.page_id: (r.warc_type, r.refers_to_page, r.payload_bytes, r.intact) for r in warc.round_trip(spark, pages, split_bytes=200).collect()}
-    assert got == {3: ("response", None, 100, True), 5: ("revisit", 3, 100, True), 9: ("revisit", 3, 100, True), 1: ("response", None, 5, True), 2: ("response", None, 5, True), 4: ("response", None, 0, True), 6: ("response", None, 0, True)}
+    """Every row has a record: null and repeated ids, null and very long pages, clashing column names."""
+    body, long = "p" * 100, "é<p>" * 300_000
+    rows = [(5, "u", body), (3, None, body), (9, "u", body), (1, "u", "short"), (2, "u", "short"), (4, "u", None), (6, "u", ""), (None, "u", body), (None, "u", None), (9, "u", body), (9, "v", "other"), (3, "w", body), (7, "u", long)]
+    pages = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "page_id long, url string, html string, payload long, nth long, digest long")
+    got = [(r.page_id, r.warc_type, r.refers_to_page, r.payload_bytes, r.intact) for r in warc.round_trip(spark, pages, split_bytes=200).collect()]
+    of = lambda i: sorted(r[1:4] for r in got if r[0] == i)
+    assert len(got) == len(rows) and all(r[4] for r in got)
+    assert of(3) == [("response", None, 100), ("revisit", 3, 100)] and of(5) == [("revisit", 3, 100)]
+    assert sorted(map(str, of(9))) == sorted(map(str, [("response", None, 5), ("revisit", 3, 100), ("revisit", 3, 100)]))
+    assert of(1) == of(2) == [("response", None, 5)] and of(4) == of(6) == [("response", None, 0)] and of(7) == [("response", None, len(long.encode()))]
+    assert sorted(r[1:4] for r in got if r[0] is None) == [("response", None, 0), ("response", None, 100)]
     assert warc.round_trip(spark, pages.limit(0)).count() == 0
 
 
+def test_warc_member_of_several_records(tmp_path):
+    record = lambda i, p: warc.build_record(i, "http://x/", p, hashlib.sha256(p).hexdigest(), None)
+    path = tmp_path / "x.warc.gz"
+    path.write_bytes(warc.gzip_member(record(1, b"one") + record(2, b"two WARC/1.1\r\n") + record(3, b"")) + warc.gzip_member(record(4, b"four")))
+    got = list(warc.records_between(str(path), path.stat().st_size, 0, path.stat().st_size))
+    assert [(r["page_id"], r["payload"], r["intact"]) for r in got] == [(1, b"one", True), (2, b"two WARC/1.1\r\n", True), (3, b"", True), (4, b"four", True)]
+
+
 # --- 2, 10 ---
 
 
@@ -154,10 +170,91 @@ def test_language_odd_rows(spark, sample):
     assert langid.identify(sample.limit(0)).count() == 0
 
 
-def test_ngrams_of_long_texts():
-    text = "abc déf " * 200_000
-    a = langid.ngram_counts([text, "zz", text[:50]])
-    assert a[0].sum() > 1_000_000 and a[1].sum() > 0 and a[2].sum() > 0
+def slow_ngrams(text):
+    data = re.sub(rb"  +", b" ", b" " + bytes(b if b > 127 or chr(b).isalpha() else 32 for b in text.lower().encode()) + b" ")
+    out = np.zeros(langid.DIMS)
+    for n in (2, 3):
+        for i in range(len(data) - n + 1):
+            out[(int.from_bytes(data[i : i + n], "big") * 2654435761 + n * 40503) % 2**32 >> 20] += 1
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 7, 1 << 20])
+def test_ngrams_against_brute_force(monkeypatch, block):
+    monkeypatch.setattr(langid, "BLOCK", block)
+    texts = ["ab", "cd", "", "a", "abc déf 12 x", "The quick  brown--fox" * 5]
+    assert np.array_equal(langid.ngram_counts(texts), np.array([slow_ngrams(t) for t in texts]))
+
+
+def test_cosine_by_hand(sample):
+    rows = [(r.text, r.lang) for r in sample.select("text", "lang").limit(60).collect()]
+    model = langid.fit_model([t for t, _ in rows], [g for _, g in rows])
+    df = sum((slow_ngrams(t) > 0).astype(int) for t, _ in rows)
+    for text, _ in rows[:15]:
+        v = np.sqrt(slow_ngrams(text)) * (np.log((1 + len(rows)) / (1 + df)) + 1)
+        cosine = model.centroids @ (v / np.linalg.norm(v))
+        lang, score, _ = model.predict([text])[0]
+        assert lang == model.languages[model.language_of[cosine.argmax()]] and score == pytest.approx(cosine.max(), abs=1e-5)
+
+
+def test_scores_are_functions_of_the_text(spark, sample):
+    """Equal texts, other neighbours, other partitions: the same scores."""
+    docs = sample.unionByName(sample.withColumn("doc_id", F.col("doc_id") + 1_000_000))
+    model = langid.fit_on(sample, 100)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    good = quality.fit_on(sample, labels, 200)
+    for score in (langid.predict(F.col("text"), model)["score"], quality.score(F.col("text"), good)):
+        a = docs.select("text", score.alias("s"))
+        b = docs.repartition(3, "doc_id").select("text", score.alias("s"))
+        spread = a.unionByName(b).groupBy("text").agg((F.max("s") - F.min("s")).alias("d"))
+        assert spread.agg(F.max("d")).first()[0] <= 1e-9
+
+
+def test_quality_gradients():
+    """Fitting steps go against the loss's slope, found by differences."""
+    texts, labels = ["Good text, well said. " * 60, "#$%&@ 123 !!! " * 50, "plain words here " * 40, "AAAA@@@@ " * 70], [1, 0, 1, 0]
+    weight = np.ones(4)  # both classes are as common
+
+    def loss(model):
+        p = model.scores(texts)
+        return -np.mean(weight * (np.array(labels) * np.log(p) + (1 - np.array(labels)) * np.log(1 - p)))
+
+    model = quality.fit_model(texts, labels, seed=3)
+    assert loss(model) < 0.9 * loss(quality.Model.start(np.random.default_rng(3)))
+    x = [np.vstack([f for f, _ in quality.encode_passages([t])]) for t in texts]
+    start = quality.Model.start(np.random.default_rng(3))
+    grads = quality.gradients(start, x, np.array(labels, float), weight)
+    rng = np.random.default_rng(1)
+    for name, grad in grads.items():
+        value = getattr(start, name)
+        for _ in range(4):
+            at = tuple(rng.integers(0, n) for n in value.shape)
+            kept = value[at]
+            value[at] = kept + 1e-5
+            up = loss(start)
+            value[at] = kept - 1e-5
+            down = loss(start)
+            value[at] = kept
+            assert grad[at] == pytest.approx((up - down) / 2e-5, abs=1e-6)
+
+
+def test_fit_samples_are_bounded(spark):
+    """An id that repeats, and a very long text, do not make the sample that goes to the driver larger."""
+    docs = docs_of(spark, [(1, "one two"), (2, "three"), (3, "x " * 40_000)]).crossJoin(spark.range(50)).drop("id")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    seen = []
+    fit, quality.fit_model = quality.fit_model, lambda t, y: seen.append((t, y)) or fit(t, y)
+    try:
+        quality.fit_on(docs, labels, 3)
+    finally:
+        quality.fit_model = fit
+    assert len(seen[0][0]) == 3 and max(map(len, seen[0][0])) <= quality.FIT_CHARS
+    fit, langid.fit_model = langid.fit_model, lambda t, y: seen.append((t, y)) or fit(t, y)
+    try:
+        langid.fit_on(docs, 10)
+    finally:
+        langid.fit_model = fit
+    assert len(seen[1][0]) <= 3 and max(map(len, seen[1][0])) <= langid.FIT_BYTES
 
 
 # --- 3 ---
@@ -428,6 +525,24 @@ def test_encode_documents(spark, codec):
     assert len(got) == 9
 
 
+def test_caches_are_bounded_and_emptied(codec, monkeypatch):
+    own, lib = codec
+    own.forget()
+    monkeypatch.setattr(sentencepiece_bpe, "CACHED_BYTES", 20_000)
+    rng = random.Random(8)
+    for _ in range(300):
+        text = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(20))
+        assert array("I", own.encode_decode(text)[0]).tolist() == lib.encode(text, add_bos=True, add_eos=True)
+        assert own.kept_bytes <= 20_000 + 2_000 and len(own.kept) <= 20_000 // sentencepiece_bpe.ENTRY + 2
+    own.forget()
+    assert not own.kept and own.fits.cache_info().currsize == 0
+
+
+def test_encode_an_empty_table(spark):
+    got = sentencepiece_bpe.encode_documents(odd_docs(spark).limit(0), public_tokenizers.path("piece_bpe_32k.model"))
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and got.count() == 0
+
+
 # --- 8 ---
 
 
@@ -437,21 +552,30 @@ def test_budgets():
     assert mixing.split_budget([0, 0], [3, 1]) == [0.0, 0.0] and mixing.split_budget([], []) == []
 
 
-def test_fit_counts_is_exact_where_it_can_be():
+def test_fit_counts_is_the_best_reachable():
     rng = random.Random(6)
-    for _ in range(200):
+    for _ in range(600):
         counts = {rng.randint(1, 40): rng.randint(1, 6) for _ in range(rng.randint(1, 6))}
-        total = sum(n * c for n, c in counts.items())
-        budget = rng.randint(0, total)
-        took = mixing.fit_counts(counts, budget)
-        assert all(0 < took[n] <= counts[n] for n in took) and sum(n * c for n, c in took.items()) <= budget
-    sums = {0}
-    counts = {7: 3, 11: 2, 30: 1}
-    for n, c in counts.items():
-        sums = {s + k * n for s in sums for k in range(c + 1)}
-    for budget in range(sum(n * c for n, c in counts.items())):
-        took = mixing.fit_counts(counts, budget)
-        assert budget - sum(n * c for n, c in took.items()) <= max(counts)
+        sums = {0}
+        for n, c in counts.items():
+            sums = {s + k * n for s in sums for k in range(c + 1)}
+        budget = rng.randint(0, max(sums))
+        for words in (mixing.DP_WORDS, 50):  # the smaller window tries only what the proportional part leaves
+            took = mixing.fit_counts(counts, budget, words)
+            got = sum(n * c for n, c in took.items())
+            assert all(0 < took[n] <= counts[n] for n in took) and got <= budget
+            assert got == max(s for s in sums if s <= budget) if words == mixing.DP_WORDS else got >= budget - max(counts)
+
+
+def test_mix_of_repeated_rows(spark):
+    """Equal rows share what the mix takes of them, to the word; all copies together are what ``mix`` says."""
+    docs = docs_of(spark, [(1, "a b c")] * 5 + [(2, "d e")] * 3 + [(None, "f g h i")] * 2 + [(3, None)]).withColumn("__times", F.lit(1)).withColumn("size", F.lit(2))
+    docs = docs.unionByName(docs_of(spark, [(9, "z " * 40)], source="t").withColumn("__times", F.lit(1)).withColumn("size", F.lit(2)))
+    words = lambda df: sum(len((r.text or "").split()) for r in df.collect())
+    mixed = mixing.apply_mix(docs)
+    assert mixed.columns == docs.columns
+    assert words(mixed) == sum(r.taken for r in mixing.mix(docs).collect())
+    assert mixing.apply_mix(docs.limit(0)).count() == 0
 
 
 def test_mix(spark, sample):

@@ -31,8 +31,12 @@ _rng = random.Random(4)
 #: depend on each other.
 MASKS = [_rng.getrandbits(32) - (1 << 31) for _ in range(MINIMA)]
 FACTORS = [_rng.getrandbits(31) | 1 for _ in range(MINIMA)]
-#: Longs of a line's bitmap of shingles.
-SKETCH = 32
+#: Before all pairs between a bucket's components are met, lines are tried with so many of its largest, so often, while there are more pairs
+#: than so many a line. Every pair is met in the end, whatever these are.
+SOME, ROUNDS, PAIRS = 4, 3, 8
+#: Longs of a line's bitmap of shingles. Two of them and the keys make rows of over 100 columns, for which Spark compiles the bounds in
+#: small methods instead of a single one that is too long for the JVM to optimise.
+SKETCH = 48
 
 
 def _normal(line: Column) -> Column:
@@ -160,8 +164,9 @@ def near_lines(members: DataFrame, texts: DataFrame) -> DataFrame:
     """``(node, component)`` of lines that have a verified near copy; ``texts(line_id, line)`` holds the lines of the buckets, once each.
 
     Lines that share a key are candidates. Each is first compared with the smallest line of its bucket. Where
-    that leaves a bucket in several components, the lines outside its largest are compared with all of its
-    lines of other components. So every candidate pair is verified or already connected, and a bucket of copies of one
+    that leaves buckets in several components with many pairs between them, the lines outside a bucket's largest component are compared with
+    ``SOME`` lines of it, and components are contracted, up to ``ROUNDS`` times. At last the lines outside the largest are compared with
+    all of their bucket's lines of other components. So every candidate pair is verified or already connected, and a bucket of copies of one
     line needs about as many comparisons as it has lines. Pairs whose sizes or sketches rule
     the similarity out are cut within the join, losslessly, before texts are fetched; the others' are exact Jaccard similarities
     of sets of 64-bit hashes.
@@ -178,14 +183,23 @@ def near_lines(members: DataFrame, texts: DataFrame) -> DataFrame:
         return stored(both.where(_similar(F.col("a"), _shingles(F.col("line")))).select("src", "dst"), "lines-verified")
 
     star = members.where("line_id > low").select(F.col("low").alias("src"), F.col("line_id").alias("dst")).distinct()
-    edges = verified(star.join(of("a", "src"), "src").join(of("b", "dst"), "dst").where(_possible()).select("src", "dst"))
-    parts = stored(connected_components(edges), "lines-parts")
-    placed = members.join(small(parts), F.col("line_id") == F.col("node"), "left").select("key", "line_id", F.coalesce("component", "line_id").alias("part"))
-    by_part = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
-    # the largest component of a bucket, ties to the smallest: counts and numbers only
-    largest = by_part.groupBy("key").agg(F.max(F.struct("n", -F.col("part"))).alias("x"), F.count("*").alias("parts")).where("parts > 1")
-    main = stored(largest.select("key", (-F.col("x.col2")).alias("main")), "lines-main")
-    split = stored(placed.join(small(main), "key"), "lines-split")
+    possible = lambda pairs: pairs.distinct().join(of("a", "src"), "src").join(of("b", "dst"), "dst").where(_possible()).select("src", "dst")
+    edges = verified(possible(star))
+    for step in range(ROUNDS + 1):
+        parts = stored(connected_components(edges), "lines-parts")
+        placed = members.join(small(parts), F.col("line_id") == F.col("node"), "left").select("key", "line_id", F.coalesce("component", "line_id").alias("part"))
+        by_part = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
+        # the largest component of a bucket, ties to the smallest: counts and numbers only
+        largest = by_part.groupBy("key").agg(F.max(F.struct("n", (-F.col("part")).alias("neg"))).alias("x"), F.count("*").alias("parts"), F.sum("n").alias("all")).where("parts > 1")
+        main = stored(largest.select("key", (-F.col("x.neg")).alias("main"), (F.col("all") * (F.col("all") - F.col("x.n"))).alias("pairs")), "lines-main")
+        split = stored(placed.join(small(main.drop("pairs")), "key"), "lines-split")
+        todo, lines_in = main.agg(F.sum("pairs")).first()[0] or 0, split.count()
+        if step == ROUNDS or todo <= PAIRS * lines_in:
+            break
+        chosen = [F.min_by("line_id", F.xxhash64("line_id", F.lit(step * SOME + k))).alias(f"r{k}") for k in range(SOME)]
+        some = split.where("part = main").groupBy("key").agg(*chosen).select("key", F.explode(F.array_distinct(F.array(*[f"r{k}" for k in range(SOME)]))).alias("src"))
+        tried = split.where("part <> main").select("key", F.col("line_id").alias("dst")).join(some, "key").select("src", "dst")
+        edges = edges.unionByName(verified(possible(tried)))
     apart = split.where("part <> main").join(of("a", "line_id"), "line_id").withColumnRenamed("line_id", "one")
     others = split.join(of("b", "line_id"), "line_id").select("key", F.col("line_id").alias("other"), F.col("part").alias("other_part"), *[f"b_{c}" for c in sketches.columns if c != "line_id"])
     once = (F.col("other_part") == F.col("main")) | (F.col("one") < F.col("other"))

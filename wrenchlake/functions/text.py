@@ -306,8 +306,8 @@ def categorize(title: Column) -> Column:
 
 
 def keywords(title: Column) -> Column:
-    """Distinct words of over three letters that aren't stop words."""
-    words = F.regexp_extract_all(F.lower(title), F.lit(r"[a-z0-9_]+"), F.lit(0))
+    """Distinct words, of letters of any script, digits and underscores, of over three characters that aren't stop words."""
+    words = F.regexp_extract_all(F.lower(title), F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0))
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 3) & ~w.isin(*STOP_WORDS)))
 
 

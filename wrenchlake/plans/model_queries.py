@@ -51,7 +51,7 @@ def first_variant(spark, d):
 
 
 def layered_mapping(spark, d):
-    own = table(spark, d, "part").where("p_partkey <= 200").select(F.concat(F.lit("P"), F.lpad(F.col("p_partkey").cast("string"), 4, "0")).alias("key"), F.col("p_brand").alias("value"))
+    own = table(spark, d, "part").select(F.concat(F.lit("P"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("key"), F.col("p_brand").alias("value"))
     return R.layered_map(R.built_in_map(spark), own)
 
 
@@ -254,7 +254,7 @@ def stream_dedup(spark, d):
 
 def start_urls(spark, d):
     sites = table(spark, d, "region").select(F.col("r_name").alias("site"))
-    codes = table(spark, d, "part").where("p_partkey <= 300").select(F.col("p_partkey").alias("code"))
+    codes = table(spark, d, "part").select(F.col("p_partkey").alias("code"))
     searched = codes.where("code % 2 = 0").withColumn("site", F.lit("ASIA"))
     return S.start_urls(sites, codes, searched).select("site", "code")
 
@@ -296,7 +296,7 @@ _RATINGS = f"""WITH {_E}, a AS (SELECT entity, avg(rating) AS r, count(*) AS n,
 _MAP = ", ".join(f"('{k}', '{v}')" for k, v in R.BUILT_IN_CODES.items())
 
 ORACLE_SQL = {
-    "layered_mapping": f"""WITH b(key, value) AS (VALUES {_MAP}), p AS (SELECT 'P' || lpad(p_partkey::VARCHAR, 4, '0') AS key, p_brand AS value FROM part WHERE p_partkey <= 200)
+    "layered_mapping": f"""WITH b(key, value) AS (VALUES {_MAP}), p AS (SELECT 'P' || lpad(p_partkey::VARCHAR, 9, '0') AS key, p_brand AS value FROM part)
         SELECT key, value FROM p UNION ALL SELECT key, value FROM b WHERE key NOT IN (SELECT key FROM p)""",
     "first_variant": f"""
         WITH b(key, value) AS (VALUES {_MAP}), c AS (SELECT 'P' || lpad(range::VARCHAR, 4, '0') AS code, range AS n FROM range(1, 1000)),
@@ -367,7 +367,7 @@ ORACLE_SQL = {
         s AS (SELECT user_id, ts, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
         SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTES AS session_end, count(*) AS n FROM s GROUP BY user_id, k""",
     "stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",
-    "start_urls": "SELECT r_name AS site, p_partkey AS code FROM region, part WHERE p_partkey <= 300 AND NOT (r_name = 'ASIA' AND p_partkey % 2 = 0)",
+    "start_urls": "SELECT r_name AS site, p_partkey AS code FROM region, part WHERE NOT (r_name = 'ASIA' AND p_partkey % 2 = 0)",
     "disjoint_negatives": """WITH p AS (SELECT a.p_partkey AS anchor, b.p_partkey, row_number() OVER (PARTITION BY a.p_partkey ORDER BY b.p_partkey)::INTEGER AS n FROM part a JOIN part b USING (p_size)
         WHERE a.p_partkey % 100 = 0 AND a.p_partkey <> b.p_partkey AND a.p_brand <> b.p_brand AND a.p_type <> b.p_type AND a.p_brand <> b.p_type AND a.p_type <> b.p_brand) SELECT * FROM p WHERE n <= 5""",
 }

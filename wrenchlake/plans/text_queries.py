@@ -197,7 +197,7 @@ ORACLE_SQL = {
     "strip_html": f"SELECT page_id, length({_strip('html', T.INDEX_STRIP)})::INTEGER AS n, sha256({_strip('html', T.INDEX_STRIP)}) AS digest FROM pages",
     "clean_response": f"SELECT page_id, length({_strip('html', T.RESPONSE_STRIP)})::INTEGER AS n, sha256({_strip('html', T.RESPONSE_STRIP)}) AS digest FROM pages",
     "categorize": f"SELECT p_partkey, {_case(T.CATEGORY_WORDS, 'other')} AS category FROM (SELECT p_partkey, lower(p_name || ' ' || p_type) AS low FROM part)",
-    "keyword_df": f"""WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+'))) AS word FROM documents)
+    "keyword_df": f"""WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'))) AS word FROM documents)
         SELECT word, count(*) AS n_docs FROM w WHERE length(word) > 3 AND word NOT IN ({', '.join(map(_q, T.STOP_WORDS))}) GROUP BY word""",
     "rate_limited_pages": f"SELECT page_id, {_any(T.RATE_LIMIT_PHRASES)} AS limited FROM (SELECT page_id, lower(html) AS low FROM pages)",
     "dedup_signature": f"SELECT min(doc_id) AS doc_id, count(*) AS n FROM (SELECT doc_id, array_to_string({_CODES}, ',') || '|' || substring(lower(text), 1, 50) AS signature FROM documents) GROUP BY signature",

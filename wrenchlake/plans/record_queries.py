@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wrenchlake.operators import records as O
 from wrenchlake.operators import retrieval as Q
 from wrenchlake.plans.tables import SIM_SQL, items, queries, table
+from wrenchlake.plans.text_queries import _CODES
 
 
 def chunk_merge(spark, d):
@@ -64,7 +65,7 @@ def item_defaults(spark, d):
     docs = table(spark, d, "documents")
     given = {"codes": O.normal_codes(F.when(F.col("doc_id") % 2 == 0, F.array(F.concat(F.lit(" p"), F.col("lang")), F.lit(" ")))), "outcome": F.when(F.col("doc_id") % 3 == 0, "given")}
     out = O.with_defaults(docs.select("doc_id", "text", "lang"), "text", given)
-    return out.where("doc_id % 2 = 0").select("doc_id", F.array_join("codes", ",").alias("codes"), "confidence", F.when(F.col("doc_id") % 3 == 0, F.col("outcome")).alias("given_outcome"))
+    return out.select("doc_id", F.array_join("codes", ",").alias("codes"), "confidence", F.when(F.col("doc_id") % 3 == 0, F.col("outcome")).alias("given_outcome"))
 
 
 def key_fallback(spark, d):
@@ -196,7 +197,8 @@ ORACLE_SQL = {
     "title_relevance": r"""WITH t AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'Next' WHEN 1 THEN p_partkey::VARCHAR ELSE ' ' || p_type END AS title FROM part), l AS (SELECT *, trim(lower(title)) AS low FROM t)
         SELECT p_partkey, length(title) >= 5 AND NOT regexp_matches(low, '^[0-9]+$') AND low NOT IN ('last', 'next', 'prev', 'previous', 'page') AND (regexp_matches(low, '\b[0-9a-z]{4,5}\b') OR contains(low, 'steel') OR contains(low, 'tin')) AS relevant,
             CASE WHEN length(trim(title)) BETWEEN 3 AND 200 THEN trim(title) END AS title FROM l""",
-    "item_defaults": "SELECT doc_id, 'P' || upper(lang) AS codes, 1.0::DOUBLE AS confidence, CASE WHEN doc_id % 3 = 0 THEN 'given' END AS given_outcome FROM documents WHERE doc_id % 2 = 0",
+    "item_defaults": f"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'P' || upper(lang) ELSE array_to_string({_CODES}, ',') END AS codes, CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS confidence,
+        CASE WHEN doc_id % 3 = 0 THEN 'given' END AS given_outcome FROM documents""",
     "key_fallback": """WITH l AS (SELECT s_suppkey, s_name AS label FROM supplier WHERE s_suppkey % 3 <> 0), t AS (SELECT p_partkey AS id, 0 AS key_no, p_partkey AS k FROM part UNION ALL SELECT p_partkey, 1, p_size FROM part),
         h AS (SELECT id, key_no, label, min(key_no) OVER (PARTITION BY id) AS f FROM t JOIN l ON k = s_suppkey)
         SELECT p.p_partkey AS id, key_no::INTEGER AS key_no, label FROM part p LEFT JOIN (SELECT DISTINCT id, key_no, label FROM h WHERE key_no = f) x ON x.id = p.p_partkey""",

@@ -250,7 +250,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     drops = stored(decide(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("drops").alias("__drops")), "lines-drops")
     columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-    rows, drops = docs.select(columns).alias("__docs"), small(drops).alias("__found")
+    rows, drops = docs.select([F.col(f"`{c}`") for c in columns]).alias("__docs"), small(drops).alias("__found")
     own = lambda c: F.col(f"__docs.`{c}`")
     joined = rows.join(drops, own(id_col).eqNullSafe(F.col("__found.__id")) & (F.xxhash64(F.coalesce(own(text_col).cast("string"), F.lit(""))) == F.col("__found.__key")), "left")
 

@@ -13,9 +13,12 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The folder all executors see: ``spark.checkpoint.dir``; a temporary one only where none is set and Spark runs in this process, as in
+    tests. A cluster without one is an error: its executors would not see the driver's folders."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="wrenchlake-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")

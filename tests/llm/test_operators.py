@@ -50,14 +50,15 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
-def test_radius_pairs_are_complete(spark):
+@pytest.mark.parametrize("radius,segments", [(3, 2), (5, 3)])
+def test_radius_pairs_are_complete(spark, radius, segments):
     rng = random.Random(1)
     codes = {rng.getrandbits(64) for _ in range(60)}
     for c in list(codes):
-        codes |= {c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 4))) for _ in range(3)}
+        codes |= {c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, radius + 1))) for _ in range(3)}
     signed = [c - (1 << 64) if c >> 63 else c for c in codes]
-    got = {tuple(r) for r in hamming.radius_pairs(spark.createDataFrame([(c,) for c in signed], "code long")).collect()}
-    want = {(min(a, b), max(a, b)) for a, b in combinations(signed, 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
+    got = {tuple(r) for r in hamming.radius_pairs(spark.createDataFrame([(c,) for c in signed], "code long"), "code", radius, segments).collect()}
+    want = {(min(a, b), max(a, b)) for a, b in combinations(signed, 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= radius}
     assert got == want
 
 
@@ -260,20 +261,22 @@ def test_fit_samples_are_bounded(spark):
 # --- 3 ---
 
 
-def slow_fingerprint(text):
+def slow_fingerprint(text, size=3):
     words = [w for w in "".join(c.lower() if c.isascii() else c for c in text).replace("\t", " ").replace("\n", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ") if w]
     if not words:
         return 0
-    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+    shingles = [" ".join(words[i : i + size]) for i in range(len(words) - size + 1)] or [" ".join(words)]
     h = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def test_simhash_against_brute_force(spark, sample):
+@pytest.mark.parametrize("words,radius,segments", [(3, 3, 2), (5, 5, 3)])
+def test_simhash_against_brute_force(spark, sample, words, radius, segments):
     docs = sample.unionByName(sample.where("doc_id < 30").withColumn("doc_id", F.col("doc_id") + 100_000).withColumn("text", F.concat("text", F.lit(" end"))))
     rows = docs.select("doc_id", "text").collect()
-    codes = {r.doc_id: slow_fingerprint(r.text or "") for r in rows}
-    got = {r.doc_id: (r.code & (2**64 - 1), r.component_id) for r in simhash.near_groups(docs).collect()}
+    codes = {r.doc_id: slow_fingerprint(r.text or "", words) for r in rows}
+    found = simhash.near_groups(docs, words=words, radius=radius, segments=segments).collect()
+    got = {r.doc_id: (r.code & (2**64 - 1), r.component_id) for r in found}
     assert {k: v[0] for k, v in got.items()} == codes
     parent = {i: i for i in codes}
 
@@ -283,7 +286,7 @@ def test_simhash_against_brute_force(spark, sample):
         return i
 
     for a, b in combinations(sorted(codes), 2):
-        if (codes[a] ^ codes[b]).bit_count() <= 3 and find(a) != find(b):
+        if (codes[a] ^ codes[b]).bit_count() <= radius and find(a) != find(b):
             parent[max(find(a), find(b))] = min(find(a), find(b))
     assert {k: v[1] for k, v in got.items()} == {i: find(i) for i in codes}
 

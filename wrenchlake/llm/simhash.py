@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,14 +40,19 @@ def fingerprint_of(text: str, words: int = 3) -> int:
     return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
 
 
-@F.pandas_udf(T.LongType())
-def fingerprint(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in texts:
-        yield pd.Series(np.array([fingerprint_of(t) for t in batch], "<u8").view("<i8"))
+def fingerprint(text: Column, words: int = 3) -> Column:
+    """``fingerprint_of`` of a column, as a signed long."""
 
+    @F.pandas_udf(T.LongType())
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series(np.array([fingerprint_of(t, words) for t in batch], "<u8").view("<i8"))
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, segments: int = 2) -> DataFrame:
-    """``(doc_id, code, component_id)`` per row of ``docs``: documents whose fingerprints are at most
+    return of(text)
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, segments: int = 2, words: int = 3) -> DataFrame:
+    """``(doc_id, code, component_id)`` per row of ``docs``: documents whose fingerprints of shingles of ``words`` words are at most
     ``radius`` bits apart are linked; ``component_id`` is the smallest id reachable.
 
     Exact copies share a fingerprint and are collapsed (pre-aggregated) before any pair is formed; links
@@ -55,7 +60,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     other. Null ids stay in the result and never name a component unless nothing else does. Repeated rows
     are each returned. Other columns are not read.
     """
-    marked = stored(docs.select(F.col(id_col).alias("doc_id"), fingerprint(text_of(text_col)).alias("code")), "simhash")
+    marked = stored(docs.select(F.col(id_col).alias("doc_id"), fingerprint(text_of(text_col), words).alias("code")), "simhash")
     nodes = marked.groupBy("code").agg(F.min("doc_id").alias("first_id"))
     parts = connected_components(radius_pairs(nodes, "code", radius, segments))
     named = nodes.join(parts, nodes["code"] == parts["node"], "left").select("code", "first_id", F.coalesce("component", "code").alias("component"))

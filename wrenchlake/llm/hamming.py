@@ -52,7 +52,7 @@ def radius_pairs(codes: DataFrame, code: str = "code", radius: int = 3, segments
     ``codes`` holds distinct codes. Two codes within ``radius`` differ in at most ``radius // segments`` bits of
     at least one segment (pigeonhole), so each code enumerates that small ball around each of its segments,
     fetches the codes that the table holds there, and the complete distance is verified in the join. A pair
-    may come twice.
+    may come twice. Where ``segments`` does not divide 64 the highest bits are in no segment; the argument holds for the others.
     """
     bits = WIDTH // segments
     table = _table(codes, code, segments, dst=code)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests import oracle
-from wrenchlake.llm import components, hamming, imatch, langid, linededup, mixing, quality, queries, sentencepiece_bpe, sharding, simhash, warc
+from wrenchlake.llm import common, components, hamming, imatch, langid, linededup, mixing, quality, queries, sentencepiece_bpe, sharding, simhash, warc
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long, score double, key string, n long"
@@ -638,3 +638,17 @@ def test_no_python_in_native_plans(spark, sample):
     for df in (imatch.compare_edited(sample), linededup.dedup_lines(sample)):
         plan = df._jdf.queryExecution().toString()
         assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
+
+
+def test_batches_are_bounded(spark):
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, texts = spark.conf.get(rows), spark.createDataFrame([(i, f"word {i % 7} " * 40) for i in range(5000)], "doc_id long, text string")
+    try:
+        spark.conf.set(rows, 10_000)
+        groups = simhash.near_groups(texts)
+        assert int(spark.conf.get(rows)) == common.BATCH_ROWS and int(spark.conf.get(size).rstrip("b")) == common.BATCH_BYTES
+        assert len({r.code for r in groups.collect()}) == 7
+        spark.conf.set(rows, 10)
+        assert simhash.near_groups(texts).count() == 5000 and spark.conf.get(rows) == "10"
+    finally:
+        spark.conf.set(rows, before)

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 #: Largest table, in rows of a few longs each, that a broadcast hint may be given for.
 BROADCAST_ROWS = 1_000_000
+#: Largest Arrow batch between the JVM and a Python worker. Spark's defaults (10 000 rows, 64 MiB) let one task hold a batch of tens of
+#: megabytes several times over, outside the heap, and an executor keeps what it took.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +48,15 @@ def small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= bound else df
 
 
+def bounded_batches() -> None:
+    """Bound the session's Arrow batches in rows (unless they have fewer) and bytes. Results don't depend on batches."""
+    conf = SparkSession.active().conf
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
+        conf.set(rows, BATCH_ROWS)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def text_of(col: str) -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wrenchlake.llm.common import id_crc, stored, text_of
+from wrenchlake.llm.common import bounded_batches, id_crc, stored, text_of
 
 #: Dimensions of the hashed n-gram vectors.
 DIMS = 4096
@@ -174,6 +174,8 @@ def fit_on(docs: DataFrame, per_language: int = FIT_PER_LANGUAGE, id_col: str =
 
 
 def predict(text: Column, model: Model) -> Column:
+    bounded_batches()
+
     @F.pandas_udf(PREDICTED)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wrenchlake.llm.common import id_crc, stored, text_of
+from wrenchlake.llm.common import bounded_batches, id_crc, stored, text_of
 
 #: Bytes of a passage; the last of a text may be shorter.
 PASSAGE = 512
@@ -190,6 +190,8 @@ def fit_on(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCUMENTS, id_co
 def score(text: Column, model: Model) -> Column:
     """Probability of label 1 of a text that isn't null; the small model goes to the tasks with the function."""
 
+    bounded_batches()
+
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:

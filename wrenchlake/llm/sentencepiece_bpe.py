@@ -14,7 +14,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wrenchlake.llm.common import text_of
+from wrenchlake.llm.common import bounded_batches, text_of
 
 SPACE = "▁"
 #: Bytes of encodings of chunks (a word and the spaces before it) that a task keeps; all go when there are more, and when it ends. An
@@ -203,6 +203,8 @@ def digests(text: Column, model: bytes) -> Column:
     ``text`` must not be null. The model's bytes go to the tasks with the function.
     """
 
+    bounded_batches()
+
     @F.pandas_udf(ENCODED)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = _codec(model)
@@ -222,6 +224,8 @@ def digests(text: Column, model: bytes) -> Column:
 def token_ids(text: Column, model: bytes) -> Column:
     """The packed ids, unsigned 32-bit little-endian."""
 
+    bounded_batches()
+
     @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = _codec(model)

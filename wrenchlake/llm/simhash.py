@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wrenchlake.llm.common import small, stored, text_of
+from wrenchlake.llm.common import bounded_batches, small, stored, text_of
 from wrenchlake.llm.components import connected_components
 from wrenchlake.llm.hamming import radius_pairs
 
@@ -43,6 +43,8 @@ def fingerprint_of(text: str, words: int = 3) -> int:
 def fingerprint(text: Column, words: int = 3) -> Column:
     """``fingerprint_of`` of a column, as a signed long."""
 
+    bounded_batches()
+
     @F.pandas_udf(T.LongType())
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wrenchlake.llm import byte_bpe, hamming, imatch, langid, linededup, mixing, quality, sentencepiece_bpe, sharding, simhash, warc
+from wrenchlake.llm import byte_bpe, hamming, imatch, importance, langid, linededup, mixing, quality, sentencepiece_bpe, sharding, simhash, warc
 
 TOKENIZER = "piece_bpe_32k.model"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -62,11 +62,15 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_quality, op3_simhash, op4_line_dedup, op5_sharding, op6_topk, op7_sentencepiece, op8_mixing, op9_imatch, op10_langid, op13_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_quality, op3_simhash, op4_line_dedup, op5_sharding, op6_topk, op7_sentencepiece, op8_mixing, op9_imatch, op10_langid, op12_importance, op13_byte_bpe)}
 
 _CODE = "list_sum([CASE WHEN embedding[i + 1] > 0 THEN (1::UBIGINT << i)::HUGEINT ELSE 0 END FOR i IN range(64)])::UBIGINT"
 

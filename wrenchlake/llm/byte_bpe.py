@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from wrenchlake.llm.common import bounded_batches
 
 #: Bytes of encodings of chunks (a word and the white space before it) that a task keeps, in two halves: when the younger is full, the older goes.
-#: All go when the task ends.
-CACHED_BYTES = 128 << 20
+#: A worker that is used again keeps them for the next task.
+CACHED_BYTES = 256 << 20
 CACHED_LENGTH, ENTRY = 48, 350
-#: Pairs of tokens whose compatibility a task remembers, about 200 bytes each.
+#: Pairs of a token and a longest match after it whose compatible prefix a task remembers, about 200 bytes each.
 FITS = 100_000
 #: The characters of the property White_Space, which ``\\s`` of the split pattern matches.
 WHITE = "\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -68,7 +68,7 @@ class ByteCodec:
                     self.longest[path[:k]] = self.longest[path[: k - 1]]
             self.longest[path] = ranks[t]
         self.most = max(map(len, made))
-        self.fits = lru_cache(FITS)(self._fits)
+        self.following = lru_cache(FITS)(self._next)
         self.kept = _Kept(self._chunk)
 
     def _halves(self, token: bytes) -> tuple[bytes, bytes] | None:
@@ -101,29 +101,36 @@ class ByteCodec:
             else:
                 before, ties, left = a, False, halves[left][1]
 
+    def _next(self, last: int, token: int) -> int:
+        """The longest of the token and its prefixes that are tokens which is compatible with the token before it; -1 for none."""
+        while token >= 0 and not self._fits(last, token):
+            token = self.shorter[token]
+        return token
+
     def split(self, piece: str) -> list[int]:
         """The ids of one match of the pattern, given with a Latin-1 character for each byte."""
-        if (whole := self.id_of.get(piece)) is not None:
+        whole = self.id_of.get(piece)
+        if whole is not None:
             return [whole]
-        n, reach, longest = len(piece), self.automaton.longest_prefix, self.longest
-        size, shorter, fits = self.size, self.shorter, self.fits
-        out, dead, at, last = [], set(), 0, -1
-        token = longest[piece[: reach(piece)]]
-        while True:
-            while token >= 0 and ((last >= 0 and not fits(last, token)) or (dead and at + size[token] in dead)):
-                token = shorter[token]
-            if token >= 0:
-                out.append(token)
-                at += size[token]
-                if at == n:
-                    return out
-                ahead = piece[at : at + self.most]
-                last, token = token, longest[ahead[: reach(ahead)]]
-            else:  # nothing goes on from here
+        n, reach, longest, most, size, following = len(piece), self.automaton.longest_prefix, self.longest, self.most, self.size, self.following
+        last = longest[piece[: reach(piece)]]
+        out, at, dead = [last], size[last], set()
+        while at < n:
+            ahead = piece[at : at + most]
+            token = following(last, longest[ahead[: reach(ahead)]])
+            while dead and token >= 0 and at + size[token] in dead:
+                token = following(last, self.shorter[token])
+            while token < 0:  # nothing goes on from here: the last token gives way to a shorter one
                 dead.add(at)
-                token = out.pop()
-                at -= size[token]
-                last, token = out[-1] if out else -1, shorter[token]
+                token = self.shorter[out.pop()]
+                at -= size[last]
+                last = out[-1] if out else -1
+                while token >= 0 and (at + size[token] in dead or last >= 0 and not self._fits(last, token)):
+                    token = self.shorter[token]
+            out.append(token)
+            at += size[token]
+            last = token
+        return out
 
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
@@ -148,9 +155,9 @@ class ByteCodec:
         return sum(numbers), " ".join(ids), b"".join(decoded)
 
     def forget(self) -> None:
-        """Empty the caches: a worker that is used again keeps none of a task's."""
+        """Empty the caches."""
         self.kept.empty()
-        self.fits.cache_clear()
+        self.following.cache_clear()
 
 
 class _Kept(dict):
@@ -202,15 +209,12 @@ def digests(text: Column, ranks: bytes, pattern: str) -> Column:
     @F.pandas_udf(CODED)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = _codec(ranks, pattern)
-        try:
-            for batch in batches:
-                rows = []
-                for raw in batch:
-                    n, ids, decoded = codec.coded(str(raw, "utf-8", "replace"))
-                    rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-                yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-        finally:
-            codec.forget()
+        for batch in batches:
+            rows = []
+            for raw in batch:
+                n, ids, decoded = codec.coded(str(raw, "utf-8", "replace"))
+                rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run(text)
 

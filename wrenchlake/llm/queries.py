@@ -74,6 +74,14 @@ QUERIES = {f.__name__: f for f in (op1_warc, op2_quality, op3_simhash, op4_line_
 
 _CODE = "list_sum([CASE WHEN embedding[i + 1] > 0 THEN (1::UBIGINT << i)::HUGEINT ELSE 0 END FOR i IN range(64)])::UBIGINT"
 
+#: CRC-32 of each value of one byte, by its rule.
+_TABLE = [0] * 256
+for _i in range(256):
+    _c = _i
+    for _ in range(8):
+        _c = _c >> 1 ^ (0xEDB88320 if _c & 1 else 0)
+    _TABLE[_i] = _c
+
 ORACLE_SQL = {
     "op1_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -90,4 +98,26 @@ ORACLE_SQL = {
               FROM c AS q, c WHERE q.vec_id % 100 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INTEGER AS rank FROM m)
         SELECT query_id, vec_id, distance, rank FROM r WHERE rank <= 10""",
+    "op12_importance": f"""
+        WITH texts AS (
+          SELECT 0 AS side, doc_id, row_number() OVER () AS row, text FROM documents
+          UNION ALL SELECT 1, NULL, row_number() OVER (), text FROM benchmark),
+        placed AS (SELECT side, row, unnest(words) AS w, generate_subscripts(words, 1) AS place FROM (
+          SELECT side, row, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM texts)),
+        runs AS (SELECT side, row, w, lag(w, 1) OVER o AS w1, lag(w, 2) OVER o AS w2 FROM placed WINDOW o AS (PARTITION BY side, row ORDER BY place)),
+        features AS (SELECT side, row, w AS f FROM runs UNION ALL SELECT side, row, w1 || ' ' || w FROM runs WHERE w1 IS NOT NULL
+          UNION ALL SELECT side, row, w2 || ' ' || w1 || ' ' || w FROM runs WHERE w2 IS NOT NULL),
+        grouped AS (SELECT side, row, f, count(*) AS n FROM features GROUP BY ALL),
+        hexed AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM grouped)),
+        crcs AS (SELECT f, xor(list_reduce([('0x' || substr(h, 2 * i + 1, 2))::BIGINT FOR i IN range(length(h) // 2)],
+           lambda c, b: xor(c >> 8, {_TABLE}[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM hexed),
+        counted AS (SELECT side, row, bucket, sum(n) AS n FROM grouped JOIN crcs USING (f) GROUP BY ALL),
+        sums AS (SELECT bucket, coalesce(sum(n) FILTER (side = 0), 0) AS s, coalesce(sum(n) FILTER (side = 1), 0) AS t FROM counted GROUP BY bucket),
+        gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM sums),
+        weights AS (SELECT row, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM counted JOIN gains USING (bucket) WHERE side = 0 GROUP BY row),
+        scored AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+          coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+          FROM (SELECT doc_id, row FROM texts WHERE side = 0) LEFT JOIN weights USING (row)),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 57 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 57) AS fit FROM scored)
+        SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 57 AND place <= 5 * fit // 100 THEN place END AS rank FROM ranked""",
 }

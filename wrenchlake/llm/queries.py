@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wrenchlake.llm import byte_bpe, hamming, imatch, importance, langid, linededup, mixing, quality, sentencepiece_bpe, sharding, simhash, warc
+from wrenchlake.llm import byte_bpe, hamming, imatch, importance, langid, linededup, mixing, negatives, quality, sentencepiece_bpe, sharding, simhash, warc
 
 TOKENIZER = "piece_bpe_32k.model"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -62,6 +62,12 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), shifted.cast("long").alias("label"), negatives.scaled("embedding").alias("code"))
+    return negatives.mine(rows, F.col("id") % 100 == 0)
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -70,7 +76,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_quality, op3_simhash, op4_line_dedup, op5_sharding, op6_topk, op7_sentencepiece, op8_mixing, op9_imatch, op10_langid, op12_importance, op13_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_quality, op3_simhash, op4_line_dedup, op5_sharding, op6_topk, op7_sentencepiece, op8_mixing, op9_imatch, op10_langid, op11_hard_negatives, op12_importance, op13_byte_bpe)}
 
 _CODE = "list_sum([CASE WHEN embedding[i + 1] > 0 THEN (1::UBIGINT << i)::HUGEINT ELSE 0 END FOR i IN range(64)])::UBIGINT"
 
@@ -98,6 +104,19 @@ ORACLE_SQL = {
               FROM c AS q, c WHERE q.vec_id % 100 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INTEGER AS rank FROM m)
         SELECT query_id, vec_id, distance, rank FROM r WHERE rank <= 10""",
+    "op11_hard_negatives": """
+        WITH r AS (
+          SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+          FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        s AS (SELECT a.id AS anchor_id, r.id, a.label = r.label AS same, list_dot_product(a.v, r.v)::BIGINT AS score
+              FROM r AS a, r WHERE a.id % 100 = 0 AND a.id <> r.id),
+        p AS (SELECT anchor_id, id, score FROM s WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+        n AS (SELECT p.anchor_id, p.id AS positive_id, p.score AS positive_score, s.id AS negative_id, s.score AS negative_score,
+                     row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id)::INTEGER AS rank
+              FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
     "op12_importance": f"""
         WITH texts AS (
           SELECT 0 AS side, doc_id, row_number() OVER () AS row, text FROM documents

@@ -17,7 +17,7 @@ from wrenchlake.llm.common import bounded_batches, stored, text_of
 
 BUCKETS = 10_000
 #: Characters of text that one DuckDB query gets; longer texts are cut at a separator.
-SLICE = 1 << 20
+SLICE = 1 << 18
 MEMORY = "512MB"
 #: What separates words, as classes without brackets, before and after A-Z are lower-cased.
 BEFORE, AFTER = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F", r"\x00-\x2F\x3A-\x60\x7B-\x7F"

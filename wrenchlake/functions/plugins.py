@@ -83,10 +83,3 @@ def expansions(text: Column, synonyms: dict[str, list[str]] = SYNONYMS, most: in
     low = F.lower(text)
     forms = [F.when(low.contains(w), F.replace(low, F.lit(w), F.lit(s))) for w, alternatives in synonyms.items() for s in alternatives]
     return F.concat(F.array(text), F.slice(F.array_compact(F.array(*forms)), 1, most))
-
-
-def overlap_score(query: Column, text: Column) -> Column:
-    """The offline reranker: the sigmoid of the share of the query's words that the text has."""
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda w: w != ""))
-    share = F.size(F.array_intersect(words(query), words(text))) / F.nullif(F.size(words(query)), F.lit(0))
-    return V.sigmoid(4 * F.coalesce(share, F.lit(0.0)) - 2)

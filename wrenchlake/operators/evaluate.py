@@ -70,5 +70,6 @@ def seeded_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
 
 def is_validation(key: Column, seed: int = 42, percent: int = 20) -> Column:
-    """A hash split."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(100)) < percent
+    """A split by a seeded hash of the key; a null key counts as an empty one."""
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))), 256)
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 100 < percent

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wrenchlake.shared import kept
+
 
 def nodes(df: DataFrame, kind: str, key: str, *labels: str) -> DataFrame:
     """``(node_id, node_type, label)``, one per key; the label is the first non-blank of the columns."""
@@ -61,3 +63,45 @@ def cheapest_paths(e: DataFrame, sources: DataFrame, targets: DataFrame, hops: i
         found = front if found is None else found.unionByName(front)
     best = found.join(targets.distinct(), found["node"] == targets["dst"], "left_semi").where("src <> node").groupBy("src", F.col("node").alias("dst")).agg(F.min(F.struct("cost", "n", "path")).alias("b"))
     return best.select("src", "dst", "b.*").withColumn("score", F.col("cost") / F.col("n"))
+
+
+def shortest_paths(e: DataFrame, sources: DataFrame, targets: DataFrame, max_length: int = 4, most: int | None = 20) -> DataFrame:
+    """From each source to each target the cheapest path of any number of edges, kept only if it has at most ``max_length`` edges; of each source the
+    ``most`` shortest, by edges, then target. ``(src, dst, cost, n, score, path)``, the path as an array of nodes.
+
+    A target whose cheapest path is longer is not reached by a dearer, shorter one. Equal costs go to fewer edges, then to the smaller node before. A
+    missing weight counts 1, parallel edges by their least; negative weights are an error. ``score`` is the mean weight of the path's edges. A source that is a target has no path to itself.
+
+    Frontiers run until nothing improves: only pairs (source, node) whose cost fell in the last round are joined with the edges, so a round costs
+    what it changes; a pair keeps its cost and the node before it, not its path. The paths of the pairs that are left are then followed backwards,
+    ``max_length`` joins at most. The rounds are as many as the longest cheapest path has edges.
+    """
+    step = kept(e.groupBy(F.col("src").alias("at"), F.col("dst").alias("to")).agg(F.min(F.coalesce("weight", F.lit(1.0))).alias("w")), "edges")
+    if step.where("w < 0").take(1):
+        raise ValueError("negative weights")
+    reached = kept(sources.select("src").where("src is not null").distinct().select("src", F.col("src").alias("node"), F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("before")).alias("b")), "reached")
+    front = reached
+    while front.take(1):
+        walked = front.join(step, front["node"] == step["at"]).where(F.col("to") != F.col("src"))
+        new = walked.select("src", F.col("to").alias("node"), F.struct((F.col("b.cost") + F.col("w")).alias("cost"), (F.col("b.n") + 1).alias("n"), F.col("at").alias("before")).alias("b"))
+        new = new.groupBy("src", "node").agg(F.min("b").alias("new"))
+        both = kept(reached.join(new, ["src", "node"], "full").select("src", "node", F.least("b", "new").alias("b"), F.coalesce(F.col("new") < F.col("b"), F.col("b").isNull()).alias("better")), "reached")
+        reached, front = both.drop("better"), both.where("better").drop("better")
+    found = reached.join(targets.select(F.col("dst").alias("node")).distinct(), "node", "left_semi").where(F.col("b.n").between(1, max_length))
+    if most is not None:
+        nth = F.row_number().over(Window.partitionBy("src").orderBy("b.n", "node"))
+        found = found.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")
+    links = reached.select("src", F.col("node").alias("at"), F.col("b.before").alias("before"))
+    back = found.select("src", F.col("node").alias("dst"), F.col("b.cost").alias("cost"), F.col("b.n").alias("n"), F.array("node").alias("path"), F.col("node").alias("at"))
+    for _ in range(max_length):
+        back = back.join(links, ["src", "at"], "left").select("src", "dst", "cost", "n", F.when(F.col("before").isNotNull(), F.concat(F.array("before"), "path")).otherwise(F.col("path")).alias("path"), F.coalesce("before", "at").alias("at"))
+    return back.select("src", "dst", "cost", "n", (F.col("cost") / F.col("n")).alias("score"), "path")
+
+
+def node_by_code(n: DataFrame, codes: DataFrame) -> DataFrame:
+    """Of each of ``codes(code)`` the node ``fault_code:<code>``, else the least fault node whose ``code`` attribute it is; ``node_id`` is null for
+    none. ``n(node_id, node_type, code)``."""
+    asked = codes.select("code").distinct().withColumn("named", F.concat(F.lit("fault_code:"), "code"))
+    direct = asked.join(n.select(F.col("node_id").alias("named")).distinct(), "named", "left_semi").select("code", F.col("named").alias("direct"))
+    held = n.where("node_type = 'fault_code'").groupBy("code").agg(F.min("node_id").alias("held"))
+    return asked.select("code").join(direct, "code", "left").join(held, "code", "left").select("code", F.coalesce("direct", "held").alias("node_id"))

@@ -94,10 +94,6 @@ def page_links(spark, d):
     return S.page_links(table(spark, d, "pages"))
 
 
-def html_table_rows(spark, d):
-    return S.table_rows(table(spark, d, "pages"), 1).select("page_id", "row_no", F.array_join("cells", "|").alias("cells"))
-
-
 def problem_solution(spark, d):
     return table(spark, d, "documents").select("doc_id", T.problem_solution(F.col("text")).alias("sections"))
 
@@ -162,7 +158,7 @@ def query_text(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     extract_codes, classify_outcome, extract_sensors, extract_vehicle, repair_summary, substantial_solution, validation_gate, chunk_documents, doc_assembly, strip_html, clean_response, page_text, page_links,
-    html_table_rows, problem_solution, steps_extract, title_truncate, text_preview, categorize, keyword_df, url_normalize, rate_limited_pages, dedup_signature, dedup_hash, placeholder_titles, code_variants, query_text,
+    problem_solution, steps_extract, title_truncate, text_preview, categorize, keyword_df, url_normalize, rate_limited_pages, dedup_signature, dedup_hash, placeholder_titles, code_variants, query_text,
 )}
 
 _SUBSTANTIAL = f"""CASE WHEN length(s) < 50 THEN false WHEN {_any(T.ACTION_WORDS)} THEN true WHEN {_any(T.VAGUE_PHRASES)} AND length(s) < 80 THEN false

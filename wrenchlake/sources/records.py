@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wrenchlake.functions import text as T
+from wrenchlake.sources import markup as M
 
 RECORD = (
     "fault_codes array<string>, obd_data map<string,double>, vehicle_context struct<make:string,model:string,year:int,engine:string,mileage:int>, "
@@ -58,29 +59,19 @@ def page_text(html: Column, least: int = 0) -> Column:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """``(page_id, link_no, href, label)`` of the anchors that aren't navigation."""
-    pattern = F.lit(r'(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>')
-    pairs = F.arrays_zip(F.regexp_extract_all("html", pattern, F.lit(1)).alias("href"), F.regexp_extract_all("html", pattern, F.lit(2)).alias("label"))
-    out = pages.select("page_id", F.posexplode(pairs).alias("link_no", "x")).select("page_id", "link_no", "x.href", T.squeeze(F.regexp_replace("x.label", "<[^>]+>", " ")).alias("label"))
+    """``(page_id, link_no, href, label)`` of the links that aren't navigation."""
+    out = pages.select("page_id", F.posexplode(M.links_column(F.col("html"))).alias("link_no", "x")).select("page_id", "link_no", "x.href", F.col("x.text").alias("label"))
     return out.where(~T.nav_link(F.col("label")))
 
 
 def table_rows(pages: DataFrame, least: int = 6) -> DataFrame:
-    """``(page_id, row_no, cells)`` of the rows with at least ``least`` cells in a page's first table body (or table)."""
-    body = F.coalesce(F.nullif(F.regexp_extract("html", r"(?is)<tbody[^>]*>(.*?)</tbody>", 1), F.lit("")), F.regexp_extract("html", r"(?is)<table[^>]*>(.*?)</table>", 1))
-    rows = pages.select("page_id", F.posexplode(F.regexp_extract_all(body, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("row_no", "row"))
-    cells = F.transform(F.regexp_extract_all("row", F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1)), lambda c: T.squeeze(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", ""), "&nbsp;", " ")))
-    return rows.select("page_id", "row_no", cells.alias("cells")).where(F.size("cells") >= least)
-
-
-def sections(html: Column, names: list[str]) -> Column:
-    """Named sections to the texts of their cells, joined by newlines, missing ones empty."""
-    parts = []
-    for name in names:
-        block = F.regexp_extract(html, rf"(?is)<h\d[^>]*>\s*{name}\s*</h\d>(.*?)(?:<h\d|$)", 1)
-        cells = F.transform(F.regexp_extract_all(block, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), lambda c: T.squeeze(F.regexp_replace(c, "<[^>]+>", " ")))
-        parts += [F.lit(name), F.array_join(cells, "\n")]
-    return F.create_map(*parts)
+    """``(page_id, row_no, cells)`` of the rows with at least ``least`` data cells, the first two filled, in a page's first table body."""
+    return pages.select("page_id", F.posexplode(M.table_rows_column(F.col("html"), least)).alias("row_no", "cells"))
+
+
+def page_sections(pages: DataFrame) -> DataFrame:
+    """``(page_id, section, text)``, the seven named sections of each page, missing ones empty."""
+    return pages.select("page_id", F.explode(M.sections_column(F.col("html"))).alias("section", "text"))
 
 
 def start_urls(sites: DataFrame, codes: DataFrame, searched: DataFrame) -> DataFrame:

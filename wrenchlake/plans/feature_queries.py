@@ -229,11 +229,14 @@ _NEAR = f"SELECT query_id, id, label, score, row_number() OVER (PARTITION BY que
 
 def _bm25_sql(pairs: str, docs: str) -> str:
     """WITH parts that end in ``bm(query_id, id, bm25)`` for a query of pairs and one of (id, text)."""
-    return f"""pairs AS ({pairs}), docs AS ({docs}), split AS (SELECT id, {_TERMS} AS ws FROM docs), corpus AS (SELECT count(*) AS n, avg(coalesce(len(ws), 0)) AS mean FROM split),
-        df AS (SELECT w, count(*) AS df FROM (SELECT unnest(list_distinct(ws)) AS w FROM split) GROUP BY w), tf AS (SELECT id, w, count(*) AS tf FROM (SELECT id, unnest(ws) AS w FROM split) GROUP BY ALL),
-        asked AS (SELECT id AS query_id, unnest(list_distinct({_TERMS})) AS w FROM (SELECT doc_id AS id, text FROM documents)),
-        bm AS (SELECT p.query_id, p.id, coalesce(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len(ws) / mean))), 0)::DOUBLE AS bm25
-               FROM pairs p CROSS JOIN corpus LEFT JOIN (asked a JOIN tf USING (w) JOIN df USING (w) JOIN split USING (id)) x ON x.query_id = p.query_id AND x.id = p.id GROUP BY ALL)"""
+    return f"""pairs AS MATERIALIZED ({pairs}), docs AS MATERIALIZED ({docs}), split AS MATERIALIZED (SELECT id, {_TERMS} AS ws FROM docs), corpus AS (SELECT count(*) AS n, avg(coalesce(len(ws), 0)) AS mean FROM split),
+        df AS MATERIALIZED (SELECT w, count(*) AS df FROM (SELECT unnest(list_distinct(ws)) AS w FROM split) GROUP BY w), tf AS MATERIALIZED (SELECT id, w, count(*) AS tf FROM (SELECT id, unnest(ws) AS w FROM split) GROUP BY ALL),
+        asked AS MATERIALIZED (SELECT id AS query_id, unnest(list_distinct({_TERMS})) AS w FROM (SELECT doc_id AS id, text FROM documents)),
+        own AS MATERIALIZED (SELECT p.query_id, p.id, a.w FROM pairs p JOIN asked a USING (query_id)),
+        hit AS MATERIALIZED (SELECT query_id, id, w, tf FROM own JOIN tf USING (id, w)),
+        met AS (SELECT query_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len(ws) / mean))) AS s
+                FROM hit JOIN df USING (w) JOIN split USING (id), corpus GROUP BY ALL),
+        bm AS (SELECT query_id, id, coalesce(s, 0)::DOUBLE AS bm25 FROM pairs LEFT JOIN met USING (query_id, id))"""
 
 
 _CODED = """p AS (SELECT p_partkey, p_retailprice, p_brand || '/' || p_size AS code FROM part), firsts AS (SELECT code, p_partkey AS procedure_id FROM p QUALIFY row_number() OVER (PARTITION BY code ORDER BY p_retailprice, p_partkey) = 1),

@@ -567,7 +567,51 @@ def test_fit_counts_is_the_best_reachable():
             took = mixing.fit_counts(counts, budget, words)
             got = sum(n * c for n, c in took.items())
             assert all(0 < took[n] <= counts[n] for n in took) and got <= budget
-            assert got == max(s for s in sums if s <= budget) if words == mixing.DP_WORDS else got >= budget - max(counts)
+            assert got == max(s for s in sums if s <= budget)
+
+
+@pytest.mark.parametrize("low,high,lengths", [(3000, 20_000, 12), (30_000, 90_000, 4), (2, 9, 5), (1000, 40_000, 40)])
+def test_fit_counts_beyond_the_first_window(low, high, lengths):
+    """The best reachable sum with the windows of production, of few long lengths, many short ones, and lengths beyond the first window."""
+    rng = random.Random(low)
+    for _ in range(8):
+        counts = {rng.randint(low, high): rng.randint(1, 9 if low > 100 else 20_000) for _ in range(rng.randint(2, lengths))}
+        total = sum(n * c for n, c in counts.items())
+        budget = rng.randint(total // 3, total)
+        bits = 1
+        for n, c in counts.items():
+            k = 1
+            while c:
+                k = min(k, c)
+                bits |= bits << n * k
+                c, k = c - k, 2 * k
+        best = (bits & ((1 << budget + 1) - 1)).bit_length() - 1
+        took = mixing.fit_counts(counts, budget)
+        assert all(0 < took[n] <= counts[n] for n in took) and sum(n * c for n, c in took.items()) == best
+    assert sum(n * c for n, c in mixing.fit_counts({40_000: 5, 50_000: 7, 9000: 1}, 215_000).items()) == 210_000
+
+
+CLASHING = ["row", "id", "key", "of", "n", "times", "rows", "copy", "nth", "t_id", "t_key", "stay_id", "code", "component", "__n", "__t", "__r", "__k", "__rows", "__stay", "a.b", "doc id", "range", "draw"]
+
+
+def clashing(df):
+    for c in CLASHING:
+        df = df.withColumn(c, F.lit(c)) if c not in df.columns else df
+    return df
+
+
+def test_any_column_names(spark):
+    docs = clashing(odd_docs(spark).withColumn("n_chars", F.col("n_chars").cast("long")))
+    for out in (mixing.apply_mix(docs), simhash.dedup(docs), linededup.dedup_lines(docs).select([F.col(f"`{c}`") for c in docs.columns])):
+        assert out.columns == docs.columns and out.count() > 0
+        assert {tuple(r) for r in out.select([F.col(f"`{c}`") for c in CLASHING if c not in ("n", "key")]).collect()} == {tuple(c for c in CLASHING if c not in ("n", "key"))}
+
+
+def test_simhash_dedup_loses_no_text(spark):
+    a, b, c = "alpha beta gamma delta epsilon zeta", "one two three four five six seven", "der die das und oder aber denn weil"
+    rows = [(1, a), (1, b), (2, c), (2, a), (1, a), (None, b), (None, "nur hier steht dieser satz"), (None, "nur hier steht dieser satz"), (7, None), (6, ""), (3, c), (3, c)]
+    kept = sorted(((r.doc_id or -1, r.text) for r in simhash.dedup(docs_of(spark, rows).repartition(3)).collect()), key=str)
+    assert kept == sorted([(1, a), (1, b), (2, c), (-1, "nur hier steht dieser satz"), (6, "")], key=str)
 
 
 def test_mix_of_repeated_rows(spark):

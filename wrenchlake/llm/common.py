@@ -64,3 +64,8 @@ def text_of(col: str) -> Column:
 
 def id_crc(col: str) -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary"))
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, whatever their names."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns])

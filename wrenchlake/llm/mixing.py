@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from math import gcd
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wrenchlake.llm.common import small, stored, text_of
+from wrenchlake.llm.common import small, stored, text_of, whole_row
 
-#: The remaining budget, in words, that dynamic programming fits; what exceeds it is taken in proportion before.
+#: The remaining budget, in words, that dynamic programming fits first; what exceeds it is taken in proportion before.
 DP_WORDS = 1 << 15
+#: The remaining budget that dynamic programming fits where the smaller windows miss the budget, some 100 MB of one task. Few lengths need it.
+MOST_WORDS = 1 << 24
 #: Hash ranges that rows of one source and length are ranked in, so that a hot length isn't ranked by one task.
 RANGES = 256
 SEED = 20240
@@ -30,43 +35,50 @@ def split_budget(sizes: list[int], weights: list[float], share: float = 1.5, mos
 
 
 def _reachable(room: dict[int, int], budget: int) -> tuple[int, dict[int, int]]:
-    """The largest sum of at most ``room`` lengths within ``budget``, and the counts that make it: sums as bits of an integer,
-    counts split into powers of two."""
-    sums, steps, whole = 1, [], (1 << (budget + 1)) - 1
+    """The largest sum of at most ``room`` lengths within ``budget``, and the counts that make it.
+
+    Counts are split into powers of two, each an item to take or leave; of every sum the item is noted that first reached it, so following the
+    items back gives the counts. Five bytes a word of the budget, and some for the step at hand."""
+    reach, first, items = np.zeros(budget + 1, bool), np.full(budget + 1, -1, np.int32), []
+    reach[0] = True
     for n in sorted((n for n in room if n <= budget), reverse=True):
         free, group = min(room[n], budget // n), 1
         while free > 0:
             k = min(group, free)
-            steps.append((n, k, sums))
-            sums = (sums | sums << (n * k)) & whole
+            new = np.flatnonzero(reach[: budget + 1 - n * k] & ~reach[n * k :]) + n * k
+            reach[new], first[new] = True, len(items)
+            items.append((n, k))
             free, group = free - k, group * 2
-        if sums >> budget & 1:
+        if reach[budget]:
             break
-    best = at = sums.bit_length() - 1
+    best = at = int(np.flatnonzero(reach)[-1])
     take: dict[int, int] = {}
-    for n, k, before in reversed(steps):
-        if not before >> at & 1:
-            take[n], at = take.get(n, 0) + k, at - n * k
+    while at:
+        n, k = items[first[at]]
+        take[n], at = take.get(n, 0) + k, at - n * k
     return best, take
 
 
-def fit_counts(counts: dict[int, int], budget: int, dp_words: int = DP_WORDS) -> dict[int, int]:
-    """How many documents of each length to take so that their lengths sum to ``budget`` or as near below it as
-    can be found.
+def fit_counts(counts: dict[int, int], budget: int, dp_words: int = DP_WORDS, most_words: int = MOST_WORDS) -> dict[int, int]:
+    """How many documents of each length to take so that their lengths sum to ``budget`` or as near below it as can be reached.
 
-    A budget of at most ``dp_words`` is met by a bounded knapsack over all lengths: the sum is the best reachable. Of a larger
-    one most is taken in proportion from every length, so the lengths stay mixed as they are, and the knapsack fits the rest, of at most
-    ``dp_words``, from what is left. Where that misses the budget, more and more of the proportional part is given back, until it is met or
-    all of the window is tried. The steps' bits take ``dp_words`` / 8 bytes for each power of two of each length.
+    A budget of at most ``dp_words`` is met by a bounded knapsack over all lengths. Of a larger one most is taken in proportion from every
+    length, so the lengths stay mixed as they are, and the knapsack fits the rest from what is left; where that misses, more of the
+    proportional part is given back: first windows of ``dp_words`` and less, which many lengths meet exactly, then
+    one of ``most_words``, which is the whole budget unless it is larger. So the sum is the best reachable of every budget up to ``most_words``, and of
+    larger ones too if it is the budget itself. All is counted in the lengths' common divisor.
     """
     counts = {n: c for n, c in counts.items() if n > 0 and c > 0}
     total = sum(n * c for n, c in counts.items())
     if budget >= total:
         return counts
+    unit = gcd(*counts)
+    if unit > 1:
+        return {n * unit: c for n, c in fit_counts({n // unit: c for n, c in counts.items()}, budget // unit, dp_words, most_words).items()}
     if budget <= dp_words:
         return _reachable(counts, budget)[1]
     best: tuple[int, dict[int, int]] = (-1, {})
-    for window in (dp_words // 64, dp_words // 8, dp_words):
+    for window in (dp_words // 64, dp_words // 8, dp_words, most_words):
         part = max(0, budget - window)
         take = {n: c * part // total for n, c in counts.items()}
         rest = budget - sum(n * c for n, c in take.items())
@@ -76,7 +88,7 @@ def fit_counts(counts: dict[int, int], budget: int, dp_words: int = DP_WORDS) ->
                 break
             more = min(counts[n] - take[n], (rest - window + n - 1) // n, rest // n)
             take[n], rest = take[n] + more, rest - more * n
-        if rest > dp_words:
+        if rest > most_words:
             continue
         got, more = _reachable({n: c - take[n] for n, c in counts.items()}, rest)
         reached = budget - rest + got
@@ -84,7 +96,7 @@ def fit_counts(counts: dict[int, int], budget: int, dp_words: int = DP_WORDS) ->
             best = (reached, {n: take[n] + more.get(n, 0) for n in take})
         if reached == budget:
             break
-    if best[0] < 0:  # lengths beyond the window only
+    if best[0] < 0:  # only lengths beyond every window
         best = (0, take)
     return {n: c for n, c in best[1].items() if c}
 
@@ -148,14 +160,13 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     exactly: each as often as all are whole, and the first few once more. Null ids, texts and sources count like others. An
     empty table gives an empty one."""
     mixed = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
-    times = mixed.groupBy("doc_id", "source", "text_key").agg(F.sum("times").alias("__times"), F.count("*").alias("__rows"))
-    times = stored(times.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_key").alias("__key"), "__times", "__rows").where("__times > 0"), "mix-times")
-    rows, times = docs.alias("__docs"), small(times).alias("__mix")
-    own = lambda c: F.col(f"__docs.`{c}`")
-    key = F.xxhash64(F.coalesce(own(text_col).cast("string"), F.lit("")))
-    same = own(id_col).eqNullSafe(F.col("__mix.__id")) & own(source_col).cast("string").eqNullSafe(F.col("__mix.__source")) & (key == F.col("__mix.__key"))
-    joined = rows.join(times, same).select(*[own(c).alias(c) for c in docs.columns], F.col("__mix.__id").alias("__1"), F.col("__mix.__source").alias("__2"), F.col("__mix.__key").alias("__3"), F.col("__mix.__times").alias("__t"), F.col("__mix.__rows").alias("__r"))
-    even = joined.where("__t % __r = 0").withColumn("__k", F.expr("int(__t div __r)"))
-    nth = F.row_number().over(Window.partitionBy("__1", "__2", "__3").orderBy(F.lit(1)))  # of equal rows, few or none
-    odd = joined.where("__t % __r <> 0").withColumn("__n", nth).withColumn("__k", F.expr("int(__t div __r) + int(__n <= __t % __r)")).drop("__n")
-    return even.unionByName(odd).where("__k > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__k")))).select([F.col(f"`{c}`") for c in docs.columns])
+    times = mixed.groupBy("doc_id", "source", "text_key").agg(F.sum("times").alias("times"), F.count("*").alias("rows")).where("times > 0")
+    times = small(stored(times.toDF("t_id", "t_source", "t_key", "times", "rows"), "mix-times"))
+    row = F.col("row")  # the whole row as one value, so that no name of its columns meets one of ours
+    rows = docs.select(whole_row(docs).alias("row")).select("row", row[id_col].alias("id"), row[source_col].cast("string").alias("of"), F.xxhash64(F.coalesce(row[text_col].cast("string"), F.lit(""))).alias("key"))
+    same = F.col("id").eqNullSafe(F.col("t_id")) & F.col("of").eqNullSafe(F.col("t_source")) & (F.col("key") == F.col("t_key"))
+    joined = rows.join(times, same)
+    even = joined.where("times % rows = 0").select("row", F.expr("int(times div rows)").alias("n"))
+    nth = F.row_number().over(Window.partitionBy("id", "of", "key").orderBy(F.lit(1)))  # of equal rows, few or none
+    odd = joined.where("times % rows <> 0").withColumn("nth", nth).select("row", F.expr("int(times div rows) + int(nth <= times % rows)").alias("n"))
+    return even.unionByName(odd).where("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).select([row[c].alias(c) for c in docs.columns])

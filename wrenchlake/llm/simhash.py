@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wrenchlake.llm.common import bounded_batches, small, stored, text_of
+from wrenchlake.llm.common import bounded_batches, small, stored, text_of, whole_row
 from wrenchlake.llm.components import connected_components
 from wrenchlake.llm.hamming import radius_pairs
 
@@ -63,21 +63,33 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are each returned. Other columns are not read.
     """
     marked = stored(docs.select(F.col(id_col).alias("doc_id"), fingerprint(text_of(text_col), words).alias("code")), "simhash")
+    classes = _classes(marked, radius, segments)
+    return marked.join(small(classes), "code").select("doc_id", "code", "component_id")
+
+
+def _classes(marked: DataFrame, radius: int, segments: int) -> DataFrame:
+    """``(code, component, component_id)`` of each distinct code of ``marked(doc_id, code)``; stored."""
     nodes = marked.groupBy("code").agg(F.min("doc_id").alias("first_id"))
     parts = connected_components(radius_pairs(nodes, "code", radius, segments))
     named = nodes.join(parts, nodes["code"] == parts["node"], "left").select("code", "first_id", F.coalesce("component", "code").alias("component"))
     lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    classes = stored(named.join(lowest, "component").select("code", "component_id"), "simhash-classes")
-    return marked.join(small(classes), "code").select("doc_id", "code", "component_id")
+    return stored(named.join(lowest, "component").select("code", "component", "component_id"), "simhash-classes")
+
 
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, segments: int = 2, words: int = 3) -> DataFrame:
+    """``docs`` with one row of each group of near copies: of its rows with the group's smallest id (null ids come after all others), one of the text of
+    least hash. Columns stay as they are, whatever their names.
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with one document of each group of near copies: that with the group's smallest id (of repeated
-    ids one row stays). Rows without id stay only where their group has no row with one, all of them."""
-    groups = near_groups(docs, id_col, text_col, **how)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("__rows"))
-    stay = small(stored(stay.withColumnRenamed("doc_id", "__stay"), "simhash-stay"))
-    kept = docs.join(stay, F.col(id_col).eqNullSafe(F.col("__stay")))
-    alone = F.col("__rows").isNull() | (F.col("__rows") == 1) | F.col("__stay").isNull()
-    repeated = kept.where(~alone).select(docs.columns).dropDuplicates([id_col])
-    return kept.where(alone).select(docs.columns).unionByName(repeated)
+    Groups are of texts, so rows of one id whose texts are not alike are in different groups and each group keeps a row. Null and empty texts are alike. Of rows equal in id and text
+    one stays. An empty table gives an empty one.
+    """
+    row = F.col("row")  # the whole row as one value, so that no name of its columns meets one of ours
+    key = lambda t: F.xxhash64(F.coalesce(t.cast("string"), F.lit("")))
+    marked = stored(docs.select(F.col(f"`{id_col}`").alias("doc_id"), key(F.col(f"`{text_col}`")).alias("key"), fingerprint(text_of(f"`{text_col}`"), words).alias("code")), "simhash")
+    every = marked.groupBy("doc_id", "key", "code").agg(F.count("*").alias("rows")).join(small(_classes(marked, radius, segments)), "code")
+    first = every.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "rows")).alias("b"))
+    stay = small(stored(first.select(F.col("b.doc_id").alias("stay_id"), F.col("b.key").alias("stay_key"), F.col("b.rows").alias("rows")), "simhash-stay"))
+    rows = docs.select(whole_row(docs).alias("row")).select("row", row[id_col].alias("id"), key(row[text_col]).alias("key"))
+    kept = rows.join(stay, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("key") == F.col("stay_key")))
+    again = kept.where("rows > 1").groupBy("id", "key").agg(F.first("row").alias("row"))
+    return kept.where("rows = 1").select("row").unionByName(again.select("row")).select([row[c].alias(c) for c in docs.columns])

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -10,8 +13,6 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wrenchlake.functions import vectors as V
-
 
 class Encoder(Protocol):
     """K4: texts to vectors, a batch at a time. ``is_query`` tells queries from passages."""
@@ -22,22 +23,27 @@ class Encoder(Protocol):
 
 
 class HashingEncoder:
-    """Signed hashed counts of words, of unit length; the same text always gives the same vector."""
+    """Signed hashed counts of words (runs without white space, lower-cased), of unit length; the same text always gives the same vector.
+
+    A word's place is the number of the first eight hex digits of its MD5, modulo ``dims``; the ninth's lowest bit is its sign."""
 
     def __init__(self, dims: int = 64):
         self.dims = dims
 
     def encode(self, texts: list[str], is_query: bool = False) -> np.ndarray:
-        import xxhash
-
+        place = lru_cache(100_000)(self._place)
         out = np.zeros((len(texts), self.dims))
-        for row, text in zip(out, texts):
-            for word in text.lower().split():
-                h = xxhash.xxh64_intdigest(word)
-                row[h % self.dims] += 1 if h >> 63 else -1
+        for row, text in zip(out, texts, strict=True):
+            for word, n in Counter(text.lower().split()).items():
+                at, sign = place(word)
+                row[at] += sign * n
         n = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(n == 0, 1, n)
 
+    def _place(self, word: str) -> tuple[int, int]:
+        digest = hashlib.md5(word.encode("utf-8", "replace"), usedforsecurity=False).hexdigest()
+        return int(digest[:8], 16) % self.dims, 1 if int(digest[8], 16) & 1 else -1
+
 
 def encode(text: Column, encoder: Encoder, is_query: bool = False) -> Column:
     """K4: vectors of a text column; null counts as empty. Batches go to the encoder as they come from Arrow."""
@@ -51,35 +57,22 @@ def encode(text: Column, encoder: Encoder, is_query: bool = False) -> Column:
 
 
 def project(vec: Column, dims: int, seed: int = 42) -> Column:
-    """K6: a seeded random projection to ``dims``, of unit length."""
+    """K6: a seeded random projection to ``dims``, of unit length: one matrix product for the vectors of a batch that have the same size. Null for null."""
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         weights: dict[int, np.ndarray] = {}
         for batch in batches:
-            rows = []
-            for v in batch:
-                n = len(v)
+            sizes = np.array([-1 if v is None else len(v) for v in batch])
+            out: list = [None] * len(batch)
+            for n in np.unique(sizes[sizes >= 0]).tolist():
                 if n not in weights:
                     weights[n] = np.random.default_rng(seed).normal(0, 1 / np.sqrt(dims), (n, dims))
-                rows.append(np.asarray(v, float) @ weights[n])
-            yield pd.Series(rows)
-
-    return V.normalize(run(vec))
-
-
-#: Words that expand a query when no other expander is given.
-SYNONYMS = {
-    "misfire": ["rough idle", "ignition fault"],
-    "stall": ["engine dies", "no start"],
-    "overheat": ["high coolant temperature", "thermostat"],
-    "leak": ["low pressure", "seal"],
-    "noise": ["rattle", "knock"],
-}
-
-
-def expansions(text: Column, synonyms: dict[str, list[str]] = SYNONYMS, most: int = 3) -> Column:
-    """The text itself, then at most ``most`` forms with one word replaced, in the order of the table."""
-    low = F.lower(text)
-    forms = [F.when(low.contains(w), F.replace(low, F.lit(w), F.lit(s))) for w, alternatives in synonyms.items() for s in alternatives]
-    return F.concat(F.array(text), F.slice(F.array_compact(F.array(*forms)), 1, most))
+                at = np.flatnonzero(sizes == n)
+                whole = np.array([np.asarray(batch.iloc[i], float) for i in at]).reshape(len(at), n) @ weights[n]
+                length = np.linalg.norm(whole, axis=1, keepdims=True)
+                for i, row in zip(at.tolist(), whole / np.where(length == 0, 1, length), strict=True):
+                    out[i] = row
+            yield pd.Series(out)
+
+    return run(vec)

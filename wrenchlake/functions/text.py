@@ -74,6 +74,24 @@ CATEGORY_WORDS = [
 ]
 STOP_WORDS = ["the", "and", "or", "for", "with", "from", "this", "that", "are", "was", "were"]
 PREVIEW_KEYWORDS = ["Problem:", "Symptom:", "Cause:", "Condition:", "When:", "If:"]
+REPAIR_WORDS = [
+    "replaced", "fixed", "repaired", "installed", "cleaned", "rebuilt", "adjusted", "sealed", "flushed", "changed", "swapped", "reset", "cleared", "diagnosed", "that fixed", "fixed it", "problem solved",
+    "solution was", "fix was", "replacement of", "installed new",
+]
+TITLE_FIX_WORDS = [
+    "fixed", "solved", "replaced", "installed", "repaired", "cleaned", "rebuilt", "fixed it", "that fixed", "fixed the", "problem solved", "issue resolved", "fixed my", "replacement", "fix for", "solution",
+    "success", "update", "finally", "sorted", "resolved", "changed", "swapped", "new part", "thanks", "thank you", "appreciated", "cheers", "kudos", "diy", "guide", "tutorial", "how to", "how-to", "retrofit",
+    "coding", "programmed", "flashed", "registered", "calibrated", "adapted", "reset", "procedure", "instructions",
+]
+TITLE_WORDS = [
+    "check engine", "cel", "fault code", "obd", "code", "diagnostic", "misfire", "error", "dtc", "trouble code", "engine light", "abs", "transmission", "limp mode", "stalling", "rough idle", "symptom",
+    "problem", "issue", "fail", "failing", "broken", "bad", "wont start", "no start", "crank", "cranking", "noise", "rattle", "whine", "clunk", "leak", "smoke", "overheat", "vibration", "shake", "shaking",
+    "hesitate", "hesitation", "power loss", "loss of power", "sluggish", "surge", "surging", "rough run", "running rough", "jerk", "jerking", "warning", "message", "malfunction",
+]
+KEYWORD_TERMS = [
+    "diagnosis", "repair", "replace", "check", "inspect", "test", "misfire", "sensor", "coil", "plug", "injector", "valve", "gasket", "seal", "filter", "pump", "motor", "actuator", "circuit", "wiring",
+    "connector", "fuse", "relay", "module", "calibration", "reset", "programming", "coding", "update",
+]
 NAV_WORDS = ["last", "next", "prev", "previous", "page", "»", "«", "..."]
 RATE_LIMIT_PHRASES = ["too often", "try again later", "performing that action", "rate limit", "being rate limited", "complete the captcha verification"]
 INDEX_STRIP = [
@@ -370,3 +388,43 @@ def tolerant_json(text: Column, schema: str) -> Column:
     """JSON between fences or other text, trailing commas allowed; null if it can't be read."""
     body = F.regexp_extract(F.regexp_replace(text, "```(?:json)?", ""), r"(?s)\{.*\}", 0)
     return F.from_json(F.regexp_replace(F.nullif(body, F.lit("")), r",\s*([}\]])", "$1"), schema)
+
+
+def sentence_summary(text: Column, most: int = 500) -> Column:
+    """Whole sentences from the start while they fit in ``most`` characters, joined by ``. ``; a first sentence that is too long is cut and ends in
+    ``...``. White space counts as single spaces; empty for null and blank texts."""
+    plain = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\u00a0]+", " "))
+    parts = F.split(plain, r"[.!?]\s+")
+    start = F.struct(F.get(parts, F.lit(0)).alias("s"), F.lit(True).alias("open"))
+
+    def add(acc: Column, sentence: Column) -> Column:
+        fits = acc["open"] & (F.length(acc["s"]) + F.length(sentence) + 1 <= most)
+        return F.struct(F.when(fits, F.concat(acc["s"], F.lit(". "), sentence)).otherwise(acc["s"]).alias("s"), fits.alias("open"))
+
+    whole = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), start, add, lambda acc: acc["s"])
+    return F.when(F.length(whole) > most, F.concat(F.substring(whole, 1, most - 3), F.lit("..."))).otherwise(whole)
+
+
+def solution_text(guide: Column, summary: Column) -> Column:
+    """I32: what a record says fixed the problem: of a guide in JSON its title and steps (a list, or one text), of any other guide the text itself, and without a guide the summary; trimmed."""
+    shape = "struct<title: string, procedure_steps: array<string>, steps: array<string>>"
+    one = F.from_json(guide, "struct<procedure_steps: string, steps: string>")
+    many = F.from_json(guide, shape)
+    plain = F.nullif(F.trim(guide), F.lit(""))
+    first = lambda a, b: F.when(F.size(a) > 0, a).when(F.size(b) > 0, b)
+    text = lambda c: F.when((c != "") & ~c.startswith("["), c)  # noqa: E731  not a list's JSON
+    texts = F.coalesce(first(many["procedure_steps"], many["steps"]), first(F.array_compact(F.array(text(one["procedure_steps"]))), F.array_compact(F.array(text(one["steps"])))))
+    steps = F.filter(F.transform(texts, lambda x: F.trim(x)), lambda x: x != "")
+    listed = F.concat_ws(" ", F.nullif(F.trim(many["title"]), F.lit("")), steps)
+    told = F.when(plain.startswith("{") & many.isNotNull(), F.coalesce(F.nullif(listed, F.lit("")), plain)).otherwise(plain)
+    return F.coalesce(told, F.trim(summary), F.lit(""))
+
+
+def float_or(value: Column, default: float = 0.0) -> Column:
+    """The value as a double, ``default`` where it is null or no number."""
+    return F.coalesce(value.try_cast("double"), F.lit(default))
+
+
+def iso_timestamp(text: Column) -> Column:
+    """An ISO date or time, with or without zone; null for any other text."""
+    return F.trim(text).try_cast("timestamp")

@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wrenchlake.operators.retrieval import top_k
+from wrenchlake.shared import kept, small
+
+#: Weight vectors that one search may try.
+GRID_ROWS = 10_000
+
 
 def rank_of(ids: Column, expected: Column) -> Column:
     """The 1-based place of the expected id among the distinct ids, 0 if missing. Chunk suffixes are cut off."""
@@ -37,9 +43,11 @@ def grid(spark, steps: tuple[float, ...] = (0.3, 0.4, 0.5), last_most: float = 0
 def grid_search(candidates: DataFrame, weights: DataFrame, k: int = 5) -> DataFrame:
     """Hit@k of each weight vector; ``candidates(query_id, id, relevant, s1, s2, s3, s4)``.
 
-    The grid is a handful of rows and is broadcast; candidates are ranked again under each.
+    The grid is broadcast after a check of its size; candidates are ranked again under each of its rows.
     """
-    every = candidates.withColumn("__all", F.lit(1)).join(F.broadcast(weights.withColumn("__all", F.lit(1))), "__all")
+    if weights.limit(GRID_ROWS + 1).count() > GRID_ROWS:
+        raise ValueError(f"more than {GRID_ROWS} weight vectors")
+    every = candidates.crossJoin(F.broadcast(weights))
     score = sum((F.col(f"w{i}") * F.col(f"s{i}") for i in (2, 3, 4)), F.col("w1") * F.col("s1"))
     w = Window.partitionBy("grid_no", "query_id").orderBy(F.desc("__s"), "id")
     top = every.withColumn("__s", score).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
@@ -47,11 +55,20 @@ def grid_search(candidates: DataFrame, weights: DataFrame, k: int = 5) -> DataFr
     return per.groupBy("grid_no").agg(F.avg(F.col("hit").cast("double")).alias("hit_rate"))
 
 
-def rank_change(scored: DataFrame, boosted: Column) -> DataFrame:
-    """rank before minus rank after a boost, by query."""
-    w = lambda c: Window.partitionBy("query_id").orderBy(F.desc(c), "id")
-    r = scored.withColumn("boosted", boosted)
-    return r.withColumn("rank_before", F.row_number().over(w("score"))).withColumn("rank_after", F.row_number().over(w("boosted"))).withColumn("gain", F.col("rank_before") - F.col("rank_after"))
+def rank_change(scored: DataFrame, boosted: Column, most: int = 10) -> DataFrame:
+    """the ``most`` best of each query after a boost, with ``rank_after``, ``rank_before`` and ``gain``, the places won. Ties go to smaller ids.
+
+    The best are found by limited groups; their ranks before are one more than the rows counted ahead of each, ``most`` counts a query, added up
+    per task. No task sees all rows of a query.
+    """
+    best = kept(top_k(scored.withColumn("boosted", boosted), most, by="boosted", rank="rank_after"), "boosted")
+    places = best.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("rank_after", F.struct("score", "id")))).alias("at"))  # most entries a query
+    met = scored.select("query_id", "score", "id").join(small(places), "query_id")
+    own = lambda k: F.try_element_at("at", F.lit(k))
+    ahead = lambda k: (F.col("score") > own(k)["score"]) | ((F.col("score") == own(k)["score"]) & (F.col("id") < own(k)["id"]))
+    counts = met.groupBy("query_id").agg(F.array(*[F.count_if(ahead(k)) for k in range(1, most + 1)]).alias("ahead"))
+    out = best.join(counts, "query_id").withColumn("rank_before", (F.element_at("ahead", F.col("rank_after")) + 1).cast("int")).drop("ahead")
+    return out.withColumn("gain", F.col("rank_before") - F.col("rank_after"))
 
 
 def stratified(rows: DataFrame, strata: list[tuple[str, Column, int]], order: list[Column], key: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -93,13 +94,14 @@ def sliding_limit(requests: DataFrame, client: str, ts: str, tie: str, most: int
     schema = requests.select("*").withColumn("accepted", F.lit(True)).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, held = object(), []
+        current, held = object(), deque()
         for pdf in batches:
             out = []
             for who, at in zip(pdf[client], pdf[ts]):
                 if who != current:
-                    current, held = who, []
-                held = [t for t in held if (at - t).total_seconds() < seconds]
+                    current, held = who, deque()
+                while held and (at - held[0]).total_seconds() >= seconds:
+                    held.popleft()
                 out.append(len(held) < most)
                 if out[-1]:
                     held.append(at)

@@ -41,14 +41,15 @@ def batch_gate(codes: Column, summary: Column, cause: Column, score: Column, lea
     return F.when(~usable, "invalid").when(score < least, "quality").otherwise("valid")
 
 
-def worth_extracting(text: Column, verbs: list[str]) -> Column:
-    """At least 200 characters and a code or one of the words of repair."""
-    return F.coalesce((F.length(text) >= 200) & ((F.size(T.extract_codes(text)) > 0) | T.any_of(F.lower(text), verbs)), F.lit(False))
+def worth_extracting(text: Column, words: list[str] = T.REPAIR_WORDS) -> Column:
+    """At least 200 characters and a code or one of the words of repair, of any case and not within another word."""
+    told = text.rlike(r"(?i)(?:^|[^\p{L}\p{N}_])(?:" + "|".join(words) + r")(?:$|[^\p{L}\p{N}_])")
+    return F.coalesce((F.length(text) >= 200) & ((F.size(T.extract_codes(text)) > 0) | told), F.lit(False))
 
 
-def title_is_relevant(title: Column, words: list[str]) -> Column:
+def title_is_relevant(title: Column, words: list[str] = T.TITLE_FIX_WORDS + T.TITLE_WORDS) -> Column:
     """At least five characters, neither digits nor a word of navigation, and a word of four or five letters or digits (taken as a code) or one
-    of the topic's words."""
+    of the topic's words, even within another."""
     low = F.trim(F.lower(title))
     skipped = low.rlike("^[0-9]+$") | low.isin("last", "next", "prev", "previous", "page")
     return F.coalesce((F.length(title) >= 5) & ~skipped & (low.rlike(r"\b[0-9a-z]{4,5}\b") | T.any_of(low, words)), F.lit(False))
@@ -160,3 +161,104 @@ def resume_after(rows: DataFrame, checkpoint: DataFrame, key: str) -> DataFrame:
     """The rows beyond the last finished key; all where there is none. ``checkpoint`` has one row at most."""
     done = checkpoint.agg(F.max(key).alias("__done"))
     return rows.join(F.broadcast(done), F.col("__done").isNull() | (F.col(key) > F.col("__done"))).drop("__done")
+
+
+# --- scans and projections ---
+
+
+def scorable(records: DataFrame, again: bool = False) -> DataFrame:
+    """Records with a summary and either a cause or a code; without ``again`` only those not scored yet."""
+    fit = _filled(F.col("summary")) & ((F.col("record_type") == "cause_to_solution") | (F.size("codes") > 0))
+    return records.where(fit if again else fit & F.col("quality_score").isNull())
+
+
+def procedures(objects: DataFrame, issue_only: bool = False, ids: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Distinct ``(id, title, name)`` of ``objects(id, title, name)``; ids may not be null or blank. Titles are trimmed, ``-`` counts as missing, the name stands for a missing title.
+    ``issue_only`` keeps those whose title is missing. ``ids`` keeps these, and then ``limit`` doesn't count; else the first ``limit`` by id are kept."""
+    id_ = F.trim(F.col("id").cast("string"))
+    real = lambda c: F.nullif(F.nullif(F.trim(F.col(c)), F.lit("")), F.lit("-"))
+    rows = objects.where(_filled(id_))
+    rows = rows.where(real("title").isNull()) if issue_only else rows
+    wanted = sorted({str(i).strip() for i in ids or [] if str(i).strip()})
+    rows = rows.where(id_.isin(wanted)) if wanted else rows
+    out = rows.select(id_.alias("id"), F.coalesce(real("title"), real("name")).alias("title"), real("name").alias("name")).distinct()
+    return out if wanted or limit is None else out.orderBy("id", "title", "name").limit(limit)
+
+
+def recommendations(ranked: DataFrame) -> DataFrame:
+    """``(id, title, procedure_name, procedure_id, score)`` of results ``(id, procedure_id, title, procedure_name, combined_score, score)``: blanks count as missing, the procedure's id stands before the document's, a
+    title for a missing name and the other way round, and the combined score before the plain one."""
+    given = lambda c: F.when(F.col(c) != "", F.col(c))
+    own = F.coalesce(given("procedure_id"), F.col("id"))
+    title = F.coalesce(given("title"), given("procedure_name"), F.lit("Unknown"))
+    return ranked.select(
+        F.coalesce(own, F.lit("")).alias("id"), title.alias("title"), F.coalesce(given("procedure_name"), title).alias("procedure_name"), F.nullif(own, F.lit("")).alias("procedure_id"),
+        F.coalesce("combined_score", "score", F.lit(0.0)).alias("score"),
+    )
+
+
+def search_labels(faults: DataFrame, labels: DataFrame, needle: str, limit: int | None = None) -> DataFrame:
+    """Distinct ``faults(id, code, ...)`` whose code, or the label or description of one of whose ``labels(fault_id, label, description)``, has the text, of any case; the first ``limit`` by id.
+
+    Labels are cut to those that match before they are joined, so faults of many labels meet few.
+    """
+    has = lambda c: F.coalesce(F.lower(F.col(c)).contains(needle.lower()), F.lit(False))
+    told = labels.where(has("label") | has("description")).select("fault_id").distinct().withColumn("told", F.lit(True))
+    found = faults.join(told, faults["id"] == told["fault_id"], "left").where(has("code") | F.col("told").isNotNull()).select(*[faults[c] for c in faults.columns]).distinct()
+    return found if limit is None else found.orderBy("id").limit(limit)
+
+
+def guide_vectors(asked: DataFrame, stored: DataFrame, encode) -> DataFrame:
+    """``(id, vector, from)`` of each of ``asked(id, text)``: the stored vector of least place (``stored(id, place, vec)``), else that of the text by ``encode``, else null. Texts are encoded only where
+    nothing is stored."""
+    first = stored.where("vec is not null").groupBy("id").agg(F.min(F.struct("place", "vec"))["vec"].alias("stored"))
+    joined = asked.join(first, "id", "left")
+    has, rest = joined.where("stored is not null"), joined.where("stored is null")
+    old = has.select("id", F.col("stored").cast("array<double>").alias("vector"), F.lit("stored").alias("from"))
+    blank = F.coalesce(F.trim("text") == "", F.lit(True))
+    new = rest.where(~blank).select("id", encode(F.col("text")).alias("vector"), F.lit("encoded").alias("from"))
+    none = rest.where(blank).select("id", F.lit(None).cast("array<double>").alias("vector"), F.lit(None).cast("string").alias("from"))
+    return old.unionByName(new).unionByName(none)
+
+
+def tuning_pairs(records: DataFrame, limit: int | None = 500) -> DataFrame:
+    """``(record_id, codes, summary, matched_id)`` of records with a good outcome, a summary and a match: the first ``limit`` by id."""
+    fit = records.where(F.col("outcome").isin("success", "partial") & F.col("summary").isNotNull() & F.col("matched_id").isNotNull())
+    out = fit.select("record_id", F.coalesce("codes", F.array().cast("array<string>")).alias("codes"), "summary", "matched_id")
+    return out if limit is None else out.orderBy("record_id").limit(limit)
+
+
+def enrich(records: DataFrame) -> DataFrame:
+    """Golden records: two query texts, the ground truth and what is known for its evaluation, nested. Of ``records(record_id, codes, symptoms, summary, guide, matched_id, matched_title, sensors,
+    quality_score, category)``; symptoms are cut at 200 characters, repair texts at 300 in queries and at 500 as truth."""
+    symptoms, repair = F.coalesce("symptoms", F.lit("")), F.coalesce(F.nullif(F.col("summary"), F.lit("")), F.nullif(F.col("guide"), F.lit("")))
+    codes = F.coalesce("codes", F.array().cast("array<string>"))
+    asked = F.concat(F.lit("Fault codes: "), F.array_join(codes, ", "), F.when(symptoms != "", F.concat(F.lit(". Problem: "), F.substring(symptoms, 1, 200))).otherwise(""))
+    return records.select(
+        "record_id", codes.alias("codes"), asked.alias("query_symptom"), F.coalesce(F.concat(F.lit("Fix: "), F.substring(repair, 1, 300)), asked).alias("query_solution"),
+        F.struct(F.col("matched_id").alias("guide_id"), F.col("matched_title").alias("guide_title"), F.substring(repair, 1, 500).alias("repair_text")).alias("truth"),
+        F.struct(F.size(codes).alias("n_codes"), (symptoms != "").alias("has_symptoms"), F.coalesce(F.size("sensors") > 0, F.lit(False)).alias("has_sensors"), "quality_score",
+                 F.coalesce("category", F.lit("general")).alias("category")).alias("evaluation"),
+    )
+
+
+def coverage(records: DataFrame) -> DataFrame:
+    """One row of ``records(codes, guide_id, has_symptoms, has_sensors)``: their number, distinct codes and guides, and the shares with symptoms and sensors. Code frequencies are
+    ``code_counts``."""
+    n_codes = records.select(F.explode("codes").alias("c")).agg(F.count_distinct("c").alias("n_codes"))
+    share = lambda c: F.coalesce(F.count_if(F.col(c)) / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0))
+    rest = records.agg(F.count("*").alias("n_records"), F.count_distinct("guide_id").alias("n_guides"), share("has_symptoms").alias("symptom_share"), share("has_sensors").alias("sensor_share"))
+    return rest.crossJoin(F.broadcast(n_codes))  # a row each
+
+
+def code_counts(records: DataFrame) -> DataFrame:
+    """In how many records' lists each code stands, repeats included."""
+    return records.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+
+
+def form_overhead(runs: DataFrame) -> DataFrame:
+    """Of ``runs(query_id, form, seconds, length)``, form ``a`` or ``b``: mean times, what b takes more in percent, and the mean ratio of lengths, over the queries that have both."""
+    by = runs.groupBy("query_id").agg(*[F.max(F.when(F.col("form") == f, F.col(c))).alias(f"{c}_{f}") for f in ("a", "b") for c in ("seconds", "length")])
+    both = by.where("seconds_a is not null and seconds_b is not null")
+    mean_a, mean_b = F.avg("seconds_a"), F.avg("seconds_b")
+    return both.agg(F.count("*").alias("n"), mean_a.alias("mean_a"), mean_b.alias("mean_b"), (100 * (mean_b - mean_a) / F.nullif(mean_a, F.lit(0.0))).alias("overhead_pct"), F.avg(F.col("length_b") / F.nullif(F.col("length_a"), F.lit(0))).alias("length_ratio"))

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wrenchlake.functions import vectors as V
+from wrenchlake.shared import kept, small
 
 WEIGHTS = {"embedding_similarity": 0.4, "rerank_score": 0.3, "kg_path_score": 0.2, "feedback_score": 0.1}
-#: Query rows a broadcast is given for; more are joined by Spark's choice.
+#: Query rows that are broadcast; more are dealt into blocks of about as many.
 QUERY_ROWS = 100_000
 
 
@@ -20,17 +21,26 @@ def checked_weights(weights: dict[str, float]) -> dict[str, float]:
     return {k: v / total for k, v in weights.items()}
 
 
-def similarities(items: DataFrame, queries: DataFrame, dims_are_unit: bool = False) -> DataFrame:
+def similarities(items: DataFrame, queries: DataFrame) -> DataFrame:
     """Every item's cosine with every query: a stated query set against all rows.
 
-    Queries (``query_id, query_vec``) are few and are broadcast after a check of their number, so that items are
-    neither shuffled nor collected. Items have ``id, vec`` and more. Vectors of other sizes or without length have none.
+    Up to ``QUERY_ROWS`` queries (``query_id, query_vec``) are broadcast, so that items are neither shuffled nor collected. More are dealt into blocks of about that
+    many: a task then meets one block with one part of the items, each of them some rows, however many there are of either. Items have ``id, vec``
+    and more. Vectors of other sizes or without length have none.
     """
-    q = queries.select("query_id", V.normalize(F.col("query_vec")).alias("query_vec"), F.lit(1).alias("__all"))
-    q = F.broadcast(q) if q.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS else q
-    unit = items.withColumn("__unit", V.normalize(F.col("vec"))).withColumn("__all", F.lit(1))
-    joined = unit.join(q, ["__all"]).where(F.size("__unit") == F.size("query_vec"))
-    return joined.withColumn("score", V.dot(F.col("__unit"), F.col("query_vec"))).drop("__all", "__unit", "query_vec", "vec")
+    q = queries.select("query_id", V.normalize(F.col("query_vec")).alias("query_vec"))
+    unit = items.withColumn("__unit", V.normalize(F.col("vec")))
+    n = q.count()
+    if n <= QUERY_ROWS:
+        joined = unit.crossJoin(F.broadcast(q))  # checked just above
+    else:
+        blocks, parts = -(-n // QUERY_ROWS), int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+        dealt = q.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("__part", every(parts))
+        spread = unit.withColumn("__part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("__block", every(blocks))
+        joined = spread.join(dealt, ["__block", "__part"]).drop("__block", "__part")
+    joined = joined.where(F.size("__unit") == F.size("query_vec"))
+    return joined.withColumn("score", V.dot(F.col("__unit"), F.col("query_vec"))).drop("__unit", "query_vec", "vec")
 
 
 def top_k(scored: DataFrame, k: int, by: str = "score", tie: str = "id", group: str = "query_id", rank: str = "rank") -> DataFrame:
@@ -127,19 +137,54 @@ def ambiguity(ranked: DataFrame, low: float = 0.65, spread: float = 0.02) -> Dat
 
 def uncertainty(scores: DataFrame, low: float = 0.65, spread: float = 0.02) -> DataFrame:
     """By query the best score, the population variance of the three largest, the softmax entropy in bits of
-    all, and whether any marks it as uncertain."""
-    w = Window.partitionBy("query_id")
-    r = scores.withColumn("top", F.max("score").over(w)).withColumn("rn", F.row_number().over(w.orderBy(F.desc("score"), "id")))
-    r = r.withColumn("e", F.exp(F.col("score") - F.col("top"))).withColumn("p", F.col("e") / F.sum("e").over(w))
-    out = r.groupBy("query_id").agg(
-        F.max("score").alias("top_score"),
-        F.var_pop(F.when(F.col("rn") <= 3, F.col("score"))).alias("var3"),
-        F.when(F.count("*") < 2, 0.0).otherwise(-F.sum(F.col("p") * F.log2(F.col("p") + 1e-10))).alias("entropy"),
-    )
+    all, and whether any marks it as uncertain.
+
+    Three sums over the scores, each added up per task before the shuffle: the maximum, the softmax's denominator, the entropy. No task sees all scores of a query.
+    """
+    top = kept(scores.groupBy("query_id").agg(F.max("score").alias("top_score"), F.count("*").alias("n")), "uncertainty")
+    shifted = scores.select("query_id", "score").join(small(top), "query_id").select("query_id", "n", F.exp(F.col("score") - F.col("top_score")).alias("e"))
+    whole = kept(shifted.groupBy("query_id").agg(F.sum("e").alias("z")), "uncertainty")
+    p = F.col("e") / F.col("z")
+    entropy = shifted.join(small(whole), "query_id").groupBy("query_id").agg((-F.sum(p * F.log2(p + 1e-10))).alias("h"))
+    var3 = top_k(scores, 3).groupBy("query_id").agg(F.var_pop("score").alias("var3"))
+    out = top.join(var3, "query_id").join(entropy, "query_id").select("query_id", "top_score", "var3", F.when(F.col("n") < 2, 0.0).otherwise(F.col("h")).alias("entropy"))
     flag = (F.col("top_score") < low) | (F.col("var3") < spread) | (F.col("entropy") > 0.8 * F.log2(F.lit(3.0)))
     return out.withColumn("uncertain", flag)
 
 
+def fulltext_lookup(docs: DataFrame, asked: DataFrame, words: int = 5, longer_than: int = 2, least: int = 50) -> DataFrame:
+    """For each of ``asked(item_id, text)`` the document of ``docs(doc_id, text)``, of over ``least`` characters, that holds most of the text's first ``words`` distinct words of more
+    than ``longer_than`` letters, ties to the smaller id: ``(item_id, doc_id, n_words)``. Items none of whose words is held are left out.
+
+    Only asked words leave a document's task, and each counts once a document: a word that all documents hold is joined with those who ask for it only, and hits are added
+    up per task before the shuffle.
+    """
+    of = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z]+"), lambda w: F.length(w) > longer_than))
+    wanted = kept(asked.select("item_id", F.explode(F.slice(of(F.col("text")), 1, words)).alias("word")), "asked-words")
+    vocabulary = small(wanted.select("word").distinct())
+    held = docs.where(F.length("text") > least).select("doc_id", F.explode(of(F.col("text"))).alias("word")).join(vocabulary, "word", "left_semi")
+    hits = held.join(small(wanted), "word").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
+    best = hits.groupBy("item_id").agg(F.max(F.struct("n", (-F.col("doc_id")).alias("neg"))).alias("b"))
+    return best.select("item_id", (-F.col("b.neg")).alias("doc_id"), F.col("b.n").alias("n_words"))
+
+
+def expand(queries: DataFrame, synonyms: DataFrame, most: int = 3) -> DataFrame:
+    """``(query_id, no, query)``: each of ``queries(query_id, query_text)`` itself, then at most ``most`` forms of it with one word replaced by another of ``synonyms(word, form)``,
+    in order of the word's place in the text, then of the form. Words are runs of letters and digits, of any case. The other expander is a table of one's own, made by a model or by hand.
+
+    Only words that have synonyms are joined; a text's words are few, and so are a word's forms.
+    """
+    known = synonyms.where("word is not null and form is not null").select(F.lower("word").alias("word"), "form").distinct()
+    words = F.regexp_extract_all(F.lower("query_text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    held = queries.select("query_id", "query_text", F.posexplode(F.array_distinct(words)).alias("place", "word")).join(known, "word")
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])"), "word", F.lit(r"(?![\p{L}\p{N}])"))
+    quoted = F.regexp_replace("form", r"([\\$])", r"\\$1")
+    forms = held.select("query_id", "place", "form", F.regexp_replace("query_text", pattern, quoted).alias("query"))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("place", "form"))
+    replaced = forms.withColumn("no", nth).where(F.col("no") <= most).select("query_id", "no", "query")
+    return queries.select("query_id", F.lit(0).alias("no"), F.col("query_text").alias("query")).unionByName(replaced)
+
+
 def assign_best(matches: DataFrame, threshold: float = 0.6) -> DataFrame:
     """Of each record its best match at or above the threshold, ties to the smaller id; none: null."""
     best = matches.groupBy("query_id").agg(F.max(F.struct("score", (-F.col("id")).alias("neg"))).alias("b"))

@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wrenchlake.functions import dialogue as D
-from wrenchlake.functions import plugins as P
 from wrenchlake.operators import evaluate as E
 from wrenchlake.operators import relational as R
 from wrenchlake.operators import retrieval as Q
@@ -16,13 +15,8 @@ from wrenchlake.sources import records as S
 
 
 def fulltext_lookup(spark, d):
-    """For each benchmark item the document that shares most of its first five longer words, ties to the smaller id."""
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z]+"), lambda w: F.length(w) > 2))
-    asked = table(spark, d, "benchmark").select("item_id", F.explode(F.slice(words(F.col("text")), 1, 5)).alias("word"))
-    held = table(spark, d, "documents").where("n_chars > 50").select("doc_id", F.explode(words(F.col("text"))).alias("word"))
-    hits = held.join(asked, "word").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
-    best = hits.groupBy("item_id").agg(F.max(F.struct("n", (-F.col("doc_id")).alias("neg"))).alias("b"))
-    return best.select("item_id", (-F.col("b.neg")).alias("doc_id"), F.col("b.n").alias("n_words"))
+    """For each benchmark item the document that shares most of its first five longer words."""
+    return Q.fulltext_lookup(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
 
 
 def title_merge(spark, d):
@@ -144,9 +138,12 @@ def tree_edges(spark, d):
 
 
 def related_expansions(spark, d):
-    """Query texts by rule-based expansion."""
-    b = table(spark, d, "benchmark").select("item_id", F.concat(F.lit("misfire leak "), F.substring("text", 1, 20)).alias("q"))
-    return b.select("item_id", F.posexplode(P.expansions(F.col("q"))).alias("no", "query"))
+    """Whole benchmark texts, with words replaced by the documents' languages they are held in most."""
+    docs = table(spark, d, "documents")
+    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))))
+    counted = docs.where("lang is not null").select("lang", words.alias("word")).where("length(word) = 6").groupBy("word", "lang").agg(F.count("*").alias("n"))
+    synonyms = counted.where("n >= 2").select("word", F.concat("lang", F.lit(" $1\\"), F.col("n").cast("string")).alias("form"))
+    return Q.expand(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text")), synonyms)
 
 
 def retrieve_config(spark, d):
@@ -170,13 +167,21 @@ _WORDS = "list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: l
 ORACLE_SQL = {
     "fulltext_lookup": f"""
         WITH b0 AS (SELECT item_id, {_WORDS} AS ws FROM benchmark), b1 AS (SELECT item_id, list_filter(ws, lambda w, i: list_position(ws, w) = i)[1:5] AS ws FROM b0),
-        b AS (SELECT item_id, unnest(ws) AS word FROM b1), h AS (SELECT doc_id, unnest(list_distinct({_WORDS})) AS word FROM documents WHERE n_chars > 50),
+        b AS (SELECT item_id, unnest(ws) AS word FROM b1), h AS (SELECT doc_id, unnest(list_distinct({_WORDS})) AS word FROM documents WHERE length(text) > 50),
         n AS (SELECT item_id, doc_id, count(*) AS n FROM h JOIN b USING (word) GROUP BY ALL)
         SELECT item_id, doc_id, n AS n_words FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id) AS r FROM n) WHERE r = 1""",
     "title_merge": """
         WITH u AS (SELECT p_name AS title, 0 AS source, CASE WHEN p_size > 25 THEN p_type END AS description, p_partkey AS row_no FROM part
             UNION ALL SELECT p_name || CASE WHEN p_partkey % 2 = 0 THEN ' x' ELSE '' END, 1, p_brand, p_partkey FROM part)
         SELECT title, source, description, row_no FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY source, description IS NULL, row_no) AS r FROM u) WHERE r = 1""",
+    "related_expansions": r"""
+        WITH w AS (SELECT lang, unnest(list_distinct(regexp_extract_all(lower(text), '[\pL\pN]+'))) AS word FROM documents WHERE lang IS NOT NULL),
+        s AS (SELECT word, lang || ' $1\' || count(*) AS form FROM w WHERE length(word) = 6 GROUP BY word, lang HAVING count(*) >= 2),
+        q AS (SELECT item_id, text, regexp_extract_all(lower(text), '[\pL\pN]+') AS ws FROM benchmark), h AS (SELECT DISTINCT item_id, text, ws, unnest(ws) AS word FROM q),
+        f AS (SELECT item_id, list_position(ws, word) AS place, form, regexp_split_to_array(lower(text), '[^\pL\pN]+') AS x,
+                     array_to_string(list_transform(regexp_extract_all(text, '[\pL\pN]+|[^\pL\pN]+'), lambda t: CASE WHEN lower(t) = word THEN form ELSE t END), '') AS query FROM h JOIN s USING (word)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY place, form)::INTEGER AS no FROM f)
+        SELECT item_id AS query_id, no, query FROM r WHERE no <= 3 UNION ALL SELECT item_id, 0, text FROM benchmark""",
     "url_query": r"""SELECT page_id, nullif(regexp_extract(split_part(url, '#', 1), '[?&]page=([^&]*)', 1), '') AS page, nullif(regexp_extract(split_part(url, '#', 1), '[?&]ref=([^&]*)', 1), '') AS ref FROM pages""",
     "expanded_query": """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN trim(text) WHEN length(trim(text[1:5])) < 0.5 * length(text) THEN text ELSE trim(text[1:5]) END AS expanded FROM conversations""",
     "prompt_fill": "SELECT c_custkey, 'Codes ' || c_mktsegment || ' of ' || c_name || ': ' || c_mktsegment || '?' AS prompt FROM customer",

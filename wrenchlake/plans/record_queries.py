@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wrenchlake.functions import text as T
 from wrenchlake.operators import records as O
 from wrenchlake.operators import retrieval as Q
 from wrenchlake.plans.tables import SIM_SQL, items, queries, table
@@ -45,19 +46,22 @@ def batch_gate(spark, d):
     return r.select("p_partkey", F.round("score", 6).alias("score"), O.batch_gate(F.col("codes"), F.col("summary"), F.col("cause"), F.round("score", 6)).alias("fate"))
 
 
-REPAIR_WORDS = ["the", "der", "les"]
+def _told(doc_id, text):
+    """Texts that end with or without a word of repair."""
+    return F.concat(text, F.when(doc_id % 4 == 0, " ... It was REPLACED.").when(doc_id % 4 == 1, " Irreplaced; prefixed").when(doc_id % 4 == 2, " Problem solved").otherwise(""))
 
 
 def prefilter(spark, d):
-    """Texts of 200 characters and more with a code or a word of the topic."""
-    return table(spark, d, "documents").select("doc_id", O.worth_extracting(F.col("text"), REPAIR_WORDS).alias("worth"))
+    """Texts of 200 characters and more with a code or a word of repair."""
+    return table(spark, d, "documents").select("doc_id", O.worth_extracting(_told(F.col("doc_id"), F.col("text"))).alias("worth"))
 
 
 def title_relevance(spark, d):
-    """Which part names suggest the topic; names outside 3 to 200 characters are null."""
+    """Which titles suggest a fault; titles outside 3 to 200 characters are null."""
     p = table(spark, d, "part")
-    title = F.when(F.col("p_partkey") % 5 == 0, "Next").when(F.col("p_partkey") % 5 == 1, F.col("p_partkey").cast("string")).otherwise(F.concat(F.lit(" "), "p_type"))
-    return p.select("p_partkey", O.title_is_relevant(title, ["steel", "tin"]).alias("relevant"), O.clean_title(title).alias("title"))
+    kind = F.col("p_partkey") % 6
+    title = F.when(kind == 0, "Next").when(kind == 1, F.col("p_partkey").cast("string")).when(kind == 2, F.concat_ws("x", "p_type", "p_brand")).when(kind == 3, F.concat(F.lit(" Unsolved "), "p_type")).when(kind == 4, F.concat(F.lit("Cylinder Misfires "), "p_type")).otherwise(F.concat(F.lit(" "), "p_name"))
+    return p.select("p_partkey", O.title_is_relevant(title).alias("relevant"), O.clean_title(title).alias("title"))
 
 
 def item_defaults(spark, d):
@@ -193,10 +197,13 @@ ORACLE_SQL = {
             + CASE WHEN n % 2 = 0 AND (n % 3 > 0 OR length(summary) >= 50) THEN 0.3 WHEN n % 2 = 0 OR n % 3 > 0 OR length(summary) >= 50 THEN 0.15 ELSE 0 END::DOUBLE
             + CASE WHEN n % 7 >= 5 THEN 0.15 WHEN n % 7 >= 3 THEN 0.1 WHEN n % 7 >= 1 THEN 0.05 ELSE 0 END::DOUBLE + CASE WHEN n % 6 <> 1 THEN 0.05 ELSE 0 END::DOUBLE AS raw FROM r)
         SELECT n AS p_partkey, round(raw, 6) AS score, CASE WHEN CASE WHEN cause THEN length(trim(summary)) < 50 ELSE NOT coded END THEN 'invalid' WHEN round(raw, 6) < 0.6 THEN 'quality' ELSE 'valid' END AS fate FROM s""",
-    "prefilter": f"SELECT doc_id, length(text) >= 200 AND ({_FOUND} OR {' OR '.join(f'contains(lower(text), {chr(39)}{w}{chr(39)})' for w in REPAIR_WORDS)}) AS worth FROM documents",
-    "title_relevance": r"""WITH t AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'Next' WHEN 1 THEN p_partkey::VARCHAR ELSE ' ' || p_type END AS title FROM part), l AS (SELECT *, trim(lower(title)) AS low FROM t)
-        SELECT p_partkey, length(title) >= 5 AND NOT regexp_matches(low, '^[0-9]+$') AND low NOT IN ('last', 'next', 'prev', 'previous', 'page') AND (regexp_matches(low, '\b[0-9a-z]{4,5}\b') OR contains(low, 'steel') OR contains(low, 'tin')) AS relevant,
-            CASE WHEN length(trim(title)) BETWEEN 3 AND 200 THEN trim(title) END AS title FROM l""",
+    "prefilter": f"""WITH t AS (SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN ' ... It was REPLACED.' WHEN 1 THEN ' Irreplaced; prefixed' WHEN 2 THEN ' Problem solved' ELSE '' END AS text FROM documents)
+        SELECT doc_id, coalesce(length(text) >= 200 AND ({_FOUND} OR regexp_matches(text, '(?i)(^|[^\\pL\\pN_])({"|".join(T.REPAIR_WORDS)})($|[^\\pL\\pN_])')), false) AS worth FROM t""",
+    "title_relevance": r"""WITH t AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Next' WHEN 1 THEN p_partkey::VARCHAR WHEN 2 THEN p_type || 'x' || p_brand WHEN 3 THEN ' Unsolved ' || p_type WHEN 4 THEN 'Cylinder Misfires ' || p_type ELSE ' ' || p_name END AS title FROM part),
+        l AS (SELECT *, trim(lower(title)) AS low FROM t)
+        SELECT p_partkey, length(title) >= 5 AND NOT regexp_matches(low, '^[0-9]+$') AND low NOT IN ('last', 'next', 'prev', 'previous', 'page') AND (regexp_matches(low, '\b[0-9a-z]{4,5}\b') OR """
+    + " OR ".join(f"contains(low, '{w}')" for w in T.TITLE_FIX_WORDS + T.TITLE_WORDS)
+    + """) AS relevant, CASE WHEN length(trim(title)) BETWEEN 3 AND 200 THEN trim(title) END AS title FROM l""",
     "item_defaults": f"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'P' || upper(lang) ELSE array_to_string({_CODES}, ',') END AS codes, CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS confidence,
         CASE WHEN doc_id % 3 = 0 THEN 'given' END AS given_outcome FROM documents""",
     "key_fallback": """WITH l AS (SELECT s_suppkey, s_name AS label FROM supplier WHERE s_suppkey % 3 <> 0), t AS (SELECT p_partkey AS id, 0 AS key_no, p_partkey AS k FROM part UNION ALL SELECT p_partkey, 1, p_size FROM part),

@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Largest table, in rows of a few numbers or words each, that a broadcast hint is given for.
+BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,3 +28,8 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/wrenchlake/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``bound`` rows, else as it is: a shuffled join, whose skew adaptive execution splits. ``df`` should be cheap to count."""
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df

@@ -75,9 +75,17 @@ def page_sections(pages: DataFrame) -> DataFrame:
 
 
 def start_urls(sites: DataFrame, codes: DataFrame, searched: DataFrame) -> DataFrame:
-    """Site by code without what has been searched, dealt in turn over the sites. Sites are a handful of rows."""
-    every = codes.withColumn("__all", F.lit(1)).join(F.broadcast(sites.withColumn("__all", F.lit(1))), "__all").drop("__all")
-    return every.join(searched, ["site", "code"], "left_anti").orderBy("code", "site")
+    """Site by code without what has been searched, dealt in turn over the sites. Up to 100 000 sites; more are an error."""
+    if sites.limit(100_001).count() > 100_000:
+        raise ValueError("more than 100 000 sites")
+    return codes.crossJoin(F.broadcast(sites)).join(searched, ["site", "code"], "left_anti").orderBy("code", "site")
+
+
+def unseen(urls: DataFrame, stored: DataFrame) -> DataFrame:
+    """Of ``urls(url)`` one row for each normalised address that ``stored(url)`` has in no form: ``(norm, url)``, the least of its forms."""
+    norm = T.normalize_url(F.col("url"))
+    seen = stored.select(norm.alias("norm")).distinct()
+    return urls.groupBy(norm.alias("norm")).agg(F.min("url").alias("url")).join(seen, "norm", "left_anti")
 
 
 def json_column(col: Column, kind: str = "array<string>") -> Column:

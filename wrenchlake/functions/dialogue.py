@@ -42,6 +42,14 @@ def fill(template: str, values: dict[str, Column]) -> Column:
     return reduce(lambda t, n: F.replace(t, F.lit("{" + n + "}"), F.coalesce(values[n].cast("string"), F.lit(""))), dict.fromkeys(names), F.lit(template))
 
 
+def clarification_prompt(codes: Column, sensors: Column, candidates: Column, template: str) -> Column:
+    """The template's ``{fault_codes}``, ``{obd_data}`` and ``{top_candidates}`` filled: codes joined by commas, readings as ``{name: value, ...}``, the candidates' lines; missing
+    codes and candidates as nothing, missing readings as ``{}``."""
+    pairs = F.transform(F.array_sort(F.map_entries(sensors)), lambda e: F.concat(e["key"], F.lit(": "), e["value"].cast("string")))
+    readings = F.concat(F.lit("{"), F.coalesce(F.array_join(pairs, ", "), F.lit("")), F.lit("}"))
+    return fill(template, {"fault_codes": F.array_join(codes, ", "), "obd_data": readings, "top_candidates": candidates})
+
+
 def limit_key(token_email: Column, header_email: Column, guest: Column, ip: Column) -> Column:
     """By the token's address, else the header's, else the guest cookie, else the network address."""
     known = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wrenchlake.shared import small
+
 
 def blended_score(avg_rating: Column, success: Column, partial: Column, outcomes: Column) -> Column:
     """0.6 of the scaled rating and 0.4 of the outcome rate; either alone if the other is missing; in [0, 1]."""
@@ -32,6 +34,33 @@ def statistics(entries: DataFrame) -> DataFrame:
     )
 
 
+def corrections(sessions: DataFrame, by: list[str]) -> DataFrame:
+    """By group the sessions and those with ``corrections`` that aren't null; an empty list counts."""
+    return sessions.groupBy(*by).agg(F.count("*").alias("n_sessions"), F.count("corrections").alias("n_corrected"))
+
+
+def memory_statistics(memory: DataFrame) -> DataFrame:
+    """One row of patterns, records and records a pattern (0 without patterns) of ``memory(codes_key, doc_ids)``."""
+    n = F.coalesce(F.sum(F.size("doc_ids")), F.lit(0))
+    return memory.agg(F.count("*").alias("n_patterns"), n.alias("n_records"), F.coalesce(n / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)).alias("mean_records"))
+
+
+def token_costs(calls: DataFrame, prices: DataFrame, by: list[str]) -> DataFrame:
+    """By group the tokens and their cost, of ``calls(kind, tokens, ...)`` and ``prices(kind, price)``, a price for a million tokens; kinds without one cost nothing. Kinds
+    are few; their prices are broadcast after a check of their number."""
+    priced = calls.join(small(prices.groupBy("kind").agg(F.max("price").alias("price"))), "kind", "left")
+    cost = F.coalesce(F.col("price"), F.lit(0.0)) * F.col("tokens") / 1e6
+    return priced.groupBy(*by).agg(F.count("*").alias("n_calls"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("n_tokens"), F.coalesce(F.sum(cost), F.lit(0.0)).alias("cost"))
+
+
+def newest(rows: DataFrame, order: str, key: str, limit: int | None = None, **wanted) -> DataFrame:
+    """Rows whose columns have the wanted values (none: any), newest first, ties by key, null times last; the first ``limit``."""
+    for column, value in wanted.items():
+        rows = rows if value is None else rows.where(F.col(column) == value)
+    out = rows.orderBy(F.desc_nulls_last(order), F.asc(key))
+    return out if limit is None else out.limit(limit)
+
+
 def ratings(entries: DataFrame, below: float | None = None) -> DataFrame:
     """Counts, mean rating and blended score of each entity; ``below`` keeps lower means and drops those of none."""
     if below is not None and not 1 <= below <= 5:

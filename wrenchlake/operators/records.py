@@ -139,9 +139,14 @@ def success_by_form(ranks: DataFrame, k: int = 5) -> DataFrame:
 # --- updates and accounting ---
 
 
-def update_rows(rows: DataFrame, changes: DataFrame, key: str, keep: bool = True) -> DataFrame:
-    """Columns of ``changes`` replace those of the rows with the same key; nulls keep what was there (``keep``) or overwrite it."""
-    names = [c for c in changes.columns if c != key]
+def update_rows(rows: DataFrame, changes: DataFrame, key: str, keep: bool = True, order: str | None = None) -> DataFrame:
+    """Columns of ``changes`` replace those of the rows with the same key; nulls keep what was there (``keep``) or overwrite it.
+
+    Of several changes of a key the one of greatest ``order`` counts, or, without such a column, of greatest values; rows stay as many as they are. Null keys match nothing.
+    """
+    names = [c for c in changes.columns if c not in (key, order)]
+    last = F.max(F.struct(*[F.col(c) for c in ([order] if order else [])], *[F.col(c) for c in names]))
+    changes = changes.where(F.col(key).isNotNull()).groupBy(key).agg(last.alias("last")).select(key, *[F.col("last")[c].alias(c) for c in names])
     both = rows.alias("a").join(changes.withColumn("__there", F.lit(True)).alias("b"), key, "left")
     value = lambda c: F.coalesce(F.col(f"b.{c}"), F.col(f"a.{c}")) if keep else F.when(F.col("b.__there"), F.col(f"b.{c}")).otherwise(F.col(f"a.{c}"))
     return both.select(*[value(c).alias(c) if c in names else F.col(c if c == key else f"a.{c}") for c in rows.columns])

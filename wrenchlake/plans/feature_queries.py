@@ -10,6 +10,7 @@ from wrenchlake.functions import ids as I
 from wrenchlake.operators import backoff as B
 from wrenchlake.operators import graph as G
 from wrenchlake.operators import matching as M
+from wrenchlake.operators import once as O
 from wrenchlake.operators import reranker as K
 from wrenchlake.operators import retrieval as R
 from wrenchlake.operators import retriever as T
@@ -218,8 +219,16 @@ def node_codes(spark, d):
     return G.node_by_code(nodes, table(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("code")))
 
 
+def computed_once(spark, d):
+    """A dear function of the types of all line items' parts, evaluated once a type; those of brands ending in 1 are known from before."""
+    p = table(spark, d, "part")
+    rows = table(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "l_partkey", F.concat_ws("/", "p_type", "p_brand").alias("kind"))
+    known = p.where("p_brand like '%1'").select(F.concat_ws("/", "p_type", "p_brand").alias("kind")).distinct().withColumn("digest", F.lit("known"))
+    return O.compute_once(rows, "kind", "digest", lambda c: F.sha2(c, 256), known)
+
+
 QUERIES = {f.__name__: f for f in (
-    bm25_scores, retrieve_reranked, greedy_pairing, procedure_lookup, substantive_summaries, pair_dataset, remembered_choices, backoff_states, html_table_rows, page_sections, form_tokens, graphml_edges, shortest_paths,
+    computed_once, bm25_scores, retrieve_reranked, greedy_pairing, procedure_lookup, substantive_summaries, pair_dataset, remembered_choices, backoff_states, html_table_rows, page_sections, form_tokens, graphml_edges, shortest_paths,
     stage_chain, run_appends, document_ids, node_codes,
 )}
 
@@ -253,6 +262,14 @@ ORACLE_SQL = {
         b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY combined DESC, score DESC, id) = 1),
         t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, id)::INTEGER AS place FROM b)
         SELECT query_id, place AS rank, id, label AS procedure_id, round(score, 6) AS score, round(combined, 6) AS combined_score FROM t WHERE place <= 5""",
+    "greedy_pairing": f"""
+        WITH {_CODED}, w AS (SELECT record_id, procedure_id, min(nth) AS nth FROM c JOIN firsts USING (code) WHERE nth <= 5 GROUP BY ALL),
+        r AS (SELECT record_id, list(procedure_id ORDER BY nth) AS wants, any_value(o_orderdate) AS newest FROM w JOIN orders ON o_orderkey = record_id GROUP BY record_id),
+        s AS (SELECT list_reduce(list_concat([{{'taken': []::BIGINT[], 'records': []::BIGINT[], 'choices': []::INTEGER[]}}], list({{'taken': wants, 'records': [record_id], 'choices': []::INTEGER[]}} ORDER BY newest DESC, record_id)),
+            lambda a, x: CASE WHEN len(list_filter(x.taken, lambda p: NOT list_contains(a.taken, p))) = 0 THEN a ELSE {{
+                'taken': list_append(a.taken, list_filter(x.taken, lambda p: NOT list_contains(a.taken, p))[1]), 'records': list_append(a.records, x.records[1]),
+                'choices': list_append(a.choices, list_position(x.taken, list_filter(x.taken, lambda p: NOT list_contains(a.taken, p))[1])::INTEGER)}} END) AS s FROM r)
+        SELECT unnest(s.records) AS record_id, unnest(s.taken) AS procedure_id, unnest(s.choices) AS choice FROM s""",
     "procedure_lookup": f"""
         WITH {_CODED}, f AS (SELECT record_id, min_by(procedure_id, nth) AS procedure_id FROM c JOIN firsts USING (code) WHERE nth <= 5 GROUP BY record_id)
         SELECT o_orderkey AS record_id, coalesce(procedure_id, (SELECT min(p_partkey) FROM part)) AS procedure_id, procedure_id IS NOT NULL AS by_code FROM orders LEFT JOIN f ON record_id = o_orderkey""",
@@ -278,6 +295,8 @@ ORACLE_SQL = {
         SELECT p_partkey AS page_id, section, CASE section WHEN 'fault_code_description' THEN concat_ws(chr(10), p_name, p_brand, p_type) WHEN 'service_plan' THEN p_size::VARCHAR ELSE '' END AS text
         FROM part, (SELECT unnest(['fault_code_description', 'fault_code_conditions', 'fault_time_condition', 'service_plan', 'fault_impact', 'warnings', 'service_notes']) AS section)""",
     "form_tokens": "SELECT c_custkey, CASE WHEN c_custkey % 3 < 2 THEN c_name END AS token FROM customer",
+    "computed_once": """SELECT l_orderkey, l_linenumber, l_partkey, p_type || '/' || p_brand AS kind, CASE WHEN p_brand LIKE '%1' THEN 'known' ELSE sha256(p_type || '/' || p_brand) END AS digest
+        FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "graphml_edges": MODEL_SQL["graph_edges"],
     "shortest_paths": """
         WITH RECURSIVE e AS (

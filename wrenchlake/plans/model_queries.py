@@ -237,7 +237,9 @@ def sensor_features(spark, d):
 
 
 def cosine_schedule(spark, d):
-    return spark.range(1000).select(F.col("id").alias("step"), F.round(V.cosine_schedule(F.col("id"), 100, 1000), 6).alias("rate"))
+    """The rate at the step of each event, of 1100 steps, the first hundred of them rising."""
+    step = F.col("event_id") % 1100
+    return table(spark, d, "events").select("event_id", step.alias("step"), F.round(V.cosine_schedule(step, 100, 1100), 6).alias("rate"))
 
 
 def stream_tumbling(spark, d):
@@ -264,7 +266,10 @@ def disjoint_negatives(spark, d):
     p = table(spark, d, "part")
     a = p.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("anchor"), F.array("p_brand", "p_type").alias("a_codes"), "p_size")
     b = p.select("p_partkey", F.array("p_brand", "p_type").alias("b_codes"), "p_size")
-    pairs = a.join(b, "p_size").where((F.col("anchor") != F.col("p_partkey")) & ~F.arrays_overlap("a_codes", "b_codes"))
+    # a size is a key of many parts: they are dealt over salts, and each anchor asks all of them
+    a = a.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    b = b.withColumn("salt", F.pmod(F.xxhash64("p_partkey"), F.lit(16)).cast("int"))
+    pairs = a.join(b, ["p_size", "salt"]).where((F.col("anchor") != F.col("p_partkey")) & ~F.arrays_overlap("a_codes", "b_codes"))
     w = Window.partitionBy("anchor").orderBy("p_partkey")
     return pairs.withColumn("n", F.row_number().over(w)).where("n <= 5").select("anchor", "p_partkey", "n")
 
@@ -360,7 +365,13 @@ ORACLE_SQL = {
     "test_composition": "SELECT lang, source, count(*) AS n, round(100 * avg((n_chars > 500)::INTEGER), 6) AS long_pct FROM documents GROUP BY ALL",
     "sensor_features": """SELECT event_id, round(greatest(0, least(1, coalesce(value * 10, 0) / 8000)) + 1e-9, 5) AS rpm, round(greatest(0, least(1, (coalesce(value, 0) + 40) / 190)) + 1e-9, 5) AS temp,
         round(-value / greatest(abs(value), 1) + 1e-9, 5) AS extra, 16 AS dims FROM events""",
-    "cosine_schedule": "SELECT range AS step, round(CASE WHEN range < 100 THEN range / 100.0::DOUBLE ELSE greatest(0, 0.5 * (1 + cos(pi() * (range - 100) / 900.0::DOUBLE))) END, 6) AS rate FROM range(1000)",
+    "cosine_schedule": "SELECT event_id, event_id % 1100 AS step, round(CASE WHEN event_id % 1100 < 100 THEN (event_id % 1100) / 100.0::DOUBLE ELSE greatest(0, 0.5 * (1 + cos(pi() * (event_id % 1100 - 100) / 1000.0::DOUBLE))) END, 6) AS rate FROM events",
+    "sliding_limit_exact": """
+        WITH e AS (SELECT user_id, list({'held': [ts], 'taken': [true]} ORDER BY ts, event_id) AS xs, list(event_id ORDER BY ts, event_id) AS ids, list(ts ORDER BY ts, event_id) AS tss FROM events GROUP BY user_id),
+        d AS (SELECT user_id, ids, tss, list_reduce(xs, lambda a, x: CASE WHEN len(list_filter(a.held, lambda t: x.held[1] - t < INTERVAL 1 HOUR)) < 3
+            THEN {'held': list_append(list_filter(a.held, lambda t: x.held[1] - t < INTERVAL 1 HOUR), x.held[1]), 'taken': list_append(a.taken, true)}
+            ELSE {'held': list_filter(a.held, lambda t: x.held[1] - t < INTERVAL 1 HOUR), 'taken': list_append(a.taken, false)} END).taken AS taken FROM e)
+        SELECT unnest(ids) AS event_id, user_id, unnest(tss) AS ts, unnest(taken) AS accepted FROM d""",
     "stream_tumbling": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "stream_session": """
         WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS starts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

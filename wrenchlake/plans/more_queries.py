@@ -39,7 +39,7 @@ def parse_questions(spark, d):
 
 def expanded_query(spark, d):
     c = table(spark, d, "conversations")
-    response = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Query: "), "text")).otherwise(F.substring("text", 1, 5))
+    response = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Query: "), "text")).otherwise(F.concat(F.lit(" "), "role"))
     return c.select("conv_id", "turn", D.expanded_query(response, F.col("text")).alias("expanded"))
 
 
@@ -49,6 +49,16 @@ def format_candidates(spark, d):
     return near.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
 
 
+def clarification_prompts(spark, d):
+    """The prompt of each query, with its codes, readings and three nearest."""
+    near = Q.knn(items(spark, d), queries(spark, d).drop("label"), 3)
+    line = F.concat(F.col("rank").cast("string"), F.lit(". item "), F.col("id").cast("string"))
+    lines = near.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))  # three a query
+    asked = queries(spark, d).select("query_id", F.array(F.lit("P1"), F.concat(F.lit("L"), F.col("label").cast("string"))).alias("codes"), F.when(F.col("label") % 2 == 0, F.create_map(F.lit("rpm"), F.col("label") * 100.0)).alias("sensors"))
+    prompt = D.clarification_prompt(F.col("codes"), F.col("sensors"), F.col("lines"), "Codes {fault_codes}; readings {obd_data}.\n{top_candidates}\n{fault_codes}?")
+    return asked.join(lines, "query_id").select("query_id", prompt.alias("prompt"))
+
+
 def prompt_fill(spark, d):
     c = table(spark, d, "customer")
     return c.select("c_custkey", D.fill("Codes {codes} of {name}: {codes}?", {"codes": F.col("c_mktsegment"), "name": F.col("c_name")}).alias("prompt"))
@@ -157,7 +167,7 @@ def retrieve_config(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    fulltext_lookup, title_merge, url_query, parse_questions, expanded_query, format_candidates, prompt_fill, limit_keys, hybrid_exact, related_codes, additive_boost, param_sweep, expansion_stats, etl_counters, mapping_coverage,
+    fulltext_lookup, title_merge, url_query, parse_questions, expanded_query, format_candidates, clarification_prompts, prompt_fill, limit_keys, hybrid_exact, related_codes, additive_boost, param_sweep, expansion_stats, etl_counters, mapping_coverage,
     sessions_entries, queue_counts, tree_edges, related_expansions, retrieve_config,
 )}
 
@@ -183,7 +193,16 @@ ORACLE_SQL = {
         r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY place, form)::INTEGER AS no FROM f)
         SELECT item_id AS query_id, no, query FROM r WHERE no <= 3 UNION ALL SELECT item_id, 0, text FROM benchmark""",
     "url_query": r"""SELECT page_id, nullif(regexp_extract(split_part(url, '#', 1), '[?&]page=([^&]*)', 1), '') AS page, nullif(regexp_extract(split_part(url, '#', 1), '[?&]ref=([^&]*)', 1), '') AS ref FROM pages""",
-    "expanded_query": """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN trim(text) WHEN length(trim(text[1:5])) < 0.5 * length(text) THEN text ELSE trim(text[1:5]) END AS expanded FROM conversations""",
+    "expanded_query": """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN trim(text) WHEN length(role) < 0.5 * length(text) THEN text ELSE role END AS expanded FROM conversations""",
+    "clarification_prompts": f"""WITH n AS (SELECT query_id, own_label AS l, rank, id FROM ({_TOP}) WHERE rank <= 3)
+        SELECT query_id, 'Codes P1, L' || l || '; readings {{' || CASE WHEN l % 2 = 0 THEN 'rpm: ' || (l * 100) || '.0' ELSE '' END || '}}.' || chr(10) || string_agg(rank || '. item ' || id, chr(10) ORDER BY rank) || chr(10) || 'P1, L' || l || '?' AS prompt
+        FROM n GROUP BY query_id, l""",
+    "format_candidates": f"""
+        SELECT query_id, string_agg(rank || '. ' || id || ' (score: ' || format('{{:.3f}}', label / 8.0::DOUBLE) || ')', chr(10) ORDER BY rank) AS lines FROM ({_TOP}) WHERE rank <= 3 AND score < 0.9995 GROUP BY query_id""",
+    "parse_questions": r"""
+        WITH l AS (SELECT conv_id, turn, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda s: regexp_matches(s, '^([0-9]+[.)]|[-*•])\s+') OR ends_with(s, '?')) AS ls FROM conversations),
+        q AS (SELECT conv_id, turn, list_filter(list_transform(ls, lambda s: trim(regexp_replace(s, '^([0-9]+[.)]|[-*•])\s+', ''))), lambda s: length(s) > 10)[1:3] AS qs FROM l)
+        SELECT conv_id, turn, len(qs)::INTEGER AS n_questions, array_to_string(qs, '|') AS questions FROM q""",
     "prompt_fill": "SELECT c_custkey, 'Codes ' || c_mktsegment || ' of ' || c_name || ': ' || c_mktsegment || '?' AS prompt FROM customer",
     "limit_keys": """SELECT c_custkey, CASE WHEN c_custkey % 4 < 2 THEN 'ratelimit:' || lower(c_name) WHEN c_custkey % 4 = 2 THEN 'guest:' || c_name WHEN c_custkey % 8 = 3 THEN 'ratelimit:ip:10.0.0.1' ELSE 'ratelimit:ip:unknown' END AS key FROM customer""",
     "hybrid_exact": f"""WITH h AS (SELECT query_id, id, 0.3::DOUBLE * (id % 10 = (query_id // 100) % 10)::INTEGER + 0.7::DOUBLE * score AS hybrid FROM ({SIM_SQL})),

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wrenchlake.functions import text as T
+from wrenchlake.operators import feedback as B
 from wrenchlake.operators import records as O
 from wrenchlake.operators import retrieval as Q
 from wrenchlake.plans.tables import SIM_SQL, items, queries, table
 from wrenchlake.plans.text_queries import _CODES
+from wrenchlake.streaming import memory as Y
 
 
 def chunk_merge(spark, d):
@@ -138,10 +140,32 @@ def success_by_form(spark, d):
 
 
 def accounting(spark, d):
-    """Corrected sessions, remembered choices and their mean, cost of tokens, by user."""
+    """By user, sessions with corrections and the cost of their tokens."""
     e = table(spark, d, "events")
-    price = F.when(F.col("event_type") == "click", 0.5).otherwise(0.25)
-    return e.groupBy("user_id").agg(F.count(F.when(F.col("event_id") % 3 == 0, 1)).alias("corrected"), F.count("*").alias("n"), F.round(F.avg(F.col("event_id") % 10), 6).alias("mean_items"), F.round(F.sum((F.col("event_id") % 100) * price), 4).alias("cost"))
+    corrected = B.corrections(e.select("user_id", F.when(F.col("event_id") % 3 == 0, F.when(F.col("event_id") % 2 == 0, "[]").otherwise("[1]")).alias("corrections")), ["user_id"])
+    prices = e.select(F.col("event_type").alias("kind")).distinct().where("kind <> 'error'").withColumn("price", F.length("kind") * 2.5)
+    costs = B.token_costs(e.select("user_id", F.col("event_type").alias("kind"), (F.col("event_id") % 1000).alias("tokens")), prices, ["user_id"])
+    return corrected.join(costs, "user_id").withColumn("cost", F.round("cost", 9))
+
+
+def memory_statistics(spark, d):
+    """The memory that all rated events leave."""
+    e = table(spark, d, "events")
+    rating = F.pmod(F.floor(F.abs("value")), F.lit(5)).cast("int") + 1
+    m = Y.remembered(e.select("event_id", F.array("event_type", (F.col("user_id") % 7).cast("string")).alias("codes"), (F.col("event_id") % 31).alias("doc_id"), rating.alias("rating")))
+    return B.memory_statistics(m).withColumn("mean_records", F.round("mean_records", 6))
+
+
+def newest_entries(spark, d):
+    """The hundred newest entries of one type."""
+    return B.newest(table(spark, d, "events").select("event_id", "ts", "event_type"), "ts", "event_id", 100, event_type="click", user_id=None)
+
+
+def repeated_changes(spark, d):
+    """Of several changes of a key the latest counts."""
+    o = table(spark, d, "orders")
+    changes = o.select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("arrival"), F.when(F.col("o_orderkey") % 4 > 0, F.col("o_orderpriority")).alias("c_mktsegment"))
+    return O.update_rows(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), changes, "c_custkey", order="arrival")
 
 
 def update_delete(spark, d):
@@ -177,7 +201,7 @@ def parent_join(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    chunk_merge, rerank_order, batch_gate, prefilter, title_relevance, item_defaults, key_fallback, linked_objects, description_lookup, json_unnest, procedure_content, session_pairs, scraped_pairs, matcher_accuracy, success_by_form,
+    memory_statistics, newest_entries, repeated_changes, chunk_merge, rerank_order, batch_gate, prefilter, title_relevance, item_defaults, key_fallback, linked_objects, description_lookup, json_unnest, procedure_content, session_pairs, scraped_pairs, matcher_accuracy, success_by_form,
     accounting, update_delete, write_back, latest_weights, resume_after, parent_join,
 )}
 
@@ -226,7 +250,13 @@ ORACLE_SQL = {
     "success_by_form": f"""WITH f AS (SELECT query_id, min(rank) AS rank FROM ({_RANKED}) WHERE rank <= 10 AND label = own_label AND id <> query_id GROUP BY 1),
         r AS (SELECT CASE WHEN vec_id % 200 = 0 THEN 'short' ELSE 'long' END AS form, coalesce(rank, 0) AS rank FROM embeddings LEFT JOIN f ON query_id = vec_id WHERE vec_id % 100 = 0)
         SELECT form, count(*) AS n, round(avg(CASE WHEN rank BETWEEN 1 AND 5 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(avg(rank) FILTER (WHERE rank > 0), 6) AS mean_rank FROM r GROUP BY form""",
-    "accounting": """SELECT user_id, count(*) FILTER (WHERE event_id % 3 = 0) AS corrected, count(*) AS n, round(avg(event_id % 10), 6) AS mean_items, round(sum((event_id % 100) * CASE WHEN event_type = 'click' THEN 0.5::DOUBLE ELSE 0.25 END), 4) AS cost FROM events GROUP BY user_id""",
+    "accounting": """SELECT user_id, count(*) AS n_sessions, count(*) FILTER (WHERE event_id % 3 = 0) AS n_corrected, count(*) AS n_calls, sum(event_id % 1000)::BIGINT AS n_tokens,
+        round(sum(CASE WHEN event_type = 'error' THEN 0 ELSE length(event_type) * 2.5::DOUBLE END * (event_id % 1000) / 1e6), 9) AS cost FROM events GROUP BY user_id""",
+    "memory_statistics": """WITH m AS (SELECT array_to_string(list_sort([event_type, (user_id % 7)::VARCHAR]), ',') AS k, count(DISTINCT event_id % 31) AS n FROM events WHERE value IS NULL OR floor(abs(value))::BIGINT % 5 + 1 >= 4 GROUP BY k)
+        SELECT count(*) AS n_patterns, sum(n)::BIGINT AS n_records, round(sum(n) / count(*), 6) AS mean_records FROM m""",
+    "newest_entries": "SELECT event_id, ts, event_type FROM events WHERE event_type = 'click' ORDER BY ts DESC NULLS LAST, event_id LIMIT 100",
+    "repeated_changes": """WITH l AS (SELECT o_custkey, arg_max(CASE WHEN o_orderkey % 4 > 0 THEN o_orderpriority ELSE '' END, o_orderkey) AS p FROM orders GROUP BY o_custkey)
+        SELECT c_custkey, coalesce(nullif(p, ''), c_mktsegment) AS c_mktsegment FROM customer LEFT JOIN l ON o_custkey = c_custkey""",
     "update_delete": "SELECT c_custkey, c_name, CASE WHEN c_custkey % 6 = 0 THEN 'CHANGED' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 10 <> 1",
     "write_back": "SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 4 = 0 THEN s_nationkey + 100 WHEN s_suppkey % 2 = 0 THEN NULL ELSE s_nationkey END AS s_nationkey FROM supplier",
     "latest_weights": "SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_nationkey % 4 = 1 ORDER BY 1 DESC LIMIT 1",

@@ -207,6 +207,12 @@ ORACLE_SQL = {
         WITH {_FUSED}, g AS (SELECT *, round(1 - w1 - w2 - w3, 6) AS w4, (row_number() OVER (ORDER BY w1, w2, w3) - 1)::INTEGER AS no FROM (SELECT a.w AS w1, b.w AS w2, c.w AS w3 FROM (VALUES (0.3::DOUBLE), (0.4), (0.5)) a(w), (VALUES (0.3::DOUBLE), (0.4), (0.5)) b(w), (VALUES (0.3::DOUBLE), (0.4), (0.5)) c(w)) WHERE round(1 - w1 - w2 - w3, 6) BETWEEN 0 AND 0.5),
         r AS (SELECT no, query_id, label = own_label AS relevant, row_number() OVER (PARTITION BY no, query_id ORDER BY w1 * greatest(0, least(1, score)) + w2 * rr + w3 * kg + w4 * fb DESC, id) AS rn FROM c, g WHERE id <> query_id)
         SELECT no AS grid_no, round(avg(hit), 6) AS hit_rate FROM (SELECT no, query_id, max(relevant::INTEGER) AS hit FROM r WHERE rn <= 5 GROUP BY no, query_id) GROUP BY no""",
+    "feedback_boost": f"""
+        WITH p AS (SELECT user_id AS position, list_sort(list(DISTINCT event_type)) AS codes FROM events GROUP BY user_id), h AS (SELECT DISTINCT user_id AS position, event_id % 500 AS id FROM events),
+        c AS (SELECT query_id, id, CASE WHEN id % 2 = 0 THEN ['click', 'view'] ELSE ['none'] END AS codes FROM ({_top(10)})),
+        j AS (SELECT c.query_id, c.id, p.position, c.codes = p.codes AS exact, len(list_intersect(c.codes, p.codes)) / len(c.codes)::DOUBLE AS part FROM c LEFT JOIN h ON h.id = c.id LEFT JOIN p ON p.position = h.position),
+        b AS (SELECT query_id, id, bool_or(exact) AS exact, arg_min(part, position) FILTER (WHERE part > 0) AS part FROM j GROUP BY query_id, id)
+        SELECT query_id, id, round(CASE WHEN exact THEN 1.2 WHEN part IS NOT NULL THEN 1 + 0.1 * part ELSE 1 END, 6) AS boost FROM b""",
     "rank_change": f"""WITH s AS (SELECT *, score * CASE WHEN id % 5 = 0 THEN 1.5 ELSE 1 END AS b FROM ({SIM_SQL})), r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank_before, row_number() OVER (PARTITION BY query_id ORDER BY b DESC, id)::INTEGER AS rank_after FROM s)
         SELECT *, rank_before - rank_after AS gain FROM r WHERE rank_after <= 10""",
 }

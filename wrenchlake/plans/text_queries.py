@@ -52,7 +52,7 @@ def substantial_solution(spark, d):
 def validation_gate(spark, d):
     """Record type, heuristic score and the reason of a rejected record."""
     docs = table(spark, d, "documents")
-    r = docs.select("doc_id", "text", T.extract_codes(F.col("text")).alias("codes"), T.classify_outcome(F.col("text")).alias("outcome"), F.substring("text", 1, 400).alias("summary"), F.substring_index("text", "\n", 1).alias("symptoms"))
+    r = docs.select("doc_id", "text", T.extract_codes(F.col("text")).alias("codes"), T.classify_outcome(F.col("text")).alias("outcome"), F.col("text").alias("summary"), F.col("text").alias("symptoms"))
     kind = F.when(F.size("codes") > 0, "fault_code").when(T.substantial(F.col("summary")) & F.col("outcome").isin("success", "partial"), "cause_to_solution")
     r = r.withColumn("record_type", kind)
     none = F.from_json(F.lit("{}"), "make string, model string, year int")
@@ -104,7 +104,7 @@ def steps_extract(spark, d):
 
 
 def title_truncate(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.truncate_title(F.substring_index("text", "\n", 3)).alias("title"))
+    return table(spark, d, "documents").select("doc_id", T.truncate_title(F.col("text")).alias("title"))
 
 
 def text_preview(spark, d):
@@ -153,7 +153,7 @@ def code_variants(spark, d):
 
 def query_text(spark, d):
     docs = table(spark, d, "documents")
-    return docs.select("doc_id", T.query_text(F.when(F.col("doc_id") % 2 == 0, F.array("source", "lang")), F.substring_index("text", " ", 3)).alias("query_text"))
+    return docs.select("doc_id", T.query_text(F.when(F.col("doc_id") % 2 == 0, F.array("source", "lang")), F.col("text")).alias("query_text"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -176,12 +176,59 @@ def _strip(col: str, rules: list[tuple[str, str]]) -> str:
     return rf"trim(regexp_replace({out}, '[\s\x0B\x{{0085}}\x{{00A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g'))"
 
 
+def _found(pattern: str, groups: int, col: str = "text") -> str:
+    """The first group of the first match that isn't empty, without commas."""
+    parts = ", ".join(f"nullif(regexp_extract({col}, {_q(pattern)}, {g}), '')" for g in range(1, groups + 1))
+    return f"replace(coalesce({parts}), ',', '')"
+
+
+def _word(pattern: str) -> str:
+    """A pattern between characters that are no letters or digits, as group 2."""
+    return _q(r"(^|[^\pL\pN_])" + pattern + r"($|[^\pL\pN_])")
+
+
+_PREVIEW = _strip("text", T.PREVIEW_STRIP)
+_SENSORS = {k: T.SENSOR_PATTERNS[k] for k in ("engine_rpm", "coolant_temp", "throttle_position", "maf_sensor")}
+
 ORACLE_SQL = {
+    "extract_sensors": "SELECT doc_id, " + ", ".join(f"try_cast({_found(p, 2)} AS DOUBLE) AS {k}" for k, p in _SENSORS.items()) + " FROM documents",
+    "extract_vehicle": f"""
+        WITH v AS (SELECT doc_id, nullif(regexp_extract(text, {_word('(' + '|'.join(T.VEHICLE_MAKES) + ')').replace("'(^", "'(?i)(^")}, 2), '') AS m, try_cast(regexp_extract(text, {_word('(19[89][0-9]|20[0-2][0-9])')}, 2) AS INTEGER) AS year,
+            upper(nullif(regexp_extract(text, {_word('(N54|N55|B58|B48|S55|S58|M54|M52|2JZ|1JZ|LS[0-9]|VQ[0-9]{2})').replace("'(^", "'(?i)(^")}, 2), '')) AS engine, try_cast({_found(T.MILEAGE_PATTERN, 2)} AS INTEGER) AS mileage FROM documents)
+        SELECT doc_id, upper(m[1]) || lower(m[2:]) AS make, year, engine, mileage FROM v""",
+    "repair_summary": f"""
+        WITH t AS (SELECT doc_id, trim(text) AS t FROM documents), c AS (SELECT doc_id, t, coalesce({", ".join(f"nullif(regexp_extract(t, {_q(p)}, 0), '')" for p in T.SUMMARY_PATTERNS)}) AS section, regexp_split_to_array(t, '[.!?]\\s+') AS parts FROM t),
+        p AS (SELECT doc_id, unnest(parts) AS s, generate_subscripts(parts, 1) AS n FROM c), l AS (SELECT *, sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY n) AS upto FROM p),
+        k AS (SELECT doc_id, string_agg(trim(s), '. ' ORDER BY n) || '.' AS kept FROM l WHERE upto <= 500 GROUP BY doc_id),
+        r AS (SELECT doc_id, CASE WHEN length(t) <= 500 THEN t WHEN section IS NOT NULL THEN substring(trim(section), 1, 500) ELSE coalesce(kept, '') END AS r FROM c LEFT JOIN k USING (doc_id))
+        SELECT doc_id, length(r)::INTEGER AS n, sha256(r) AS digest FROM r""",
+    "title_truncate": """
+        WITH i AS (SELECT doc_id, unnest(string_split(text, ',')) AS x, generate_subscripts(string_split(text, ','), 1) AS n FROM documents), l AS (SELECT doc_id, trim(x) AS x, n, sum(length(trim(x)) + 2) OVER (PARTITION BY doc_id ORDER BY n) AS upto FROM i),
+        k AS (SELECT doc_id, coalesce(string_agg(x, ', ' ORDER BY n) FILTER (WHERE upto <= 180), '') AS head, count(*) FILTER (WHERE upto > 180) AS more FROM l GROUP BY doc_id),
+        d AS (SELECT doc_id, text, substring(text, 1, 200) AS cut, position(' ' IN reverse(substring(text, 1, 200))) AS gap FROM documents)
+        SELECT doc_id, CASE WHEN text IS NULL THEN '' WHEN length(text) <= 200 THEN text WHEN contains(text, ',') THEN CASE WHEN more > 0 THEN head || ' (+' || more || ' more)' ELSE head END
+            WHEN gap > 0 AND length(cut) - gap > 160 THEN substring(cut, 1, length(cut) - gap) || '...' ELSE cut || '...' END AS title FROM d LEFT JOIN k USING (doc_id)""",
+    "text_preview": f"""
+        WITH c AS (SELECT doc_id, {_PREVIEW} AS c FROM documents),
+        p AS (SELECT doc_id, c, greatest(coalesce({", ".join(f"CASE WHEN position({_q(k)} IN c) BETWEEN 1 AND 500 THEN position({_q(k)} IN c) END" for k in T.PREVIEW_KEYWORDS)}, 0) - 51, 0) AS s FROM c)
+        SELECT doc_id, sha256(substring(c, s + 1, 500) || CASE WHEN length(c) > s + 500 THEN '...' ELSE '' END) AS digest FROM p""",
+    "problem_solution": f"""
+        WITH t AS (SELECT doc_id, {_strip('text', T.INDEX_STRIP)} AS t FROM documents),
+        f AS (SELECT doc_id, t, list_transform(list_concat(regexp_extract_all(t, {_q(T.PROBLEM_PATTERN)}, 1), regexp_extract_all(t, {_q(T.SOLUTION_PATTERN)}, 1)), lambda x: trim(x)) AS l FROM t),
+        u AS (SELECT doc_id, t, list_transform(list_filter(l, lambda x, i: list_position(l, x) = i), lambda x: substring(x, 1, 400))[1:5] AS five FROM f)
+        SELECT doc_id, CASE WHEN length(t) >= 20 AND len(five) > 0 THEN ' Problem/Solution: ' || array_to_string(five, '; ') ELSE '' END AS sections FROM u""",
+    "page_text": f"""
+        WITH b AS (SELECT page_id, regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', ' ', 'g') AS body FROM pages), t AS (SELECT page_id, {_strip('body', [('<[^>]+>', ' '), ('&[a-zA-Z]+;', ' ')])} AS t FROM b)
+        SELECT page_id, CASE WHEN length(t) >= 100 THEN length(t)::INTEGER END AS n, CASE WHEN length(t) >= 100 THEN sha256(t) END AS digest FROM t""",
+    "page_links": f"""
+        WITH a AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1) AS hs, regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) AS ls FROM pages),
+        l AS (SELECT page_id, unnest(hs) AS href, {_strip("replace(replace(unnest(ls), '&quot;', chr(34)), '&amp;', '&')", [])} AS label, generate_subscripts(hs, 1)::INTEGER - 1 AS link_no FROM a)
+        SELECT page_id, link_no, href, label FROM l WHERE label <> '' AND (length(label) > 80 OR NOT (regexp_matches(label, '^[0-9]+$') OR lower(label) IN ({", ".join(map(_q, T.NAV_WORDS))}) OR starts_with(lower(label), 'page ') OR ends_with(lower(label), ' page')))""",
     "extract_codes": f"SELECT doc_id, array_to_string({_CODES}, ',') AS codes, len({_CODES})::INTEGER AS n_codes FROM documents",
     "classify_outcome": f"SELECT doc_id, {_case(T.OUTCOME_WORDS, 'unknown')} AS outcome FROM (SELECT doc_id, lower(text) AS low FROM documents)",
     "substantial_solution": f"SELECT doc_id, {_SUBSTANTIAL} AS substantial FROM (SELECT doc_id, text AS s, lower(text) AS low FROM documents)",
     "validation_gate": f"""
-        WITH r AS (SELECT doc_id, {_CODES} AS codes, {_case(T.OUTCOME_WORDS, 'unknown').replace('low', 'lower(text)')} AS outcome, substring(text, 1, 400) AS s, lower(substring(text, 1, 400)) AS low, split_part(text, chr(10), 1) AS symptoms FROM documents),
+        WITH r AS (SELECT doc_id, {_CODES} AS codes, {_case(T.OUTCOME_WORDS, 'unknown').replace('low', 'lower(text)')} AS outcome, text AS s, lower(text) AS low, text AS symptoms FROM documents),
         k AS (SELECT *, CASE WHEN len(codes) > 0 THEN 'fault_code' WHEN {_SUBSTANTIAL} AND outcome IN ('success', 'partial') THEN 'cause_to_solution' END AS record_type FROM r),
         q AS (SELECT doc_id, record_type, round(CASE WHEN len(codes) > 0 THEN 0.3 WHEN record_type = 'cause_to_solution' AND length(trim(symptoms)) >= 20 THEN 0.2 WHEN record_type = 'cause_to_solution' AND length(trim(symptoms)) > 0 THEN 0.1 ELSE 0 END::DOUBLE
             + CASE WHEN length(trim(s)) >= 50 THEN 0.3 WHEN length(trim(s)) > 0 THEN 0.15 ELSE 0 END::DOUBLE + CASE WHEN outcome IN ('success', 'failure', 'partial') THEN 0.05 ELSE 0 END::DOUBLE, 6) AS score FROM k)
@@ -200,7 +247,7 @@ ORACLE_SQL = {
     "dedup_hash": "SELECT sha256(text) AS digest, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1",
     "placeholder_titles": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 THEN trim(p_name) ELSE trim(p_type) END AS title FROM part",
     "query_text": """SELECT doc_id, concat_ws('. ', CASE WHEN doc_id % 2 = 0 THEN 'Fault codes: ' || source || ', ' || lang END,
-        'Problem: ' || nullif(trim(array_to_string(string_split(text, ' ')[1:3], ' ')), '')) AS query_text FROM documents""",
+        'Problem: ' || nullif(trim(text), '')) AS query_text FROM documents""",
     "url_normalize": r"""
         WITH u AS (SELECT page_id, url, trim(regexp_replace(split_part(url, '#', 1), '/+$', '')) AS u FROM pages)
         SELECT page_id, CASE WHEN (contains(u, 'showthread') OR contains(u, 'viewtopic')) AND regexp_matches(u, '(?i)[?&]t=(\d+)') THEN 'thread_t_' || regexp_extract(u, '(?i)[?&]t=(\d+)', 1)

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from array import array
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -646,6 +647,38 @@ def test_mix_odd_rows(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_flows_move_the_least():
+    """Of all ways to deal small shards, none moves fewer bytes than the flow, which keeps within supplies and capacities."""
+    rng = random.Random(12)
+
+    def least(supply, capacity):
+        """By trying every deal of every shard's bytes."""
+        def deals(n, room):
+            if not room:
+                return [()] if n == 0 else []
+            return [(k, *rest) for k in range(min(n, room[0]) + 1) for rest in deals(n - k, room[1:])]
+
+        def best(i, room):
+            if i == len(supply):
+                return 0
+            found = [sum(k for j, k in enumerate(d) if j != i) + best(i + 1, tuple(r - k for r, k in zip(room, d))) for d in deals(supply[i], room)]
+            return min(found, default=10**9)
+
+        return best(0, tuple(capacity))
+
+    for _ in range(60):
+        supply = [rng.randint(0, 5) for _ in range(rng.randint(1, 3))]
+        capacity = [rng.randint(0, 6) for _ in range(rng.randint(1, 4))]
+        if sum(capacity) < sum(supply):
+            with pytest.raises(ValueError):
+                sharding.min_cost_flow(supply, capacity)
+            continue
+        flows = sharding.min_cost_flow(supply, capacity)
+        assert all(sum(v for (i, _), v in flows.items() if i == a) == n for a, n in enumerate(supply))
+        assert all(sum(v for (_, j), v in flows.items() if j == b) <= n for b, n in enumerate(capacity))
+        assert sum(v for (i, j), v in flows.items() if i != j) == least(supply, capacity)
+
+
 # --- 9 ---
 
 
@@ -670,6 +703,64 @@ def test_imatch_edits(spark, sample):
     assert np.mean([r.near_edited for r in far]) > 0.25 > 0.05 > np.mean([r.near_next for r in far])
 
 
+def _signed(v):
+    return v - (1 << 64) if v >> 63 else v
+
+
+def _hash(data, seed=42):
+    return _signed(xxhash.xxh64_intdigest(data, seed & (2**64 - 1)))
+
+
+def slow_imatch(texts):
+    """Fingerprints of all texts as lists of strings, by loops, from the documents' own statistics."""
+
+    def terms(text):
+        for c in imatch.SEPARATORS:
+            text = text.replace(c, " ")
+        return list(dict.fromkeys(_hash(w.encode()) for w in text.lower().split(" ") if w))
+
+    held = [t for text in texts for t in terms(text)]
+    count = Counter(held)
+    low, high = max(2, imatch.LEAST_SHARE * len(texts)), max(2, imatch.MOST_SHARE * len(texts))
+
+    def of(text):
+        own = terms(text)
+        used = sorted([t for t in own if low <= count.get(t, 0) <= high] or own)
+        out = []
+        level = len(used).bit_length() - 1
+        for number in range(level * imatch.SUBSETS, (level + imatch.LEVELS) * imatch.SUBSETS) if used else ():
+            mask = (1 << number // imatch.SUBSETS) - 1
+            chosen = [t for t in used if _hash(number.to_bytes(4, "little"), _hash(t.to_bytes(8, "little", signed=True))) & mask == 0]
+            if chosen:
+                h = 42
+                for t in chosen:
+                    h = _hash(t.to_bytes(8, "little", signed=True), h)
+                out.append(f"{number:03d}:{h & (2**64 - 1):016x}"[:4] + f"{h & (2**64 - 1):016x}"[-imatch.HEX :])
+        return out
+
+    return of
+
+
+def slow_likeness(a, b):
+    either = {e[:3] for e in a} | {e[:3] for e in b}
+    return len(set(a) & set(b)) / len(either) if either else 1.0
+
+
+def test_imatch_against_loops(spark, sample):
+    docs = sample.unionByName(docs_of(spark, [(90_000, ""), (90_001, None), (90_002, "… .,"), (90_003, "x"), (90_004, "ÀB àb, (ab)|Ab!"), (90_005, "unheard words only here")]).select(sample.columns))
+    rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    of = slow_imatch([t for _, t in rows])
+    prints = {i: of(t) for i, t in rows}
+    got = {r.doc_id: r for r in imatch.compare_edited(docs, parts=4).collect()}
+    for k, (i, text) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)]
+        q = len(text) // 4
+        edited = of(text[: len(text) - q] + after[1][:q])
+        assert got[i].fingerprint == " ".join(prints[i]) and got[i].edited_fingerprint == " ".join(edited), i
+        assert got[i].near_edited == pytest.approx(slow_likeness(prints[i], edited)) and got[i].near_next == pytest.approx(slow_likeness(prints[i], prints[after[0]]))
+    assert {r.doc_id: r.hashes for r in imatch.fingerprints(docs).collect()} == prints
+
+
 def test_imatch_odd_rows(spark):
     assert imatch.compare_edited(odd_docs(spark), parts=3).count() == 10
     assert imatch.fingerprints(odd_docs(spark)).count() == 10

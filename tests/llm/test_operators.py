@@ -532,12 +532,12 @@ def test_encode_documents(spark, codec):
 def test_caches_are_bounded_and_emptied(codec, monkeypatch):
     own, lib = codec
     own.forget()
-    monkeypatch.setattr(sentencepiece_bpe, "CACHED_BYTES", 20_000)
+    monkeypatch.setattr(own.kept, "limit", 20_000)
     rng = random.Random(8)
     for _ in range(300):
         text = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(20))
         assert array("I", own.encode_decode(text)[0]).tolist() == lib.encode(text, add_bos=True, add_eos=True)
-        assert own.kept_bytes <= 20_000 + 2_000 and len(own.kept) <= 20_000 // sentencepiece_bpe.ENTRY + 2
+        assert own.kept.bytes <= 10_000 + 2_000 and len(own.kept) + len(own.kept.old) <= 20_000 // sentencepiece_bpe.ENTRY + 2
     own.forget()
     assert not own.kept and own.fits.cache_info().currsize == 0
 

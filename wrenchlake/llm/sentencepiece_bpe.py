@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from wrenchlake.llm.common import bounded_batches, text_of
 
 SPACE = "▁"
-#: Bytes of encodings of chunks (a word and the spaces before it) that a task keeps; all go when there are more, and when it ends. An
-#: entry takes ``ENTRY`` bytes besides what it holds.
-CACHED_BYTES = 48 << 20
+#: Bytes of encodings of chunks (a word and the spaces before it) that a worker keeps from task to task, in two halves: when the younger is
+#: full, the older goes. An entry takes ``ENTRY`` bytes besides what it holds. With ``SMALL_BYTES``, for stages that share executors with much else, all go when a
+#: task ends.
+CACHED_BYTES, SMALL_BYTES = 256 << 20, 48 << 20
 CACHED_LENGTH, ENTRY = 64, 350
 #: Pairs of tokens whose compatibility a task remembers, about 200 bytes each.
 FITS = 100_000
@@ -65,8 +66,7 @@ class PieceCodec:
         if any(self.rank[h] > self.rank[p] for p, two in self.halves.items() for h in two if h in self.halves):
             raise ValueError("a piece ranks before what it is made of")
         self.fits = lru_cache(FITS)(self._fits)
-        self.kept: dict[str, tuple[bytes, bytes]] = {}
-        self.kept_bytes = 0
+        self.kept = _Kept(self._chunk)
         self.meaning = [self._meaning(i) for i in range(len(self.pieces))]
 
     def _halves(self, piece: str) -> tuple[str, str] | None:
@@ -137,28 +137,18 @@ class PieceCodec:
     def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
         """The chunk's ids as unsigned 32-bit integers, and what they decode to."""
         ids = self.ids_of(chunk)
-        out = array("I", ids).tobytes(), self.bytes_of(ids)
-        if len(chunk) <= CACHED_LENGTH:
-            if self.kept_bytes >= CACHED_BYTES:
-                self._drop()
-            self.kept[chunk] = out
-            self.kept_bytes += ENTRY + 4 * len(chunk) + len(out[0]) + len(out[1])
-        return out
-
-    def _drop(self) -> None:
-        self.kept.clear()
-        self.kept_bytes = 0
+        return array("I", ids).tobytes(), self.bytes_of(ids)
 
     def forget(self) -> None:
-        """Empty the caches: a worker that is used again keeps none of a task's."""
-        self._drop()
+        """Empty the caches."""
+        self.kept.empty()
         self.fits.cache_clear()
 
     def encode_decode(self, text: str) -> tuple[bytes, bytes]:
         """Ids with begin and end, packed little-endian, and the bytes they decode to (one leading space is dropped)."""
-        parts = [(self.kept.get(c) or self._chunk(c)) for c in self.chunks.findall((" " + text).replace(" ", SPACE))] if text else []
-        ids = b"".join([array("I", [self.bos]).tobytes(), *[p[0] for p in parts], array("I", [self.eos]).tobytes()])
-        decoded = b"".join([p[1] for p in parts])
+        parts = map(self.kept.__getitem__, self.chunks.findall((" " + text).replace(" ", SPACE)) if text else [])
+        ids, decoded = ([b"".join(x) for x in zip(*parts, strict=True)] or [b"", b""])
+        ids = array("I", [self.bos]).tobytes() + ids + array("I", [self.eos]).tobytes()
         return ids, decoded[1:] if decoded[:1] == b" " else decoded
 
     def encode(self, text: str) -> list[int]:
@@ -180,15 +170,41 @@ class PieceCodec:
         return "".join(out)
 
 
+class _Kept(dict):
+    """Encodings by chunk, made where missing, of at most ``limit`` bytes in two generations."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.limit = make, CACHED_BYTES
+        self.empty()
+
+    def __missing__(self, chunk: str) -> tuple[bytes, bytes]:
+        out = self.old.get(chunk) or self.make(chunk)
+        if len(chunk) <= CACHED_LENGTH:
+            if self.bytes >= self.limit // 2:
+                young = dict(self)
+                self.empty()
+                self.old = young
+            self[chunk] = out
+            self.bytes += ENTRY + 4 * len(chunk) + len(out[0]) + len(out[1])
+        return out
+
+    def empty(self) -> None:
+        self.clear()
+        self.old: dict[str, tuple[bytes, bytes]] = {}
+        self.bytes = 0
+
+
 _codecs: dict[bytes, PieceCodec] = {}
 
 
-def _codec(model: bytes) -> PieceCodec:
+def _codec(model: bytes, limit: int = CACHED_BYTES) -> PieceCodec:
     """The worker's codec of this model, made once; another model's goes."""
     key = hashlib.sha256(model).digest()
     if key not in _codecs:
         _codecs.clear()
         _codecs[key] = PieceCodec(model)
+    _codecs[key].kept.limit = limit
     return _codecs[key]
 
 
@@ -208,27 +224,24 @@ def digests(text: Column, model: bytes) -> Column:
     @F.pandas_udf(ENCODED)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = _codec(model)
-        try:
-            for batch in batches:
-                rows = []
-                for text in batch:
-                    ids, decoded = codec.encode_decode(text)
-                    rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-                yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-        finally:
-            codec.forget()
+        for batch in batches:
+            rows = []
+            for text in batch:
+                ids, decoded = codec.encode_decode(text)
+                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run(text)
 
 
 def token_ids(text: Column, model: bytes) -> Column:
-    """The packed ids, unsigned 32-bit little-endian."""
+    """The packed ids, unsigned 32-bit little-endian. Its caches are small and go with the task."""
 
     bounded_batches()
 
     @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = _codec(model)
+        codec = _codec(model, SMALL_BYTES)
         try:
             for batch in batches:
                 yield pd.Series([codec.encode_decode(t)[0] for t in batch], dtype=object)

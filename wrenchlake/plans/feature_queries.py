@@ -288,6 +288,22 @@ ORACLE_SQL = {
                    FROM events WHERE event_id % 4 = 0 OR value IS NULL OR floor(abs(value))::BIGINT % 5 + 1 >= 4),
         f AS (SELECT codes_key, doc_id, min(event_id) AS first FROM e GROUP BY ALL)
         SELECT codes_key, min(first) AS position, string_agg(doc_id, ',' ORDER BY first) AS doc_ids FROM f GROUP BY codes_key""",
+    "backoff_states": """
+        WITH e AS (SELECT user_id AS crawl, event_id AS seq, event_type AS domain, CASE WHEN event_id * 7 % 10 < 5 THEN 403 WHEN event_id * 7 % 10 = 5 THEN 429 ELSE 200 END AS status, event_id % 3 <> 0 AS proxied FROM events),
+        x AS (SELECT crawl, list({'k': 0, 'kf': 0, 'f': MAP([domain], [0]), 'ban': []::VARCHAR[], 'gone': []::VARCHAR[], 'd': domain, 's': status, 'p': proxied,
+                                  'out': [{'decision': '', 'k': 0, 'kf': 0, 'f': 0, 'ban': false}]} ORDER BY seq) AS xs, list(seq ORDER BY seq) AS seqs, list(domain ORDER BY seq) AS ds, list(status ORDER BY seq) AS ss, list(proxied ORDER BY seq) AS ps FROM e GROUP BY crawl),
+        w AS (SELECT crawl, seqs, ds, ss, ps, list_reduce(list_concat([{'k': 0, 'kf': 0, 'f': MAP(['?'], [0]), 'ban': []::VARCHAR[], 'gone': []::VARCHAR[], 'd': '', 's': 0, 'p': false, 'out': [{'decision': '', 'k': 0, 'kf': 0, 'f': 0, 'ban': false}]}], xs),
+            lambda a, x: list_transform([CASE
+                WHEN list_contains(a.ban, x.d) THEN 'ignored' WHEN x.s = 200 THEN 'returned' WHEN NOT x.p THEN CASE WHEN list_contains(a.gone, x.d) THEN 'returned' ELSE 'retry_with_proxy' END
+                WHEN a.kf + 1 >= 4 AND a.k < 2 THEN 'rotated' WHEN a.k >= 2 THEN 'exhausted' WHEN coalesce(a.f[x.d], 0) + 1 >= 2 THEN 'banned' ELSE 'failed' END],
+            lambda v: list_transform([{
+                'k': a.k + (v = 'rotated')::INTEGER, 'kf': CASE WHEN v = 'rotated' OR v = 'returned' AND x.s = 200 AND x.p THEN 0 ELSE a.kf + (v IN ('exhausted', 'failed', 'banned'))::INTEGER END,
+                'n': CASE WHEN v = 'returned' AND x.s = 200 AND x.p THEN greatest(0, coalesce(a.f[x.d], 0) - 1) ELSE coalesce(a.f[x.d], 0) + (v IN ('failed', 'banned'))::INTEGER END,
+                'ban': CASE WHEN v = 'banned' THEN list_append(a.ban, x.d) ELSE a.ban END}],
+            lambda u: {'k': u.k, 'kf': u.kf, 'f': map_concat(a.f, MAP([x.d], [u.n])), 'ban': u.ban, 'gone': CASE WHEN v = 'exhausted' THEN list_append(a.gone, x.d) ELSE a.gone END, 'd': x.d, 's': x.s, 'p': x.p,
+                       'out': list_append(a.out, {'decision': v, 'k': u.k, 'kf': u.kf, 'f': u.n, 'ban': list_contains(u.ban, x.d)})})[1])[1]).out[2:] AS o FROM x),
+        r AS (SELECT crawl, unnest(seqs) AS seq, unnest(ds) AS domain, unnest(ss) AS status, unnest(ps) AS proxied, unnest(o) AS o FROM w)
+        SELECT crawl, seq, domain, status, proxied, o.decision, o.k AS key_index, o.kf AS key_failures, o.f AS domain_failures, o.ban AS domain_banned FROM r""",
     "html_table_rows": """
         SELECT l_orderkey AS page_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus) - 1)::INTEGER AS row_no,
                concat_ws('|', l_partkey, l_linenumber, '<' || l_returnflag || ' & ' || l_linestatus || '>', l_suppkey, 'in ' || l_suppkey || ' 1 2 3 4', 'end of é') AS cells FROM lineitem""",

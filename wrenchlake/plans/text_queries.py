@@ -202,6 +202,11 @@ ORACLE_SQL = {
         k AS (SELECT doc_id, string_agg(trim(s), '. ' ORDER BY n) || '.' AS kept FROM l WHERE upto <= 500 GROUP BY doc_id),
         r AS (SELECT doc_id, CASE WHEN length(t) <= 500 THEN t WHEN section IS NOT NULL THEN substring(trim(section), 1, 500) ELSE coalesce(kept, '') END AS r FROM c LEFT JOIN k USING (doc_id))
         SELECT doc_id, length(r)::INTEGER AS n, sha256(r) AS digest FROM r""",
+    "steps_extract": r"""
+        WITH f AS (SELECT doc_id, list_transform(regexp_extract_all(text, '(?m)(?:^|\n)\s*[0-9]+[.)]\s*(.+)$', 1), lambda x: trim(x)) AS a, list_transform(regexp_extract_all(text, '(?m)(?:^|\n)\s*[-•*]\s*(.+)$', 1), lambda x: trim(x)) AS b,
+            list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) > 20)[1:10] AS c FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(a) > 0 THEN a WHEN len(b) > 0 THEN b ELSE c END AS s FROM f)
+        SELECT doc_id, len(s)::INTEGER AS n_steps, sha256(array_to_string(s, chr(10))) AS digest FROM s""",
     "title_truncate": """
         WITH i AS (SELECT doc_id, unnest(string_split(text, ',')) AS x, generate_subscripts(string_split(text, ','), 1) AS n FROM documents), l AS (SELECT doc_id, trim(x) AS x, n, sum(length(trim(x)) + 2) OVER (PARTITION BY doc_id ORDER BY n) AS upto FROM i),
         k AS (SELECT doc_id, coalesce(string_agg(x, ', ' ORDER BY n) FILTER (WHERE upto <= 180), '') AS head, count(*) FILTER (WHERE upto > 180) AS more FROM l GROUP BY doc_id),

@@ -108,7 +108,7 @@ def compare_edited(docs: DataFrame, parts: int | None = None, id_col: str = "doc
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many (or all) of the next document's, by
     ascending id (nulls first, ties by text; after the last the first). Texts are shuffled once, by ranges of the id;
     the neighbour across a range's border comes from a table of each range's first row. Null texts count as
-    empty. Repeated rows follow each other. A single document is its own next. No Python runs on the
+    empty. Repeated rows follow each other. A single document is its own next. Other columns are not read, whatever their names; an empty table gives an empty one. No Python runs on the
     executors. Columns: ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
     """
     spark = docs.sparkSession

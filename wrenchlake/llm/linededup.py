@@ -244,7 +244,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Blank lines stay. A text that loses lines is what remains joined by newlines; one that loses all is empty. Null
     texts stay null, with no lines. Rows that repeat an id are one
-    document as to which occurrence is first; rows that repeat id and text share their decisions. Lines are compared
+    document as to which occurrence is first; rows that repeat id and text share their decisions. Lines end at ``\\n`` alone (a ``\\r`` before it belongs to the line). They are compared
     trimmed and lower-cased; those shorter than a shingle match only equal ones. Null ids come first. Other columns pass
     through, whatever their names, but for columns named ``n_lines`` and ``n_dropped``, which are replaced. An empty table gives an empty one.
     """

@@ -134,7 +134,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, old_shards: int = 6, id_co
     id, moving the fewest bytes: ``(doc_id, size, text_crc32, old_shard, shard, slot)``.
 
     The size is the text's UTF-8 bytes plus 1 (null: 1). Only id, size and checksum are shuffled, never texts.
-    Null ids and repeated rows are placed like any other row.
+    Null ids and repeated rows are placed like any other row. Columns besides id and text are not read, whatever their names; an empty table gives an empty one.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), _size(text_col).alias("size"), _crc(text_col).alias("text_crc32"), _old_shard(id_col, old_shards).alias("old_shard"))
     return assign(stored(rows, "shard-rows"), shards)[0]

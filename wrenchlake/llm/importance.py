@@ -91,10 +91,12 @@ def _counts(con: duckdb.DuckDBPyConnection, texts: list[str]) -> tuple[np.ndarra
         keys.append(got["row"].astype(np.int64) * BUCKETS + got["bucket"].astype(np.int64))
         ns.append(got["n"].astype(np.int64))
     key, n = np.concatenate(keys), np.concatenate(ns)
-    distinct, where = np.unique(key, return_inverse=True)  # a text in several pieces has a bucket several times
-    total = np.zeros(len(distinct), np.int64)
-    np.add.at(total, where, n)
-    return distinct // BUCKETS, distinct % BUCKETS, total
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+    if len(first) < len(key):  # a text in several pieces has a bucket several times
+        key, n = key[first], np.add.reduceat(n, first)
+    return key // BUCKETS, key % BUCKETS, n
 
 
 def bucket_counts(rows: DataFrame, text_col: str = "text") -> DataFrame:

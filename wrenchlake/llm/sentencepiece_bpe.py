@@ -20,7 +20,7 @@ SPACE = "▁"
 #: Bytes of encodings of chunks (a word and the spaces before it) that a worker keeps from task to task, in two halves: when the younger is
 #: full, the older goes. An entry takes ``ENTRY`` bytes besides what it holds. With ``SMALL_BYTES``, for stages that share executors with much else, all go when a
 #: task ends.
-CACHED_BYTES, SMALL_BYTES = 256 << 20, 48 << 20
+CACHED_BYTES, SMALL_BYTES = 256 << 20, 16 << 20
 CACHED_LENGTH, ENTRY = 64, 350
 #: Pairs of tokens whose compatibility a task remembers, about 200 bytes each.
 FITS = 100_000

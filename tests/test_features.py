@@ -247,14 +247,14 @@ def test_back_off_query_over_the_whole_table(spark):
 # --- pages ---
 
 NESTED = """<html><body><p>one<table id=a><tr><td>no body</td></tr></table>
-<TABLE class="o"><thead><tr><th>Head</th></tr></thead><tbody><tr><td> P1 <td>C&amp;1<td>L<td><table><tbody><tr><td>x</td><td>y</td></tr></tbody></table></td><td>E</td><td><a title='>' href="/DiagView?id=7">View</a></tr>
+<TABLE class="o"><thead><tr><th>Head</th></tr></thead><tbody><tr><td> P1 <td>C&amp;1<td>L<td><table><tbody><tr><td>x</td><td>y</td></tr></tbody></table></td><td>E</td><td><a title='>' href="/View?id=7">View</a></tr>
 <tr><td>P2</td><td></td><td>3</td><td>4</td><td>5</td><td>6</td></tr><tr><td>P3</td><td>C3</td><td>short</td></tr>
 <tr><td>P4</td><td>C4</td><td></b>3</td><td>4</td><td>5</td><td>&#233;&nbsp;&lt;</td></tr></tbody></table><script>"<table><tbody><tr><td>js"</script><a href=''>none</a><a href=" /two ">t <b>w</b> o</a></body>"""
 
 
 def test_tables_within_tables():
     assert markup.table_rows(NESTED) == [["P1", "C&1", "L", "x y", "E", "View"], ["P4", "C4", "3", "4", "5", "é <"]]
-    assert markup.links(NESTED) == [("/DiagView?id=7", "View"), ("/two", "t w o")]
+    assert markup.links(NESTED) == [("/View?id=7", "View"), ("/two", "t w o")]
     for page in (None, "", "plain", "<table>", "<tbody><tr><td>a", "<<<>>", "</table></tr>", "<table><tbody></tbody></table>", "<tr><td>1<td>2<td>3<td>4<td>5<td>6"):
         assert markup.table_rows(page) == [] and markup.token(page) is None
     assert len(markup.table_rows("<table><tbody>" + "<tr>" + "<td>v</td>" * 6 + "</tr>" * 20_000)) == 1
@@ -263,7 +263,7 @@ def test_tables_within_tables():
 
 
 def test_sections():
-    page = """<table><thead class="thead-dark"><tr><th colspan="2">Fault  Code
+    page = """<table><thead class="dark"><tr><th colspan="2">Fault  Code
         Description</th></tr></thead> <tbody><tr><td>A</td><td> <b>B</b> &lt;1&gt; </td></tr><tr><td></td></tr></tbody></table>
         <table><thead><tr><th>service plan</th></tr></thead><tbody><tr><td>outer<table><thead><tr><th>Warnings</th></tr></thead><tbody><tr><td>inner</td></tr></tbody></table></td></tr></tbody></table>
         <table><thead><tr><th>Service Plan</th></tr></thead><tbody><tr><td>second</td></tr></tbody></table>"""

@@ -139,7 +139,7 @@ def html_table_rows(spark, d):
 def page_sections(spark, d):
     """Sections of pages made of parts: two filled, one heading without cells, four absent."""
     p = table(spark, d, "part")
-    block = lambda head, *rows: F.concat(F.lit(f"<table><thead class='thead-dark'><tr><th colspan=2>{head}</th></tr></thead>\n<tbody>"), *rows, F.lit("</tbody></table>"))
+    block = lambda head, *rows: F.concat(F.lit(f"<table><thead class='dark'><tr><th colspan=2>{head}</th></tr></thead>\n<tbody>"), *rows, F.lit("</tbody></table>"))
     row = lambda *cols: F.concat(F.lit("<tr>"), *[_cell(F.col(c).cast("string")) for c in cols], F.lit("</tr>"))
     html = F.concat(block("Fault Code Description", row("p_name", "p_brand"), row("p_type")), F.lit("<p>between</p>"), block("SERVICE PLAN", row("p_size")), block("Warnings"))
     return S.page_sections(p.select(F.col("p_partkey").alias("page_id"), html.alias("html")))

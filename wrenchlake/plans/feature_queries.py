@@ -18,7 +18,7 @@ from wrenchlake.operators import stages as C
 from wrenchlake.plans.model_queries import ORACLE_SQL as MODEL_SQL
 from wrenchlake.plans.model_queries import _graph
 from wrenchlake.plans.tables import SIM_SQL, items, queries, table
-from wrenchlake.shared import shared_dir
+from wrenchlake.shared import kept, shared_dir
 from wrenchlake.sources import appends as A
 from wrenchlake.sources import graphml as X
 from wrenchlake.sources import records as S
@@ -193,7 +193,7 @@ def stage_chain(spark, d):
 
 def run_appends(spark, d):
     """Two runs of nearest neighbours are appended, one of them twice, then a log of the queries that were answered."""
-    near = R.knn(items(spark, d), queries(spark, d).drop("label"), 3).select("query_id", "rank", "id")
+    near = kept(R.knn(items(spark, d), queries(spark, d).drop("label"), 3).select("query_id", "rank", "id"), "near")  # read by each of the runs
     base = f"{shared_dir(spark)}/wrenchlake/runs-{uuid.uuid4().hex}"
     for run, rows in (("first", near), ("second", near.where("rank = 1")), ("first", near)):
         A.append_run(rows, f"{base}/results", run)

@@ -48,3 +48,45 @@ def test_knn_leaves_no_pairs_in_spark(spark, sides, capsys):
 def test_length_is_taken_once_a_vector(spark, capsys):
     spark.createDataFrame([([1.0],)], "v array<double>").select(V.normalize(F.col("v")).alias("u")).explain()
     assert capsys.readouterr().out.count("SQRT") == 1
+
+
+@pytest.fixture
+def plain(spark, monkeypatch):
+    """Vectors without gaps, met in blocks and parts of a few rows."""
+    monkeypatch.setattr(blocks, "COMPONENTS", 60)
+    monkeypatch.setattr(blocks, "TILE", 64)
+    rng = random.Random(8)
+    rows = [(i, [rng.choice([-1.0, 0.5, 2.0]) for _ in range(3)], None if i % 13 == 0 else i % 4) for i in range(80)]
+    items = spark.createDataFrame(rows, "id long, vec array<double>, label int")
+    return items, items.where("id % 5 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"), "label")
+
+
+def test_filters_equal_those_of_all_pairs(plain):
+    items, queries = plain
+    every = retrieval.similarities(items, queries.drop("label"))
+    own = queries.select("query_id", F.col("label").alias("own_label"))
+    want = retrieval.top_k(every.join(own, "query_id").where("label <> own_label").drop("own_label"), 4)
+    assert rows(retrieval.hard_negatives(queries, items, 4)) == rows(want)
+    matches = lambda item, query: blocks.same(item["label"], np.array([[3]])) & (query["query_id"] % 2 == 0)
+    got = retrieval.filtered_or_all(items, queries.drop("label"), matches, 30)
+    hits, rest = retrieval.top_k(every.where("query_id % 2 = 0 and label = 3"), 30), retrieval.top_k(every.where("query_id % 2 = 1"), 30)
+    assert rows(got) == rows(hits.withColumn("filtered", F.lit(True)).unionByName(rest.withColumn("filtered", F.lit(False))))
+
+
+def test_fused_view_ranks_as_fuse(plain):
+    items, queries = plain
+    rated = items.withColumn("rerank_score", (F.col("id") % 7) / 7.0).withColumn("kg_score", F.when(F.col("id") % 3 == 0, 0.5)).withColumn("feedback_score", F.when(F.col("id") % 2 == 0, 1.0))
+    near = retrieval.fuse(blocks.nearest(rated, queries.drop("label"), 6, retrieval.fused())).drop("by_view")
+    every = retrieval.fuse(retrieval.similarities(rated, queries.drop("label")))
+    assert rows(retrieval.top_k(near, 6, by="combined_score")) == rows(retrieval.top_k(every, 6, by="combined_score"))
+
+
+def test_vector_uncertainty_and_rank_change(plain):
+    items, queries = plain
+    queries = queries.drop("label")
+    every = retrieval.similarities(items, queries)
+    got, want = ({r.query_id: r for r in df.collect()} for df in (retrieval.vector_uncertainty(items, queries), retrieval.uncertainty(every)))
+    assert len(got) == len(want) == 16 and all(tuple(got[q]) == pytest.approx(tuple(want[q]), abs=1e-9) for q in want)
+    boosted = F.col("score") * F.when(F.col("id") % 5 == 0, 1.5).otherwise(1.0)
+    view = lambda score, item, query: score * np.where(item["id"] % 5 == 0, 1.5, 1.0)
+    assert rows(evaluate.vector_rank_change(items, queries, view, boosted, 7)) == rows(evaluate.rank_change(every, boosted, 7))

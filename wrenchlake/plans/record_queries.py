@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wrenchlake.functions import text as T
+from wrenchlake.operators import blocks as K
 from wrenchlake.operators import feedback as B
 from wrenchlake.operators import records as O
 from wrenchlake.operators import retrieval as Q
 from wrenchlake.plans.tables import SIM_SQL, items, queries, table
 from wrenchlake.plans.text_queries import _CODES
+from wrenchlake.shared import kept
 from wrenchlake.streaming import memory as Y
 
 
 def chunk_merge(spark, d):
     """Searches in two filtered halves of the index, merged to documents of four chunks each by their best score."""
-    near = Q.similarities(items(spark, d), queries(spark, d).drop("label"))
+    halves = [K.where(lambda item, query: item["label"] < 5), K.where(lambda item, query: item["label"] >= 5)]
+    near = kept(K.nearest(items(spark, d), queries(spark, d).drop("label"), 20, *halves), "halves")
     halves = [Q.top_k(near.where(w), 20).select("query_id", F.expr("id div 4").alias("id"), "score") for w in ("label < 5", "label >= 5")]
     out = O.merge_chunks(halves[0].unionByName(halves[1]), 5)
     return out.select("query_id", "id", F.round("score", 6).alias("score"), "rank")

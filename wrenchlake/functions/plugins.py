@@ -25,20 +25,28 @@ class Encoder(Protocol):
 class HashingEncoder:
     """Signed hashed counts of words (runs without white space, lower-cased), of unit length; the same text always gives the same vector.
 
-    A word's place is the number of the first eight hex digits of its MD5, modulo ``dims``; the ninth's lowest bit is its sign."""
+    A word's place is the number of the first eight hex digits of its MD5, modulo ``dims``; the ninth's lowest bit is its sign. Words that cancel each other leave a
+    vector without length: their places then hold ``cancelled``."""
 
-    def __init__(self, dims: int = 64):
-        self.dims = dims
+    def __init__(self, dims: int = 64, cancelled: float = 0.0):
+        self.dims, self.cancelled = dims, cancelled
 
     def encode(self, texts: list[str], is_query: bool = False) -> np.ndarray:
         place = lru_cache(100_000)(self._place)
-        out = np.zeros((len(texts), self.dims))
-        for row, text in zip(out, texts, strict=True):
-            for word, n in Counter(text.lower().split()).items():
+        out, void = np.zeros((len(texts), self.dims)), {}
+        for i, text in enumerate(texts):
+            counts, met = Counter(text.lower().split()), set()
+            for word, n in counts.items():
                 at, sign = place(word)
-                row[at] += sign * n
+                out[i, at] += sign * n
+                met.add(at)
+            if not out[i].any():
+                void[i] = list(met)
         n = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(n == 0, 1, n)
+        out /= np.where(n == 0, 1, n)
+        for i, places in void.items():
+            out[i, places] = self.cancelled
+        return out
 
     def _place(self, word: str) -> tuple[int, int]:
         digest = hashlib.md5(word.encode("utf-8", "replace"), usedforsecurity=False).hexdigest()
@@ -53,7 +61,7 @@ def encode(text: Column, encoder: Encoder, is_query: bool = False) -> Column:
         for batch in batches:
             yield pd.Series(list(encoder.encode(batch.tolist(), is_query)))
 
-    return run(F.coalesce(text, F.lit("")))
+    return F.transform(run(F.coalesce(text, F.lit(""))), lambda x: F.coalesce(x, F.lit(float("nan"))))  # Arrow takes NaN for null
 
 
 def project(vec: Column, dims: int, seed: int = 42) -> Column:

@@ -265,7 +265,11 @@ def disjoint_negatives(spark, d):
     """For each query part five parts of the same size that share no brand or type with it, by key."""
     p = table(spark, d, "part")
     a = p.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("anchor"), F.array("p_brand", "p_type").alias("a_codes"), "p_size")
-    b = p.select("p_partkey", F.array("p_brand", "p_type").alias("b_codes"), "p_size")
+    # of parts with the same size, brand and type only the first can be taken: six keys, as one may be the anchor's own, and five rows of each
+    by = lambda *keys: Window.partitionBy("p_size", "p_brand", "p_type", *keys).orderBy("p_partkey")
+    first = p.where("p_partkey is not null").withColumn("nth", F.dense_rank().over(by())).where("nth <= 6")
+    first = first.withColumn("copy", F.row_number().over(by("p_partkey"))).where("copy <= 5")
+    b = first.select("p_partkey", F.array("p_brand", "p_type").alias("b_codes"), "p_size")
     # a size is a key of many parts: they are dealt over salts, and each anchor asks all of them
     a = a.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
     b = b.withColumn("salt", F.pmod(F.xxhash64("p_partkey"), F.lit(16)).cast("int"))

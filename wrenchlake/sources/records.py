@@ -58,20 +58,25 @@ def page_text(html: Column, least: int = 0) -> Column:
     return F.when(F.length(out) >= least, out)
 
 
+def _dealt(pages: DataFrame) -> DataFrame:
+    """Pages over as many tasks as shuffles have: parsing takes long for its bytes, and files or small shuffles that Spark packs by their bytes would leave few tasks."""
+    return pages.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page_id")
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """``(page_id, link_no, href, label)`` of the links that aren't navigation."""
-    out = pages.select("page_id", F.posexplode(M.links_column(F.col("html"))).alias("link_no", "x")).select("page_id", "link_no", "x.href", F.col("x.text").alias("label"))
+    out = _dealt(pages).select("page_id", F.posexplode(M.links_column(F.col("html"))).alias("link_no", "x")).select("page_id", "link_no", "x.href", F.col("x.text").alias("label"))
     return out.where(~T.nav_link(F.col("label")))
 
 
 def table_rows(pages: DataFrame, least: int = 6) -> DataFrame:
     """``(page_id, row_no, cells)`` of the rows with at least ``least`` data cells, the first two filled, in a page's first table body."""
-    return pages.select("page_id", F.posexplode(M.table_rows_column(F.col("html"), least)).alias("row_no", "cells"))
+    return _dealt(pages).select("page_id", F.posexplode(M.table_rows_column(F.col("html"), least)).alias("row_no", "cells"))
 
 
 def page_sections(pages: DataFrame) -> DataFrame:
     """``(page_id, section, text)``, the seven named sections of each page, missing ones empty."""
-    return pages.select("page_id", F.explode(M.sections_column(F.col("html"))).alias("section", "text"))
+    return _dealt(pages).select("page_id", F.explode(M.sections_column(F.col("html"))).alias("section", "text"))
 
 
 def start_urls(sites: DataFrame, codes: DataFrame, searched: DataFrame) -> DataFrame:

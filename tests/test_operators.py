@@ -140,3 +140,11 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     assert [(r.event_type, r.n, r.total) for r in spark.table("tumbling").collect()] == [("a", 2, 5.0)]
     assert X.sessions(rows).count() == 3
+
+
+def test_overlap_boost_meets_a_code_set_once(spark):
+    """Many users of few code sets hold one document: candidates meet a row a code set, of the first position."""
+    p = spark.createDataFrame([(i, ["a", "b"] if i % 2 else ["b", "c", "b"], [10]) for i in range(200, 0, -1)] + [(0, ["a"], None), (None, ["z"], [10])], "position long, codes array<string>, doc_ids array<long>")
+    assert sorted((r.p_doc, r.p_codes, r.position) for r in Q.held_codes(p).where("position is not null").collect()) == [(10, ["a", "b"], 1), (10, ["b", "c"], 2)]
+    c = spark.createDataFrame([(1, 10, ["c", "b"]), (2, 10, ["b", "x"]), (3, 10, ["z", "q"]), (4, 11, ["a"])], "query_id long, id long, codes array<string>")
+    assert {r.query_id: round(r.boost, 6) for r in Q.overlap_boost(c, p).collect()} == {1: 1.2, 2: 1.05, 3: 1.0, 4: 1.0}

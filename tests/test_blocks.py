@@ -90,3 +90,19 @@ def test_vector_uncertainty_and_rank_change(plain):
     boosted = F.col("score") * F.when(F.col("id") % 5 == 0, 1.5).otherwise(1.0)
     view = lambda score, item, query: score * np.where(item["id"] % 5 == 0, 1.5, 1.0)
     assert rows(evaluate.vector_rank_change(items, queries, view, boosted, 7)) == rows(evaluate.rank_change(every, boosted, 7))
+
+
+@pytest.mark.parametrize("n", [1, 5, 700, 5000])
+def test_greatest_equals_all_products(n):
+    """Also among copies and vectors that differ in their last bits, of which a matrix product rounds some otherwise."""
+    rng = np.random.default_rng(9)
+    made = rng.normal(size=(max(1, n // 5), 16))
+    items = np.concatenate([made[rng.integers(len(made), size=n - n // 4)], made[rng.integers(len(made), size=n // 4)] + rng.choice([0, 1e-16, -1e-16], size=(n // 4, 16))])
+    items /= np.linalg.norm(items, axis=1)[:, None]
+    queries, columns = items[: 1 + n // 9], np.ascontiguousarray(items.T)
+    every = blocks._dots(queries, columns)
+    for k in (1, 5, 20):
+        q, i, score = blocks.greatest(queries, columns, k)
+        chosen = blocks._best(every, k)
+        assert sorted(zip(q.tolist(), i.tolist(), strict=True)) == list(map(tuple, np.argwhere(chosen).tolist()))
+        assert (score == every[q, i]).all()

@@ -787,3 +787,27 @@ def test_batches_are_bounded(spark):
         assert simhash.near_groups(texts).count() == 5000 and spark.conf.get(rows) == "10"
     finally:
         spark.conf.set(rows, before)
+
+
+def test_merged_components_equal_those_of_all_edges(spark):
+    rng = random.Random(11)
+    edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(110)] + [(5, None), (None, 6), (7, 7)]
+    made = lambda rows: spark.createDataFrame(rows, "src long, dst long")
+    want = sorted(map(tuple, components.connected_components(made(edges)).collect()))
+    for n in (0, 40, 80, len(edges)):
+        parts = common.cut(components.connected_components(made(edges[:n])))
+        assert sorted(map(tuple, components.merged(parts, made(edges[n:])).collect())) == want
+
+
+def test_line_dedup_meets_a_pair_in_one_bucket(spark):
+    """Lines of different components that share several buckets: each pair is met once, also where the buckets' largest components differ."""
+    text = " ".join(f"word{i:03d}" for i in range(12))
+    lines = spark.createDataFrame([(n, text + f" {n}") for n in range(1, 6)], "line_id long, line string")
+    part = {1: 1, 2: 1, 3: 3, 4: 4, 5: 3}
+    held = {10: (1, 2, 3, 4), 11: (1, 3, 4, 5), 12: (2, 3, 4, 5), 13: (3, 5, 4)}
+    main = {10: 1, 11: 3, 12: 3, 13: 3}
+    split = spark.createDataFrame([(k, n, part[n], main[k]) for k, ns in held.items() for n in ns], "key long, line_id long, part long, main long")
+    sketches = linededup._sketches(lines)
+    side = lambda x: sketches.withColumnsRenamed({c: f"{x}_{c}" for c in sketches.columns if c != "line_id"})
+    got = sorted(map(tuple, linededup._across(split, side("a"), side("b")).collect()))
+    assert got == sorted({(a, b) for ns in held.values() for a in ns for b in ns if a < b and part[a] != part[b]})

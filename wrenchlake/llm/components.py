@@ -51,3 +51,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+def merged(parts: DataFrame, edges: DataFrame) -> DataFrame:
+    """``parts(node, component)``, a result of ``connected_components``, with ``edges(src, dst)`` added: the same as from all edges at once.
+
+    Only the edges between different components, as edges of these, are contracted. ``parts`` is read several times and should be stored.
+    """
+    of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"{end}_part"))
+    named = edges.select("src", "dst").join(of("src"), "src", "left").join(of("dst"), "dst", "left")
+    between = named.select(F.coalesce("src_part", "src").alias("src"), F.coalesce("dst_part", "dst").alias("dst"))
+    joined = cut(connected_components(between)).select(F.col("node").alias("old"), F.col("component").alias("new"))
+    moved = parts.join(joined, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+    return moved.unionByName(joined.join(parts, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component")))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wrenchlake.llm.common import small, stored, text_of
-from wrenchlake.llm.components import connected_components
+from wrenchlake.llm.components import connected_components, merged
 
 #: Characters (UTF-16 units) of a shingle; a shorter line has one shingle, itself.
 SHINGLE = 8
@@ -165,9 +165,9 @@ def near_lines(members: DataFrame, texts: DataFrame) -> DataFrame:
 
     Lines that share a key are candidates. Each is first compared with the smallest line of its bucket. Where
     that leaves buckets in several components with many pairs between them, the lines outside a bucket's largest component are compared with
-    ``SOME`` lines of it, and components are contracted, up to ``ROUNDS`` times. At last the lines outside the largest are compared with
-    all of their bucket's lines of other components. So every candidate pair is verified or already connected, and a bucket of copies of one
-    line needs about as many comparisons as it has lines. Pairs whose sizes or sketches rule
+    ``SOME`` lines of it, in one of the buckets that have the same largest, and components are contracted, up to ``ROUNDS`` times. At last the
+    lines outside the largest are compared with all of their bucket's lines of other components, each pair in one of the buckets that it shares.
+    So every candidate pair is verified or already connected, and a bucket of copies of one line needs about as many comparisons as it has lines. Pairs whose sizes or sketches rule
     the similarity out are cut within the join, losslessly, before texts are fetched; the others' are exact Jaccard similarities
     of sets of 64-bit hashes.
     """
@@ -184,9 +184,8 @@ def near_lines(members: DataFrame, texts: DataFrame) -> DataFrame:
 
     star = members.where("line_id > low").select(F.col("low").alias("src"), F.col("line_id").alias("dst")).distinct()
     possible = lambda pairs: pairs.distinct().join(of("a", "src"), "src").join(of("b", "dst"), "dst").where(_possible()).select("src", "dst")
-    edges = verified(possible(star))
+    parts = stored(connected_components(verified(possible(star))), "lines-parts")
     for step in range(ROUNDS + 1):
-        parts = stored(connected_components(edges), "lines-parts")
         placed = members.join(small(parts), F.col("line_id") == F.col("node"), "left").select("key", "line_id", F.coalesce("component", "line_id").alias("part"))
         by_part = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
         # the largest component of a bucket, ties to the smallest: counts and numbers only
@@ -198,14 +197,24 @@ def near_lines(members: DataFrame, texts: DataFrame) -> DataFrame:
             break
         chosen = [F.min_by("line_id", F.xxhash64("line_id", F.lit(step * SOME + k))).alias(f"r{k}") for k in range(SOME)]
         some = split.where("part = main").groupBy("key").agg(*chosen).select("key", F.explode(F.array_distinct(F.array(*[f"r{k}" for k in range(SOME)]))).alias("src"))
-        tried = split.where("part <> main").select("key", F.col("line_id").alias("dst")).join(some, "key").select("src", "dst")
-        edges = edges.unionByName(verified(possible(tried)))
-    apart = split.where("part <> main").join(of("a", "line_id"), "line_id").withColumnRenamed("line_id", "one")
-    others = split.join(of("b", "line_id"), "line_id").select("key", F.col("line_id").alias("other"), F.col("part").alias("other_part"), *[f"b_{c}" for c in sketches.columns if c != "line_id"])
+        tried = split.where("part <> main").groupBy("main", F.col("line_id").alias("dst")).agg(F.min("key").alias("key")).join(some, "key").select("src", "dst")
+        parts = stored(merged(parts, verified(possible(tried))), "lines-parts")
+    return merged(parts, verified(_across(split, of("a", "line_id"), of("b", "line_id"))))
+
+
+def _across(split: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """``(src, dst)``: the possible pairs of lines that share a bucket of ``split(key, line_id, part, main)`` and lie in different components, each met once.
+
+    Whether a pair lies in different components doesn't depend on the bucket, so it is met in the one of least key of those that both lines are in. A line
+    is in as many buckets as it has bands at most. ``a`` and ``b`` are the lines' sketches, with names for either side."""
+    keys = stored(split.groupBy("line_id").agg(F.collect_set("key").alias("keys")), "lines-keys")
+    placed = split.join(keys, "line_id")
+    apart = placed.where("part <> main").withColumnRenamed("keys", "a_keys").join(a, "line_id").withColumnRenamed("line_id", "one")
+    others = placed.join(b, "line_id").select("key", F.col("line_id").alias("other"), F.col("part").alias("other_part"), F.col("keys").alias("b_keys"), *[c for c in b.columns if c != "line_id"])
     once = (F.col("other_part") == F.col("main")) | (F.col("one") < F.col("other"))
-    met = apart.join(others, (apart["key"] == others["key"]) & (F.col("part") != F.col("other_part")) & once & _possible())
-    second = met.select(F.least("one", "other").alias("src"), F.greatest("one", "other").alias("dst")).distinct()
-    return connected_components(edges.unionByName(verified(second)))
+    least = F.array_min(F.array_intersect("a_keys", "b_keys")) == apart["key"]
+    met = apart.join(others, (apart["key"] == others["key"]) & (F.col("part") != F.col("other_part")) & once & _possible() & least)
+    return met.select(F.least("one", "other").alias("src"), F.greatest("one", "other").alias("dst"))
 
 
 def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,7 +232,7 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     texts = stored(placed.where("line is not null").select("line_id", "line").distinct(), "lines-texts")
     if weak.take(1):
         more = _more_buckets(signed, weak, texts)
-        members = members.unionByName(more)
+        members = members.unionByName(more).distinct()
         missing = stored(more.select("line_id").distinct().join(wanted, F.col("line_id") == F.col("wanted_id"), "left_anti"), "lines-missing")
         if missing.take(1):
             texts = stored(texts.unionByName(lines.select("line_id", "line").join(small(missing), "line_id", "left_semi").distinct()), "lines-texts")

@@ -811,3 +811,14 @@ def test_line_dedup_meets_a_pair_in_one_bucket(spark):
     side = lambda x: sketches.withColumnsRenamed({c: f"{x}_{c}" for c in sketches.columns if c != "line_id"})
     got = sorted(map(tuple, linededup._across(split, side("a"), side("b")).collect()))
     assert got == sorted({(a, b) for ns in held.values() for a in ns for b in ns if a < b and part[a] != part[b]})
+
+
+def test_lines_unlike_lines_share_few_buckets(spark):
+    """Of 4000 long lines that have a tenth of their shingles in common few share a band; near copies that share many bands are met in one bucket."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    base = word(27)
+    signed, _ = linededup.signatures(spark.createDataFrame([(i, base + word(180)) for i in range(4000)], "line_id long, line string"))
+    assert linededup.buckets(signed).count() <= 12
+    keys = spark.createDataFrame([(1, [5, 6, 7], False), (2, [5, 6, 7], False), (3, [7, 8], False)], "line_id long, keys array<long>, collides boolean")
+    assert sorted(map(tuple, linededup.buckets(keys).select("low", "line_id").collect())) == [(1, 1), (1, 1), (1, 2), (1, 2), (1, 3)]

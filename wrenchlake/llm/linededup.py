@@ -15,16 +15,19 @@ from wrenchlake.llm.components import connected_components, merged
 SHINGLE = 8
 #: Lines are linked at this Jaccard similarity of their sets of shingles.
 SIMILARITY = 0.8
-#: A pair at exactly that similarity shares a band with probability 1 - (1 - 0.8**3)**8 = 0.997.
-BANDS, ROWS = 8, 3
-MINIMA = BANDS * ROWS
+#: Minima of a line. A band takes four of them, ``STEPS`` from its first on, around the circle; two bands share one minimum at most. Lines that aren't
+#: alike, of 0.1 for example, share a band with probability 0.1**4 a band: with three minima a band, such pairs outnumber near copies from some million lines on.
+MINIMA = 24
+STEPS = (0, 1, 4, 6)
+#: A pair at exactly that similarity shares one of these bands with probability 0.997.
+BANDS = [[(first + step) % MINIMA for step in STEPS] for first in range(MINIMA) if first % 4 != 3]
 #: Lines of more places than this are signed by one hash function, whose values are dealt into bins of a minimum each; those of up to
 #: ``LONG / SIMILARITY`` by ``MINIMA`` hash functions. Lines between are signed both ways, so that any two alike share one.
 LONG = 96
 #: Of a long line only so many shingles a bin, those of least hash, are looked at: the others hardly ever are a minimum.
-IN_BIN = 3
+IN_BIN = 4
 #: A long line with fewer bins filled repeats itself; it is signed as short ones are, too.
-FILLED = MINIMA // 2
+FILLED = MINIMA * 3 // 4
 
 _rng = random.Random(4)
 #: Hash functions of short lines: a shingle's hash XOR a mask, times an odd factor modulo 2**32. By masks alone the minima
@@ -32,8 +35,10 @@ _rng = random.Random(4)
 MASKS = [_rng.getrandbits(32) - (1 << 31) for _ in range(MINIMA)]
 FACTORS = [_rng.getrandbits(31) | 1 for _ in range(MINIMA)]
 #: Before all pairs between a bucket's components are met, lines are tried with so many of its largest, so often, while there are more pairs
-#: than so many a line. Every pair is met in the end, whatever these are.
-SOME, ROUNDS, PAIRS = 4, 3, 8
+#: than so many a line: to look at so many costs less than a round does. Every pair is met in the end, whatever these are.
+SOME, ROUNDS, PAIRS = 4, 3, 64
+#: Bits of a key that aren't counted at first: 40 are.
+KEPT = 24
 #: Longs of a line's bitmap of shingles. Two of them and the keys make rows of over 100 columns, for which Spark compiles the bounds in
 #: small methods instead of a single one that is too long for the JVM to optimise.
 SKETCH = 48
@@ -50,11 +55,11 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return split.withColumn("line", _normal(F.col("line"))).where("line <> ''").withColumn("line_id", F.xxhash64("line"))
 
 
-def _hashed(lines: DataFrame, keep: list[str], hashed: str, where: str = "true") -> DataFrame:
-    """One row per shingle of the lines, which have ``units`` (the text in UTF-16) and ``last`` (where the last shingle begins), with ``h``, its
-    hash by the function named. Generated code, not a lambda: the array of places is exploded."""
-    placed = lines.select(*keep, "units", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(2))).alias("i"))
-    return placed.select(*keep, F.expr(f"{hashed}(substring(units, i, {2 * SHINGLE}))").alias("h")).where(where)
+def _hashed(lines: DataFrame, keep: list[str], hashed: str, where: str = "true", unit: int = 2) -> DataFrame:
+    """One row per shingle of the lines, which have ``units`` (the text in units of so many bytes) and ``last`` (where the last shingle begins), with ``h``,
+    its hash by the function named. Generated code, not a lambda: the array of places is exploded."""
+    placed = lines.select(*keep, "units", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(unit))).alias("i"))
+    return placed.select(*keep, F.expr(f"{hashed}(substring(units, i, {unit * SHINGLE}))").alias("h")).where(where)
 
 
 def _in_units(lines: DataFrame) -> DataFrame:
@@ -63,6 +68,14 @@ def _in_units(lines: DataFrame) -> DataFrame:
     return rows.withColumn("last", F.greatest(F.lit(1), F.octet_length("units") - 2 * SHINGLE + 1)).withColumn("n", F.expr("(last + 1) div 2"))
 
 
+def _in_bytes(lines: DataFrame) -> DataFrame:
+    """The same with UTF-8 bytes for units, for signing: half the work for the same windows where the text is ASCII, and elsewhere windows of fewer characters, each
+    part of a shingle. ``n`` is still the number of shingles."""
+    length = F.when(F.octet_length("line") == F.length("line"), F.length("line")).otherwise(F.expr("octet_length(encode(line, 'UTF-16BE')) div 2").cast("int"))
+    rows = lines.withColumn("units", F.col("line").cast("binary")).withColumn("n", F.greatest(F.lit(1), length - SHINGLE + 1))
+    return rows.withColumn("last", F.greatest(F.lit(1), F.octet_length("units") - SHINGLE + 1))
+
+
 def _shingles(line: Column) -> Column:
     """The 64-bit hashes of a line's shingles, distinct. The encoded line is bound once, not encoded anew for each place."""
 
@@ -110,17 +123,17 @@ def _possible() -> Column:
 
 def _signed(lines: DataFrame, kinds: Column) -> DataFrame:
     """``(line_id, keys, collides, kind, filled)``: per line and kind (0: short, 1: long) one hash a band whose minima are all there."""
-    rows = _in_units(lines.select("line_id", F.xxhash64("line", F.lit(1)).alias("check_id"), "line"))
+    rows = _in_bytes(lines.select("line_id", F.xxhash64("line", F.lit(1)).alias("check_id"), "line"))
     rows = rows.select("line_id", "check_id", "units", "last", "n", F.explode(kinds).alias("kind"))
-    below = F.least(F.lit(2.0**31 - 1), F.lit(2.0**32) * (IN_BIN * MINIMA) / F.col("n") - 2.0**31).cast("int")
+    below = F.least(F.lit(2.0**31 - 1), F.lit(2.0**32) * (IN_BIN * MINIMA) / F.col("last") - 2.0**31).cast("int")
     rows = rows.withColumn("below", F.when(F.col("kind") == 0, F.lit((1 << 31) - 1)).otherwise(below))
-    hashed = _hashed(rows, ["line_id", "check_id", "kind", "below"], "hash", "h <= below")
+    hashed = _hashed(rows, ["line_id", "check_id", "kind", "below"], "hash", "h <= below", unit=1)
     hashed = hashed.withColumn("bin", F.when(F.col("kind") == 0, -1).otherwise(F.shiftright(F.col("h").bitwiseAND(F.lit(0xFFFF)) * MINIMA, 16)))
     lows = [F.expr(f"min(if(bin = -1, {_permuted(k)}, bigint(h))) filter (where bin = {k} or bin = -1)").alias(f"m{k}") for k in range(MINIMA)]
     signed = hashed.groupBy("line_id", "kind").agg(*lows, *[F.expr(f"{f}(check_id) filter (where bin <= 2)").alias(f) for f in ("min", "max")])
-    of_band = lambda b: [F.col(f"m{b * ROWS + r}") for r in range(ROWS)]
-    whole = lambda b: reduce(Column.__and__, [c.isNotNull() for c in of_band(b)])
-    keys = [F.when(whole(b), F.xxhash64(F.col("kind") * BANDS + b, *of_band(b))) for b in range(BANDS)]
+    of_band = lambda band: [F.col(f"m{k}") for k in band]
+    whole = lambda band: reduce(Column.__and__, [c.isNotNull() for c in of_band(band)])
+    keys = [F.when(whole(band), F.xxhash64(F.col("kind") * len(BANDS) + b, *of_band(band))) for b, band in enumerate(BANDS)]
     filled = reduce(Column.__add__, [F.col(f"m{k}").isNotNull().cast("int") for k in range(MINIMA)])
     return signed.select("line_id", F.array_compact(F.array(*keys)).alias("keys"), F.coalesce(F.col("min") != F.col("max"), F.lit(False)).alias("collides"), "kind", filled.alias("filled"))
 
@@ -146,10 +159,15 @@ def signatures(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def buckets(signed: DataFrame) -> DataFrame:
-    """``(key, low, line_id)``: the members of each bucket of two lines or more, with its smallest line."""
-    banded = signed.where("not collides").select("line_id", F.explode("keys").alias("key"))
-    shared = stored(banded.groupBy("key").agg(F.min("line_id").alias("low"), F.count("*").alias("n")).where("n > 1").select("key", "low"), "lines-buckets")
-    return stored(banded.join(small(shared), "key").select("key", "low", "line_id"), "lines-members")
+    """``(key, low, line_id)``: the members of each bucket of two lines or more, with its smallest line; of buckets of equal members one stays.
+
+    Most keys are one line's, so counts of their upper 40 bits go through the shuffle before any line's id does."""
+    banded = signed.where("not collides").select("line_id", F.explode("keys").alias("key")).withColumn("top", F.shiftright("key", KEPT))
+    often = stored(banded.groupBy("top").agg(F.count("*").alias("n")).where("n > 1").select("top"), "lines-tops")
+    likely = stored(banded.join(small(often), "top").select("key", "line_id"), "lines-bucketed")
+    shared = likely.groupBy("key").agg(F.min("line_id").alias("low"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("line_id")).alias("all")).where("n > 1")
+    shared = stored(shared.groupBy("low", "n", "all").agg(F.min("key").alias("key")).select("key", "low"), "lines-buckets")
+    return stored(likely.join(small(shared), "key").select("key", "low", "line_id"), "lines-members")
 
 
 def _more_buckets(signed: DataFrame, weak: DataFrame, texts: DataFrame) -> DataFrame:

@@ -822,3 +822,19 @@ def test_lines_unlike_lines_share_few_buckets(spark):
     assert linededup.buckets(signed).count() <= 12
     keys = spark.createDataFrame([(1, [5, 6, 7], False), (2, [5, 6, 7], False), (3, [7, 8], False)], "line_id long, keys array<long>, collides boolean")
     assert sorted(map(tuple, linededup.buckets(keys).select("low", "line_id").collect())) == [(1, 1), (1, 1), (1, 2), (1, 2), (1, 3)]
+
+
+def test_line_dedup_only_links_leave_the_join(spark):
+    """Pairs that sketches can't rule out but that aren't alike don't leave the join of a bucket's components: no table of them grows with a group's square."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    base = word(400)
+    texts = [(n, base[:354] + word(46)) for n in range(1, 9)] + [(9, base), (10, base[:380] + word(20))]
+    sets = {n: {x[j : j + 8] for j in range(len(x) - 7)} for n, x in texts}
+    links = [(a, b) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    sketches = linededup._sketches(spark.createDataFrame(texts, "line_id long, line string"))
+    side = lambda x: sketches.withColumnsRenamed({c: f"{x}_{c}" for c in sketches.columns if c != "line_id"})
+    split = spark.createDataFrame([(k, n, n, 9) for k in (1, 2) for n in sets], "key long, line_id long, part long, main long")
+    likely = side("a").withColumnRenamed("line_id", "x").crossJoin(side("b").withColumnRenamed("line_id", "y")).where("x < y").where(linededup._possible())
+    assert links == [(9, 10)] and likely.count() > 20
+    assert sorted(map(tuple, linededup._across(split, side("a"), side("b")).collect())) == links

@@ -44,15 +44,11 @@ KEPT = 24
 SKETCH = 48
 
 
-def _normal(line: Column) -> Column:
-    return F.trim(F.lower(line))
-
-
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(doc_id, text_key, line_no, line)``: lines that aren't blank, trimmed and lower-cased."""
     text = text_of(text_col)
-    split = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return split.withColumn("line", _normal(F.col("line"))).where("line <> ''").withColumn("line_id", F.xxhash64("line"))
+    split = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), F.posexplode(F.split(F.lower(text), "\n")).alias("line_no", "line"))
+    return split.withColumn("line", F.trim("line")).where("line <> ''").withColumn("line_id", F.xxhash64("line"))
 
 
 def _hashed(lines: DataFrame, keep: list[str], hashed: str, where: str = "true", unit: int = 2) -> DataFrame:
@@ -86,14 +82,14 @@ def _shingles(line: Column) -> Column:
     return F.element_at(F.transform(F.array(F.encode(line, "UTF-16BE")), of), 1)
 
 
-def _similar(a: Column, b: Column) -> Column:
-    """Whether two sets have a Jaccard similarity of at least ``SIMILARITY``; each is made once."""
+def _alike(a: Column, b: Column) -> Column:
+    """Whether two sets at hand have a Jaccard similarity of at least ``SIMILARITY``. What they share is made once."""
+    return (1 + SIMILARITY) * F.size(F.array_intersect(a, b)) + 1e-6 >= SIMILARITY * (F.size(a) + F.size(b))
 
-    def of(p: Column) -> Column:
-        common = F.size(F.array_intersect(p["a"], p["b"]))
-        return common >= SIMILARITY * (F.size(p["a"]) + F.size(p["b"]) - common)
 
-    return F.element_at(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), of), 1)
+def _similar(a: Column, b: Column) -> Column:
+    """The same of sets yet to be made; each is made once."""
+    return F.element_at(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda p: _alike(p["a"], p["b"])), 1)
 
 
 def _permuted(k: int) -> str:
@@ -102,14 +98,14 @@ def _permuted(k: int) -> str:
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
-    """``(line_id, size, s0, ...)``: how many shingles a line has, repeats included, and a bitmap of their hashes. Where one bitmap has a bit
+    """``(line_id, size, s0, ..., bits, line)``: how many shingles a line has, repeats included, and a bitmap of their hashes. Where one bitmap has a bit
     that the other lacks, a shingle is in one set only, so they bound the sets' difference from below."""
     at = F.pmod("h", F.lit(64 * SKETCH)).cast("int")
     placed = _hashed(_in_units(texts), ["line_id"], "xxhash64").select("line_id", at.alias("at"))
     placed = placed.select("line_id", F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, at & 63)").alias("bit"))
     words = [F.expr(f"coalesce(bit_or(bit) filter (where word = {i}), 0L)").alias(f"s{i}") for i in range(SKETCH)]
     made = placed.groupBy("line_id").agg(F.count("*").alias("size"), *words)
-    return made.withColumn("bits", reduce(Column.__add__, [F.bit_count(f"s{i}") for i in range(SKETCH)]))
+    return made.withColumn("bits", reduce(Column.__add__, [F.bit_count(f"s{i}") for i in range(SKETCH)])).join(texts.select("line_id", "line"), "line_id")
 
 
 def _possible() -> Column:
@@ -183,26 +179,20 @@ def near_lines(members: DataFrame, texts: DataFrame) -> DataFrame:
 
     Lines that share a key are candidates. Each is first compared with the smallest line of its bucket. Where
     that leaves buckets in several components with many pairs between them, the lines outside a bucket's largest component are compared with
-    ``SOME`` lines of it, in one of the buckets that have the same largest, and components are contracted, up to ``ROUNDS`` times. At last the
+    ``SOME`` lines of it, in one of the buckets that have the same largest, and components are contracted, up to ``ROUNDS`` times and while that
+    halves the pairs. At last the
     lines outside the largest are compared with all of their bucket's lines of other components, each pair in one of the buckets that it shares.
-    So every candidate pair is verified or already connected, and a bucket of copies of one line needs about as many comparisons as it has lines. Pairs whose sizes or sketches rule
-    the similarity out are cut within the join, losslessly, before texts are fetched; the others' are exact Jaccard similarities
-    of sets of 64-bit hashes.
+    So every candidate pair is verified or already connected, and a bucket of copies of one line needs about as many comparisons as it has lines.
+    Verified are exact Jaccard similarities of sets of 64-bit hashes; the last pairs only where sizes and sketches don't rule the similarity out.
     """
-    sketches = stored(_sketches(texts), "lines-sketches")
-    of = lambda side, key: sketches.withColumnsRenamed({c: f"{side}_{c}" for c in sketches.columns if c != "line_id"} | {"line_id": key})
-
-    def verified(likely: DataFrame) -> DataFrame:
-        """The pairs of at least the similarity. The sets of ``src`` are made once a line, after its text was dealt out."""
-        pairs = stored(likely, "lines-likely")
-        sources = small(stored(pairs.select(F.col("src").alias("line_id")).distinct(), "lines-sources"))
-        sets = texts.join(sources, "line_id", "left_semi").repartition("line_id").select(F.col("line_id").alias("src"), _shingles(F.col("line")).alias("a"))
-        both = pairs.join(texts.withColumnRenamed("line_id", "dst"), "dst").join(sets.hint("merge"), "src")
-        return stored(both.where(_similar(F.col("a"), _shingles(F.col("line")))).select("src", "dst"), "lines-verified")
-
-    star = members.where("line_id > low").select(F.col("low").alias("src"), F.col("line_id").alias("dst")).distinct()
-    possible = lambda pairs: pairs.distinct().join(of("a", "src"), "src").join(of("b", "dst"), "dst").where(_possible()).select("src", "dst")
-    parts = stored(connected_components(verified(possible(star))), "lines-parts")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.distinct().join(texts.select(F.col("line_id").alias("src"), F.col("line").alias("a")), "src").join(texts.select(F.col("line_id").alias("dst"), F.col("line").alias("b")), "dst")
+        return stored(both.where(_similar(_shingles(F.col("a")), _shingles(F.col("b")))).select("src", "dst"), "lines-verified")
+
+    star = members.where("line_id > low").select(F.col("low").alias("src"), F.col("line_id").alias("dst"))
+    parts = stored(connected_components(verified(star)), "lines-parts")
+    before = float("inf")
     for step in range(ROUNDS + 1):
         placed = members.join(small(parts), F.col("line_id") == F.col("node"), "left").select("key", "line_id", F.coalesce("component", "line_id").alias("part"))
         by_part = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
@@ -211,27 +201,33 @@ def near_lines(members: DataFrame, texts: DataFrame) -> DataFrame:
         main = stored(largest.select("key", (-F.col("x.neg")).alias("main"), (F.col("all") * (F.col("all") - F.col("x.n"))).alias("pairs")), "lines-main")
         split = stored(placed.join(small(main.drop("pairs")), "key"), "lines-split")
         todo, lines_in = main.agg(F.sum("pairs")).first()[0] or 0, split.count()
-        if step == ROUNDS or todo <= PAIRS * lines_in:
+        if step == ROUNDS or todo <= PAIRS * lines_in or 2 * todo > before:
             break
+        before = todo
         chosen = [F.min_by("line_id", F.xxhash64("line_id", F.lit(step * SOME + k))).alias(f"r{k}") for k in range(SOME)]
         some = split.where("part = main").groupBy("key").agg(*chosen).select("key", F.explode(F.array_distinct(F.array(*[f"r{k}" for k in range(SOME)]))).alias("src"))
         tried = split.where("part <> main").groupBy("main", F.col("line_id").alias("dst")).agg(F.min("key").alias("key")).join(some, "key").select("src", "dst")
-        parts = stored(merged(parts, verified(possible(tried))), "lines-parts")
-    return merged(parts, verified(_across(split, of("a", "line_id"), of("b", "line_id"))))
+        parts = stored(merged(parts, verified(tried)), "lines-parts")
+    open_lines = stored(split.select("line_id").distinct(), "lines-open")
+    sketches = stored(_sketches(texts.join(small(open_lines), "line_id", "left_semi")), "lines-sketches")
+    of = lambda side: sketches.withColumnsRenamed({c: f"{side}_{c}" for c in sketches.columns if c != "line_id"})
+    return merged(parts, stored(_across(split, of("a"), of("b")), "lines-verified"))
 
 
 def _across(split: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """``(src, dst)``: the possible pairs of lines that share a bucket of ``split(key, line_id, part, main)`` and lie in different components, each met once.
+    """``(src, dst)``: the pairs of similar lines that share a bucket of ``split(key, line_id, part, main)`` and lie in different components, each met once.
 
     Whether a pair lies in different components doesn't depend on the bucket, so it is met in the one of least key of those that both lines are in. A line
-    is in as many buckets as it has bands at most. ``a`` and ``b`` are the lines' sketches, with names for either side."""
+    is in as many buckets as it has bands at most. ``a`` and ``b`` are the lines' sketches, with names for either side. What costs least is asked first, the
+    sets' own similarity last; both within the join, so that only links leave it. Sets are made where a bucket's lines meet, once a line and bucket."""
     keys = stored(split.groupBy("line_id").agg(F.collect_set("key").alias("keys")), "lines-keys")
     placed = split.join(keys, "line_id")
     apart = placed.where("part <> main").withColumnRenamed("keys", "a_keys").join(a, "line_id").withColumnRenamed("line_id", "one")
     others = placed.join(b, "line_id").select("key", F.col("line_id").alias("other"), F.col("part").alias("other_part"), F.col("keys").alias("b_keys"), *[c for c in b.columns if c != "line_id"])
+    apart, others = (x.repartition("key").withColumn(f"{side}_line", _shingles(F.col(f"{side}_line"))).withColumnRenamed(f"{side}_line", f"{side}_set") for x, side in ((apart, "a"), (others, "b")))
     once = (F.col("other_part") == F.col("main")) | (F.col("one") < F.col("other"))
     least = F.array_min(F.array_intersect("a_keys", "b_keys")) == apart["key"]
-    met = apart.join(others, (apart["key"] == others["key"]) & (F.col("part") != F.col("other_part")) & once & _possible() & least)
+    met = apart.join(others, (apart["key"] == others["key"]) & (F.col("part") != F.col("other_part")) & once & _possible() & least & _alike(F.col("a_set"), F.col("b_set")))
     return met.select(F.least("one", "other").alias("src"), F.greatest("one", "other").alias("dst"))
 
 

@@ -98,14 +98,16 @@ def _permuted(k: int) -> str:
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
-    """``(line_id, size, s0, ..., bits, line)``: how many shingles a line has, repeats included, and a bitmap of their hashes. Where one bitmap has a bit
+    """``(line_id, size, s0, ..., line, bits)``: how many shingles a line has, repeats included, and a bitmap of their hashes. Where one bitmap has a bit
     that the other lacks, a shingle is in one set only, so they bound the sets' difference from below."""
     at = F.pmod("h", F.lit(64 * SKETCH)).cast("int")
     placed = _hashed(_in_units(texts), ["line_id"], "xxhash64").select("line_id", at.alias("at"))
     placed = placed.select("line_id", F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, at & 63)").alias("bit"))
     words = [F.expr(f"coalesce(bit_or(bit) filter (where word = {i}), 0L)").alias(f"s{i}") for i in range(SKETCH)]
     made = placed.groupBy("line_id").agg(F.count("*").alias("size"), *words)
-    return made.withColumn("bits", reduce(Column.__add__, [F.bit_count(f"s{i}") for i in range(SKETCH)])).join(texts.select("line_id", "line"), "line_id")
+    made = made.join(texts.select("line_id", "line"), "line_id")
+    # bits comes last: names given to the words after it would multiply what the optimizer knows of it
+    return made.withColumn("bits", reduce(Column.__add__, [F.bit_count(f"s{i}") for i in range(SKETCH)]))
 
 
 def _possible() -> Column:

@@ -262,6 +262,34 @@ def test_tables_within_tables():
     assert markup.blocks_text(deep) == "text"
 
 
+def test_rows_of_plain_pages_need_no_parser(monkeypatch):
+    """Pages with plain tags only are cut at their brackets; all others, such as those of the second list, are parsed."""
+    row = "<tr><td>a &amp; b</td><td class='x y' z=1>&nbsp;1<br/>2</td ><TD>\n<table><tbody><tr><td>in<td>x &gt; y</table><td><template>no</template>4<td/><td>6</tr>"
+    plain = ["<table><tbody>" + row * n + "</table>" for n in (0, 1, 3)] + ["<tbody>" + row.replace("a &amp; b", ""), "text", "", None]
+    odd = ["<tbody>" + row.replace("6", x) for x in ("<", "a < b", "<a title='>'>6", "<!-- <td> -->6", "<script><td></script>6", "<title><td></title>6", "</td x='>'>6", "<td x=y/>6", "<td x='1'y=2>6", "<td\v>6", "<td >", "<td", "6>", "<>6")]
+    want = [[[c.text() for c in r] for r in markup._body_rows(markup.parse(p), 2)] for p in plain + odd]
+    want = [[r for r in rows if r[0] and r[1]] for rows in want]
+    assert [len(r) for r in want[:7]] == [0, 1, 3, 0, 0, 0, 0]
+    assert [markup.table_rows(p, 2) for p in plain + odd] == want
+    monkeypatch.setattr(markup, "parse", None)
+    assert [markup.table_rows(p, 2) for p in plain[:4]] == want[:4]
+
+
+def test_rows_of_any_tags_equal_those_of_the_tree():
+    rng = random.Random(5)
+    tags = ["<tr>", "<td>", "</td>", "</tr>", "<table>", "</table>", "<tbody>", "</tbody>", "<td/>", "<br/>", "<p>", "<ul>", "</ul>", "<template>", "</template>", "<td x=y/>", "</td x>", "<!-- -->", "<", ">", "<th>", "<div>", "</div>"]
+    for _ in range(1500):
+        page = "<table><tbody>" + "".join(t + rng.choice(["a", " b ", "&lt;c", ""]) for t in rng.choices(tags, [8, 16, 4, 4] + [1] * 19, k=rng.randint(5, 50)))
+        rows = [[c.text() for c in r] for r in markup._body_rows(markup.parse(page), 2)]
+        assert markup.table_rows(page, 2) == [r for r in rows if r[0] and r[1]], page
+
+
+def test_pages_of_orders_are_made_after_the_shuffle(spark, capsys):
+    Q.html_table_rows(spark, SF).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning") == 1 and "<tr>" not in plan.split("Exchange hashpartitioning")[1]
+
+
 def test_sections():
     page = """<table><thead class="dark"><tr><th colspan="2">Fault  Code
         Description</th></tr></thead> <tbody><tr><td>A</td><td> <b>B</b> &lt;1&gt; </td></tr><tr><td></td></tr></tbody></table>

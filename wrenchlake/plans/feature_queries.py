@@ -118,15 +118,18 @@ def _cell(column):
 
 
 def _order_pages(spark, d):
-    """A page of each order: a layout table around a table of its line items, one of whose cells holds a table again."""
+    """A page of each order: a layout table around a table of its line items, one of whose cells holds a table again. Only line items' keys are shuffled, not their rows of the page."""
     li = table(spark, d, "lineitem")
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    cells = [_cell(text("l_partkey")), _cell(text("l_linenumber")), _cell(F.concat(F.lit("<"), text("l_returnflag"), F.lit(" & "), text("l_linestatus"), F.lit(">")))]
-    nested = F.concat(F.lit("<td class='x'><table><tbody><tr><td>in</td><td>"), text("l_suppkey"), F.lit("</td><td>1<td>2<td>3<td>4</tr></tbody></table></td>"))
-    row = F.concat(F.lit("<tr>"), *cells, _cell(text("l_suppkey")), nested, F.lit("<TD>end&nbsp;of &eacute;</TD></tr>\n"))
     key = F.struct(*[F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")])
-    rows = li.groupBy(F.col("l_orderkey").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct(key.alias("k"), row.alias("r")))).alias("rows"))  # an order's lines are few
-    body = F.array_join(F.transform("rows", lambda x: x["r"]), "")
+
+    def row(k):
+        text = lambda c: F.coalesce(k[c].cast("string"), F.lit(""))
+        cells = [_cell(text("l_partkey")), _cell(text("l_linenumber")), _cell(F.concat(F.lit("<"), text("l_returnflag"), F.lit(" & "), text("l_linestatus"), F.lit(">")))]
+        nested = F.concat(F.lit("<td class='x'><table><tbody><tr><td>in</td><td>"), text("l_suppkey"), F.lit("</td><td>1<td>2<td>3<td>4</tr></tbody></table></td>"))
+        return F.concat(F.lit("<tr>"), *cells, _cell(text("l_suppkey")), nested, F.lit("<TD>end&nbsp;of &eacute;</TD></tr>\n"))
+
+    rows = li.groupBy(F.col("l_orderkey").alias("page_id")).agg(F.array_sort(F.collect_list(key)).alias("rows"))  # an order's lines are few
+    body = F.array_join(F.transform("rows", row), "")
     return rows.select("page_id", F.concat(F.lit("<html><body><div><table><thead><tr><th>A</th></tr></thead><tbody class=rows>"), body, F.lit("<tr><td>too</td><td>few</td></tr></tbody></table></div></body>")).alias("html"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wrenchlake.functions import vectors as V
 from wrenchlake.operators import blocks, evaluate, retrieval
+from wrenchlake.plans import more_queries
 
 
 @pytest.fixture(scope="module")
@@ -106,3 +107,40 @@ def test_greatest_equals_all_products(n):
         chosen = blocks._best(every, k)
         assert sorted(zip(q.tolist(), i.tolist(), strict=True)) == list(map(tuple, np.argwhere(chosen).tolist()))
         assert (score == every[q, i]).all()
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """Folders of embeddings and labels: copies and close ties without gaps; the same with odd vectors, ids and labels."""
+    rng, out = random.Random(3), []
+    plain = [(100 * i if i % 7 == 0 else i, [rng.choice([-1.0, 0.5, 0.5000001, 2.0]) for _ in range(3)], i % 3) for i in range(160)]
+    odd = [(None, [1.0, 2.0, 0.5], 1), (None, None, None), (-200, [2.0, 0.5, 0.5], None), (-7, [0.5, 0.5, 2.0], 7), (-1200, [0.0, 0.0, 0.0], 1), (100_000, [1.0], 2), (100_001, [None, 1.0, 1.0], 2), (100_100, [float("nan"), 1.0, 1.0], 0), (100_010, [float("inf"), 1.0, 2.0], None)]
+    for n, rows in enumerate((plain, plain + odd, plain[:90] + odd[:1] + odd[2:5], odd[:1])):
+        folder = str(tmp_path_factory.mktemp(f"tables{n}"))
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{folder}/embeddings.parquet")
+        spark.createDataFrame([(i, i % 2) for i in range(0, 16_000, 3)], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+        out.append(folder)
+    return out
+
+
+def _all_pairs(spark, folder, of_items=lambda df: df):
+    items = spark.read.parquet(f"{folder}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+    queries = items.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"))
+    return retrieval.similarities(of_items(items), queries)
+
+
+def _without_pairs(df, capsys):
+    df.explain()
+    plan = capsys.readouterr().out
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    return df
+
+
+@pytest.mark.parametrize("components", [2**20, 60])
+def test_hybrid_exact_equals_all_pairs(spark, monkeypatch, capsys, tables, components):
+    monkeypatch.setattr(blocks, "COMPONENTS", components)
+    monkeypatch.setattr(blocks, "TILE", 256)
+    for folder in tables:
+        score = 0.3 * (F.col("id") % 10 == F.floor(F.col("query_id") / 100) % 10).cast("double") + 0.7 * F.col("score")
+        every = retrieval.top_k(_all_pairs(spark, folder).withColumn("hybrid", score), 5, by="hybrid").select("query_id", "rank", "id", F.round("hybrid", 6).alias("hybrid"))
+        assert rows(_without_pairs(more_queries.hybrid_exact(spark, folder), capsys)) == rows(every)
